@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidewater.functions.contract import answer_all, citation
 from tidewater.functions.vectors import cosine
@@ -29,15 +31,6 @@ TOP_INDIVIDUALS = 5
 SCORE_DIGITS = 9  # scores are rounded before ranking, so equal vectors tie exactly
 _CHUNK = 512  # query rows per product inside a task
 
-_OUT = "query_id long, image_id long, individual_id long, score double"
-_ARROW_OUT = pa.schema(
-    [
-        ("query_id", pa.int64()),
-        ("image_id", pa.int64()),
-        ("individual_id", pa.int64()),
-        ("score", pa.float64()),
-    ]
-)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -52,8 +45,13 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
         return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
-def _ints(table: pa.Table, name: str) -> np.ndarray:
-    return table.column(name).to_numpy().astype(np.int64)
+def _ids(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+def _codes(ids: np.ndarray) -> np.ndarray:
+    """Sort positions of ids of any comparable type."""
+    return np.unique(ids, return_inverse=True)[1]
 
 
 def _top_columns(scores: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,17 +75,16 @@ def _score_block(
     queries: pa.Table, gallery: pa.Table, top: int, by: str, hide: str | None
 ) -> pa.Table:
     """Best ``top`` images or individuals per query of one block pair."""
-    if queries.num_rows == 0 or gallery.num_rows == 0:
-        return _ARROW_OUT.empty_table()
-    ids, owners = _ints(gallery, "image_id"), _ints(gallery, "individual_id")
-    order = np.lexsort((ids, owners)) if by == "individual" else np.argsort(ids, kind="stable")
-    ids, owners = ids[order], owners[order]
+    ids, owners = _ids(gallery, "image_id"), _ids(gallery, "individual_id")
+    image_rank, owner_rank = _codes(ids), _codes(owners)
+    order = np.lexsort((image_rank, owner_rank) if by == "individual" else (image_rank,))
+    ids, owners, owner_rank = ids[order], owners[order], owner_rank[order]
     vectors = _matrix(gallery.column("embedding"))[order]
-    q_ids = _ints(queries, "query_id")
-    hidden = _ints(queries, "hide_id") if hide else None
+    q_ids = _ids(queries, "query_id")
+    hidden = _ids(queries, "hide_id") if hide else None
     against = ids if hide == "image" else owners
     q_vectors = _matrix(queries.column("embedding"))
-    starts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
+    starts = np.flatnonzero(np.r_[True, owner_rank[1:] != owner_rank[:-1]])
     ends = np.r_[starts[1:], len(owners)]
     found = []
     for at in range(0, len(q_ids), _CHUNK):
@@ -106,17 +103,27 @@ def _score_block(
         found.append(
             pa.table(
                 [
-                    pa.array(q_ids[at + row]),
-                    pa.array(ids[col]),
-                    pa.array(owners[col]),
-                    pa.array(scores[row, col]),
+                    pa.array(q_ids[at + row], queries.schema.field("query_id").type),
+                    pa.array(ids[col], gallery.schema.field("image_id").type),
+                    pa.array(owners[col], gallery.schema.field("individual_id").type),
+                    pa.array(scores[row, col], pa.float64()),
                 ],
-                schema=_ARROW_OUT,
+                names=["query_id", "image_id", "individual_id", "score"],
             )
         )
     return pa.concat_tables(found)
 
 
+def _out_schema(queries: DataFrame, gallery: DataFrame) -> StructType:
+    return (
+        StructType()
+        .add("query_id", queries.schema["query_id"].dataType)
+        .add("image_id", gallery.schema["image_id"].dataType)
+        .add("individual_id", gallery.schema["individual_id"].dataType)
+        .add("score", "double")
+    )
+
+
 def _blocks(df: DataFrame, scope: list[str], block_rows: int) -> Column:
     """Number of blocks as a scalar subquery; per scope value when a scope is given.
 
@@ -174,6 +181,7 @@ def nearest(
 
 
 def _block_join(queries, gallery, top, by, scope, hide, block_rows) -> DataFrame:
+    out = _out_schema(queries, gallery)
     q_blocks = _blocks(queries, scope, block_rows)
     g_blocks = _blocks(gallery, scope, block_rows)
 
@@ -199,7 +207,11 @@ def _block_join(queries, gallery, top, by, scope, hide, block_rows) -> DataFrame
     right = spread(gallery, "g", g_cols, g_blocks, q_blocks)
     keys = lambda side: [f"{side}_scope{i}" for i in range(len(scope))] + [f"{side}_qb", f"{side}_gb"]
 
+    empty = to_arrow_schema(out).empty_table()
+
     def kernel(q: pa.Table, g: pa.Table) -> pa.Table:
+        if q.num_rows == 0 or g.num_rows == 0:
+            return empty
         return _score_block(
             q.rename_columns([c.removeprefix("q_") for c in q.column_names]),
             g.rename_columns([c.removeprefix("g_") for c in g.column_names]),
@@ -209,7 +221,7 @@ def _block_join(queries, gallery, top, by, scope, hide, block_rows) -> DataFrame
         )
 
     return (
-        left.groupBy(*keys("q")).cogroup(right.groupBy(*keys("g"))).applyInArrow(kernel, schema=_OUT)
+        left.groupBy(*keys("q")).cogroup(right.groupBy(*keys("g"))).applyInArrow(kernel, schema=out)
     )
 
 
@@ -225,9 +237,12 @@ def _gallery_scan(queries, gallery, top, by, hide, limit) -> DataFrame | None:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part = pa.Table.from_batches([batch])
-            yield from _score_block(sent.value, part, top, by, hide).to_batches()
+            if part.num_rows and sent.value.num_rows:
+                yield from _score_block(sent.value, part, top, by, hide).to_batches()
 
-    return gallery.select("image_id", "individual_id", "embedding").mapInArrow(scan, schema=_OUT)
+    return gallery.select("image_id", "individual_id", "embedding").mapInArrow(
+        scan, schema=_out_schema(queries, gallery)
+    )
 
 
 def nearest_plain(queries: DataFrame, gallery: DataFrame, top: int) -> DataFrame:
@@ -440,7 +455,7 @@ def supcon_value(batches: DataFrame, temperature: float = 0.1) -> DataFrame:
     """
 
     def loss(key, table: pa.Table) -> pa.Table:
-        owners = _ints(table, "individual_id")
+        owners = _ids(table, "individual_id")
         vectors = _matrix(table.column("embedding"))
         scaled = vectors @ vectors.T / temperature
         others = ~np.eye(len(owners), dtype=bool)
