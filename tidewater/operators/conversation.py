@@ -145,7 +145,12 @@ def _assign(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
             if held >= budget:
                 held, number = 0, number + 1
     return pd.DataFrame(
-        {"conv_id": pdf["conv_id"].to_numpy(), "turn": pdf["turn"].to_numpy(), "segment": segment}
+        {
+            "conv_id": pdf["conv_id"].to_numpy(),
+            "turn": pdf["turn"].to_numpy(),
+            "tokens": tokens,
+            "segment": segment,
+        }
     )
 
 
@@ -199,13 +204,11 @@ def segment_numbers(
         .drop("_n")
     )
     numbered = placed.groupBy("_bucket", "blk").applyInPandas(
-        lambda pdf: _assign(pdf, budget), "conv_id long, turn long, segment long"
+        lambda pdf: _assign(pdf, budget), "conv_id long, turn long, tokens long, segment long"
     )
-    rows = numbered.join(eligible.drop("blk"), ["conv_id", "turn"])
-    closed = rows.groupBy("conv_id", "segment").agg(F.sum("tokens").alias("_t")).where(
-        F.col("_t") >= budget
-    )
-    return rows.join(closed.drop("_t"), ["conv_id", "segment"], "left_semi")
+    whole = Window.partitionBy("conv_id", "segment")
+    filled = numbered.withColumn("_t", F.sum("tokens").over(whole))
+    return filled.where(F.col("_t") >= budget).drop("_t")
 
 
 def prose_segments(

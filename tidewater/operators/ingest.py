@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from tidewater.operators.catalog import license_not_denied
 from tidewater.operators.embedders import Embedder, embed_rows
@@ -43,7 +44,7 @@ def embed_pending(
     return insert_if_absent(existing, new, ["sighting_id", "embedder_ver"])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def jpeg_complete(content: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Whether the bytes start and end like a complete JPEG file."""
     for batch in content:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from tidewater.functions.contract import answer_all, citation
 from tidewater.functions.geo import mercator_x, mercator_y, point_box
@@ -159,7 +160,7 @@ def coverage(boxes: DataFrame, cells: DataFrame) -> DataFrame:
     ).drop("_c0", "_c1", "_r0", "_r1")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _ring_meets_box(
     ring: pd.Series, xmin: pd.Series, xmax: pd.Series, ymin: pd.Series, ymax: pd.Series
 ) -> pd.Series:
