@@ -134,6 +134,24 @@ def box_cell_sums(
     )
 
 
+def box_cells(boxes: DataFrame, cells: DataFrame, size: int = 16) -> DataFrame:
+    """The cells in each box: boxes and cells meet on tiles of ``size`` cells."""
+    tiles = lambda a, b: F.explode(F.sequence(_div(F.col(a), size), _div(F.col(b), size)))
+    left = (
+        boxes.where("c0 <= c1 and r0 <= r1")
+        .select("request_id", "year", *RANGE)
+        .withColumn("_tx", tiles("c0", "c1"))
+        .withColumn("_ty", tiles("r0", "r1"))
+    )
+    right = cells.where("value <> 0").withColumns(
+        {"_tx": _div(F.col("col"), size), "_ty": _div(F.col("row"), size)}
+    )
+    inside = F.col("col").between(F.col("c0"), F.col("c1")) & F.col("row").between(
+        F.col("r0"), F.col("r1")
+    )
+    return left.join(right, ["year", "_tx", "_ty"]).where(inside).drop("_tx", "_ty", *RANGE)
+
+
 def merge_cells(cells: DataFrame) -> DataFrame:
     """One value per cell and year where tiles overlap."""
     return cells.groupBy("year", "col", "row").agg(F.max("value").alias("value"))
@@ -295,3 +313,18 @@ def traffic_at_point(
 def busy_cells(cells: DataFrame, year: int, threshold: int = 100) -> DataFrame:
     """Cells of one year with at least ``threshold`` transits."""
     return cells.where((F.col("year") == year) & (F.col("value") >= threshold))
+
+
+def risk_profile(
+    exposure: DataFrame, species: DataFrame, habitat: DataFrame, facts: DataFrame
+) -> DataFrame:
+    """Numbers of the risk chain, one row per individual: traffic, zones, habitat, facts card.
+
+    It states figures only and draws no verdict. ``facts`` is keyed by species.
+    """
+    return (
+        exposure.select("individual_id", "total_transits", "zones")
+        .join(species, "individual_id")
+        .join(habitat, "individual_id", "left")
+        .join(facts, "species", "left")
+    )

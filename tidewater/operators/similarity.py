@@ -454,7 +454,7 @@ def supcon_value(batches: DataFrame, temperature: float = 0.1) -> DataFrame:
     training batch (P individuals times K images), scored as one small matrix.
     """
 
-    def loss(key, table: pa.Table) -> pa.Table:
+    def loss(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         owners = _ids(table, "individual_id")
         vectors = _matrix(table.column("embedding"))
         scaled = vectors @ vectors.T / temperature
