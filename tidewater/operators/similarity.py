@@ -72,7 +72,7 @@ def _top_columns(scores: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _score_block(
-    queries: pa.Table, gallery: pa.Table, top: int, by: str, hide: str | None
+    queries: pa.Table, gallery: pa.Table, top: int, by: str, hide: str | None, digits: int
 ) -> pa.Table:
     """Best ``top`` images or individuals per query of one block pair."""
     ids, owners = _ids(gallery, "image_id"), _ids(gallery, "individual_id")
@@ -88,7 +88,7 @@ def _score_block(
     ends = np.r_[starts[1:], len(owners)]
     found = []
     for at in range(0, len(q_ids), _CHUNK):
-        scores = np.round(q_vectors[at : at + _CHUNK] @ vectors.T, SCORE_DIGITS)
+        scores = np.round(q_vectors[at : at + _CHUNK] @ vectors.T, digits)
         scores[np.isnan(scores)] = -np.inf
         if hidden is not None:
             scores[hidden[at : at + _CHUNK][:, None] == against[None, :]] = -np.inf
@@ -149,6 +149,7 @@ def nearest(
     hide: str | None = None,
     block_rows: int = 4096,
     small_query_rows: int = 0,
+    score_digits: int = SCORE_DIGITS,
 ) -> DataFrame:
     """``(query_id, image_id, individual_id, score, rank)`` of the best ``top`` per query.
 
@@ -165,9 +166,9 @@ def nearest(
     scope = scope or []
     found = None
     if small_query_rows and not scope:
-        found = _gallery_scan(queries, gallery, top, by, hide, small_query_rows)
+        found = _gallery_scan(queries, gallery, top, by, hide, small_query_rows, score_digits)
     if found is None:
-        found = _block_join(queries, gallery, top, by, scope, hide, block_rows)
+        found = _block_join(queries, gallery, top, by, scope, hide, block_rows, score_digits)
     if by == "individual":
         best = Window.partitionBy("query_id", "individual_id").orderBy(
             F.col("score").desc(), "image_id"
@@ -180,7 +181,7 @@ def nearest(
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
 
 
-def _block_join(queries, gallery, top, by, scope, hide, block_rows) -> DataFrame:
+def _block_join(queries, gallery, top, by, scope, hide, block_rows, digits) -> DataFrame:
     out = _out_schema(queries, gallery)
     q_blocks = _blocks(queries, scope, block_rows)
     g_blocks = _blocks(gallery, scope, block_rows)
@@ -218,6 +219,7 @@ def _block_join(queries, gallery, top, by, scope, hide, block_rows) -> DataFrame
             top,
             by,
             hide,
+            digits,
         )
 
     return (
@@ -225,7 +227,7 @@ def _block_join(queries, gallery, top, by, scope, hide, block_rows) -> DataFrame
     )
 
 
-def _gallery_scan(queries, gallery, top, by, hide, limit) -> DataFrame | None:
+def _gallery_scan(queries, gallery, top, by, hide, limit, digits) -> DataFrame | None:
     """Bring a small, counted query table to the gallery; None if it is too large."""
     cols = ["query_id", "embedding", *(["hide_id"] if hide else [])]
     queries, gallery = (d.where("embedding is not null") for d in (queries, gallery))
@@ -238,7 +240,7 @@ def _gallery_scan(queries, gallery, top, by, hide, limit) -> DataFrame | None:
         for batch in batches:
             part = pa.Table.from_batches([batch])
             if part.num_rows and sent.value.num_rows:
-                yield from _score_block(sent.value, part, top, by, hide).to_batches()
+                yield from _score_block(sent.value, part, top, by, hide, digits).to_batches()
 
     return gallery.select("image_id", "individual_id", "embedding").mapInArrow(
         scan, schema=_out_schema(queries, gallery)
