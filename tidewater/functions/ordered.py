@@ -65,21 +65,22 @@ def order_statistics(
     keys: Sequence[str],
     value: Column,
     positions: dict[str, Callable[[Column], Column]],
-    step: float,
+    step: float | Column,
 ) -> DataFrame:
     """Exact values at given sorted positions, per key.
 
     ``positions`` maps an output name to a function from the number of non-null
     values to a zero-based index. Equal values are counted map-side first, then
     a histogram with cells of width ``step`` finds the one cell that holds each
-    position, and only that cell is sorted.
+    position, and only that cell is sorted. ``step`` may depend on the keys.
     """
     keys = list(keys)
+    width = step if isinstance(step, Column) else F.lit(float(step))
     counts = (
         df.where(value.isNotNull())
         .groupBy(*keys, value.alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_cell", F.floor(F.col("_v") / F.lit(float(step))))
+        .withColumn("_cell", F.floor(F.col("_v") / width))
     )
     histogram = counts.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_cc"))
     per_key = Window.partitionBy(*keys)
@@ -125,7 +126,7 @@ def order_statistics(
 
 
 def quantile(
-    df: DataFrame, keys: Sequence[str], value: Column, p: float, out: str, step: float
+    df: DataFrame, keys: Sequence[str], value: Column, p: float, out: str, step: float | Column
 ) -> DataFrame:
     """Continuous quantile (linear between neighbours), like ``percentile_cont``."""
     at = lambda n: F.lit(float(p)) * (n - 1)

@@ -9,26 +9,36 @@ from pyspark.sql import functions as F
 
 _LINE_END = r"\R|[\x1C-\x1E]"
 
+# fixed values: the characters that count as white space
+_SPACE_CODES = (
+    0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680, 0x2000, 0x2001,
+    0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007, 0x2008, 0x2009, 0x200A, 0x2028, 0x2029, 0x202F,
+    0x205F, 0x3000,
+)
+_SPACES = "".join(map(chr, _SPACE_CODES))
+
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only the space character."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def clean_lines(text: Column) -> Column:
     """Join words broken by a hyphen, drop blank, digit-only and dotted-leader lines."""
-    joined = F.regexp_replace(text, r"(?U)(\w+)-\n(\w+)", "$1$2")
+    broken = F.regexp_replace(text, r"(?U)\b(\w++)-\n(\w+)", "$1$2")
+    joined = F.when(text.contains("-\n"), broken).otherwise(text)
     lines = F.transform(F.split(joined, _LINE_END), strip)
     kept = F.filter(
         lines,
-        lambda s: (F.length(s) > 0) & ~s.rlike(r"(?U)^\d+$") & ~s.rlike(r"\.{4}"),
+        lambda s: (F.length(s) > 0) & ~s.contains("....") & ~s.rlike(r"(?U)^\d+$"),
     )
     return F.array_join(kept, "\n")
 
 
 def words(text: Column) -> Column:
     """Lower-cased letter and digit runs."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    parts = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    return F.filter(parts, lambda w: F.length(w) > 0)
 
 
 def heading_pattern(heading: str) -> str:

@@ -2,6 +2,10 @@
 
 The whole pipeline is narrow: headings, sections and chunk numbers are computed
 inside the row of their document, so no step needs a shuffle.
+
+Arrays are exploded with the ``outer`` form and the empty rows dropped after it:
+the plain form lets the optimizer copy the whole array expression into a filter
+on its size, which evaluates every regular expression twice or more.
 """
 
 from __future__ import annotations
@@ -67,7 +71,7 @@ def _heading_list(text: Column, headings: dict[str, str | None]) -> Column:
     for i, (heading, subject) in enumerate(headings.items()):
         pattern = F.lit(heading_pattern(heading))
         start = F.regexp_instr(text, pattern)
-        length = F.length(F.regexp_extract(text, heading_pattern(heading), 0))
+        length = F.when(start > 0, F.length(F.regexp_extract(text, heading_pattern(heading), 0)))
         found.append(
             F.struct(
                 start.alias("start"),
@@ -82,8 +86,8 @@ def _heading_list(text: Column, headings: dict[str, str | None]) -> Column:
 
 def heading_index(docs: DataFrame, headings: dict[str, str | None] = SECTION_HEADINGS) -> DataFrame:
     """First position of every known heading found in each document (1-based)."""
-    listed = docs.select("doc_id", F.explode(_heading_list(F.col("text"), headings)).alias("h"))
-    return listed.select("doc_id", "h.heading", "h.start")
+    listed = docs.select("doc_id", F.explode_outer(_heading_list(F.col("text"), headings)).alias("h"))
+    return listed.where("h is not null").select("doc_id", "h.heading", "h.start")
 
 
 def _section_list(text: Column, found: Column) -> Column:
@@ -107,8 +111,10 @@ def _section_list(text: Column, found: Column) -> Column:
 def section_spans(docs: DataFrame, headings: dict[str, str | None] = SECTION_HEADINGS) -> DataFrame:
     """Start and end of every section, kept or not."""
     found = docs.withColumn("_h", _heading_list(F.col("text"), headings))
-    listed = found.select("doc_id", F.explode(_section_list(F.col("text"), F.col("_h"))).alias("s"))
-    return listed.select("doc_id", "s.section", "s.start", "s.stop")
+    listed = found.select(
+        "doc_id", F.explode_outer(_section_list(F.col("text"), F.col("_h"))).alias("s")
+    )
+    return listed.where("s is not null").select("doc_id", "s.section", "s.start", "s.stop")
 
 
 def section_split(docs: DataFrame, headings: dict[str, str | None] = SECTION_HEADINGS) -> DataFrame:
@@ -207,13 +213,15 @@ def chunk_column(bodies: Column, size: int = CHUNK_SIZE, overlap: int | None = N
                 rows.append(row)
             yield pd.Series(rows, index=batch.index, dtype=object)
 
-    return run(bodies)
+    # not copied into filters by the optimizer, so every text is split once
+    return run.asNondeterministic()(bodies)
 
 
 def chunk_text(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int | None = None) -> DataFrame:
     """Chunks of whole documents: ``doc_id, chunk_no, pos, text``."""
-    chunks = chunk_column(F.array("text"), size, overlap)
-    return docs.select("doc_id", F.posexplode(chunks).alias("n", "c")).select(
+    chunked = docs.withColumn("_chunks", chunk_column(F.array("text"), size, overlap))
+    listed = chunked.select("doc_id", F.posexplode_outer("_chunks").alias("n", "c"))
+    return listed.where("c is not null").select(
         "doc_id", (F.col("n") + 1).alias("chunk_no"), "c.pos", "c.text"
     )
 
@@ -248,9 +256,10 @@ def chunk_annotate(
     """Cleaned documents ``doc_id, file, text`` to numbered, annotated chunks."""
     split = section_split(annotate(docs, metadata), headings)
     bodies = F.transform("sections", lambda s: s["body"])
-    numbered = split.withColumn("_chunks", chunk_column(bodies, size)).select(
-        "file", "species", "stock", "year", "sections", F.posexplode("_chunks").alias("_n", "_c")
-    )
+    chunked = split.withColumn("_chunks", chunk_column(bodies, size))
+    numbered = chunked.select(
+        "file", "species", "stock", "year", "sections", F.posexplode_outer("_chunks").alias("_n", "_c")
+    ).where("_c is not null")
     part = F.element_at("sections", F.col("_c.body_no") + 1)
     stem = F.regexp_replace("file", r"\.[^.]*$", "")
     header = F.concat(
@@ -315,5 +324,5 @@ def alt_id_links(
 
 def zone_to_chunks(overlaps: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks about the zones of each request (``request_id, zones``)."""
-    wanted = overlaps.select("request_id", F.explode("zones").alias("sanctuary"))
+    wanted = overlaps.select("request_id", F.explode_outer("zones").alias("sanctuary"))
     return wanted.join(chunks.select("chunk_id", "sanctuary"), "sanctuary")

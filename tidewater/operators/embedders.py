@@ -75,7 +75,8 @@ def embed_column(embedder: Embedder, value: Column) -> Column:
         for batch in batches:
             yield pd.Series(embed(batch.tolist(), width), index=batch.index, dtype=object)
 
-    return run(value)
+    # not copied into filters by the optimizer, so every input is embedded once
+    return run.asNondeterministic()(value)
 
 
 def embed_rows(df: DataFrame, embedder: Embedder, value: str, out: str = "embedding") -> DataFrame:

@@ -219,7 +219,9 @@ def json_number(doc: Column, path: str) -> Column:
 def environment(encounters: DataFrame) -> DataFrame:
     """Depth, temperature, ecosystem and protected area from the enrichment JSON."""
     doc = F.col("oceano")
+    owner = ["individual_id"] if "individual_id" in encounters.columns else []
     return encounters.select(
+        *owner,
         F.col("row_id").alias("source_row_id"),
         json_number(doc, "$.BATH.ETOPO1").alias("depth"),
         json_number(doc, "$.SST.OISST.DAY").alias("sst"),
@@ -252,10 +254,15 @@ def habitat_context(rows: DataFrame, shelf_depth: float = SHELF_DEPTH_M) -> Data
         F.array_sort(F.collect_set("lme")).alias("regions"),
         F.array_sort(F.collect_set("wdpa")).alias("sanctuaries"),
     )
-    key = ["individual_id"]
-    depth = quantile(rows, key, F.col("depth"), 0.5, "depth_median", step=25.0)
-    sst = quantile(rows, key, F.col("sst"), 0.5, "sst_median", step=0.5)
-    return base.join(depth, key, "left").join(sst, key, "left")
+    # both medians in one pass; the cell width depends on the measure
+    measures = rows.select(
+        "individual_id", F.expr("stack(2, 'depth', depth, 'sst', sst) as (measure, v)")
+    )
+    width = F.when(F.col("measure") == "depth", 25.0).otherwise(0.5)
+    medians = quantile(measures, ["individual_id", "measure"], F.col("v"), 0.5, "median", width)
+    pick = lambda m: F.max(F.when(F.col("measure") == m, F.col("median"))).alias(f"{m}_median")
+    wide = medians.groupBy("individual_id").agg(pick("depth"), pick("sst"))
+    return base.join(wide, "individual_id", "left")
 
 
 def habitat_answers(requests: DataFrame, habitat: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from tidewater.functions.geo import mercator_x, mercator_y, point_box
 RASTER_YEARS = (2022, 2023, 2024, 2025)
 DEFAULT_YEAR = 2024
 
-PYRAMID = (4096, 256, 16)  # tile edges in cells, coarse to fine
+EDGES = (1, 4, 16, 64, 256, 1024)  # edge lengths of summed rectangles, in cells
 
 RANGE = ("c0", "c1", "r0", "r1")
 
@@ -44,91 +44,109 @@ def _div(c: Column, size: Column | int) -> Column:
     return F.floor(c / size).cast("long")
 
 
-def _pieces(boxes: DataFrame, sizes: Sequence[int]) -> DataFrame:
-    """Split every box into whole tiles, as coarse as possible, and border pieces.
+def _segments(low: Column, high: Column, edges: Sequence[int]) -> Column:
+    """Cut the cells ``low .. high`` into aligned runs, as long as possible.
 
-    A tile that lies in the box is answered by its summary (``level`` is its
-    edge); only border pieces of the finest tiles (``level`` 1) meet cells. The
-    number of pieces grows with the outline of a box, not with its area.
+    At each edge length the loose ends up to the next longer edge are cut off on
+    both sides, so the number of runs grows with the logarithm of the width.
     """
-    out = boxes.where("c0 <= c1 and r0 <= r1").withColumn("level", F.lit(0))
-    for size in sizes:
-        span = lambda a, b, s=size: F.sequence(_div(F.col(a), s), _div(F.col(b), s))
-        tiles = F.flatten(
-            F.transform(
-                span("c0", "c1"),
-                lambda tx: F.transform(span("r0", "r1"), lambda ty: F.struct(tx.alias("x"), ty.alias("y"))),
-            )
+    run = "array<struct<edge:bigint,start:bigint>>"
+    pairs = zip(edges, (*edges[1:], 1 << 40))
+    levels = F.array(
+        *[F.struct(F.lit(e).cast("long").alias("edge"), F.lit(n).cast("long").alias("next")) for e, n in pairs]
+    )
+    nothing = F.array().cast(run)
+
+    def runs(start: Column, stop: Column, edge: Column) -> Column:
+        starts = F.sequence(start, stop - edge, edge)
+        return F.when(
+            stop > start, F.transform(starts, lambda s: F.struct(edge.alias("edge"), s.alias("start")))
+        ).otherwise(nothing)
+
+    def cut(acc: Column, level: Column) -> Column:
+        up = F.least(_div(acc["a"] + level["next"] - 1, level["next"]) * level["next"], acc["b"])
+        down = F.greatest(_div(acc["b"], level["next"]) * level["next"], up)
+        return F.struct(
+            up.alias("a"),
+            down.alias("b"),
+            F.concat(
+                acc["runs"], runs(acc["a"], up, level["edge"]), runs(down, acc["b"], level["edge"])
+            ).alias("runs"),
         )
-        kept = F.array(F.struct(F.lit(None).cast("long").alias("x"), F.lit(None).cast("long").alias("y")))
-        out = out.withColumn("_t", F.explode(F.when(F.col("level") > 0, kept).otherwise(tiles)))
-        open_ = F.col("level") == 0
-        bounds = {
-            "c0": F.greatest(F.col("c0"), F.col("_t.x") * size),
-            "c1": F.least(F.col("c1"), F.col("_t.x") * size + (size - 1)),
-            "r0": F.greatest(F.col("r0"), F.col("_t.y") * size),
-            "r1": F.least(F.col("r1"), F.col("_t.y") * size + (size - 1)),
-        }
-        out = out.withColumns({k: F.when(open_, v).otherwise(F.col(k)) for k, v in bounds.items()})
-        whole = (F.col("c1") - F.col("c0") == size - 1) & (F.col("r1") - F.col("r0") == size - 1)
-        out = out.withColumn("level", F.when(open_ & whole, size).otherwise(F.col("level")))
-    edge = F.when(F.col("level") == 0, sizes[-1]).otherwise(F.col("level"))
-    return out.select(
+
+    start = F.struct(low.alias("a"), (high + 1).alias("b"), nothing.alias("runs"))
+    return F.aggregate(levels, start, cut, lambda acc: acc["runs"])
+
+
+def _pieces(boxes: DataFrame, edges: Sequence[int]) -> DataFrame:
+    """Every box as a few disjoint rectangles: its column runs times its row runs."""
+    flat = boxes.where("c0 <= c1 and r0 <= r1").select(
         "request_id",
         "year",
-        *RANGE,
-        F.when(F.col("level") == 0, 1).otherwise(F.col("level")).alias("level"),
-        _div(F.col("c0"), edge).alias("tx"),
-        _div(F.col("r0"), edge).alias("ty"),
+        _segments(F.col("c0"), F.col("c1"), edges).alias("_x"),
+        _segments(F.col("r0"), F.col("r1"), edges).alias("_y"),
     )
+    # the outer form keeps the optimizer from copying the cuts into a filter
+    wide = flat.select("request_id", "year", "_y", F.explode_outer("_x").alias("x"))
+    both = wide.select("request_id", "year", "x", F.explode_outer("_y").alias("y"))
+    return both.select(
+        "request_id",
+        "year",
+        F.col("x.edge").alias("x_edge"),
+        F.col("x.start").alias("x_start"),
+        F.col("y.edge").alias("y_edge"),
+        F.col("y.start").alias("y_start"),
+    )
+
 
+def _summed_rectangles(cells: DataFrame, edges: Sequence[int]) -> DataFrame:
+    """Count, sum and maximum of every aligned rectangle that holds traffic.
 
-def _index(cells: DataFrame, sizes: Sequence[int]) -> DataFrame:
-    """Cells and tile summaries in one table, built in one pass with partial aggregation."""
-    level = F.explode(F.array(*[F.lit(s) for s in (*sizes, 1)]))
-    edge = F.when(F.col("level") == 1, sizes[-1]).otherwise(F.col("level"))
-    fine = F.col("level") == 1
+    Columns are summed first, rows after, each with partial aggregation; the
+    coarse rectangles of a busy area are combined before the shuffle.
+    """
+    sizes = lambda: F.explode(F.array(*[F.lit(e).cast("long") for e in edges]))
+    totals = [F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("peak").alias("peak")]
+    single = cells.where("value <> 0").select(
+        "year", "col", "row", F.lit(1).cast("long").alias("n"),
+        F.col("value").cast("long").alias("total"), F.col("value").cast("long").alias("peak"),
+    )
+    columns = (
+        single.withColumn("x_edge", sizes())
+        .groupBy("year", "row", "x_edge", (_div(F.col("col"), F.col("x_edge")) * F.col("x_edge")).alias("x_start"))
+        .agg(*totals)
+    )
     return (
-        cells.where("value <> 0")
-        .withColumn("level", level)
+        columns.withColumn("y_edge", sizes())
         .groupBy(
-            "year",
-            "level",
-            _div(F.col("col"), edge).alias("tx"),
-            _div(F.col("row"), edge).alias("ty"),
-            F.when(fine, F.col("col")).alias("col"),
-            F.when(fine, F.col("row")).alias("row"),
-        )
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("value").alias("total"),
-            F.max("value").alias("peak"),
+            "year", "x_edge", "x_start", "y_edge",
+            (_div(F.col("row"), F.col("y_edge")) * F.col("y_edge")).alias("y_start"),
         )
+        .agg(*totals)
     )
 
 
 def box_cell_sums(
-    boxes: DataFrame, cells: DataFrame, sizes: Sequence[int] = PYRAMID
+    boxes: DataFrame, cells: DataFrame, edges: Sequence[int] = EDGES
 ) -> DataFrame:
     """Count, sum and maximum over the cells with traffic in each box.
 
     boxes: ``request_id, year, c0, c1, r0, r1``; cells: ``year, col, row, value``,
-    one row per cell and year. A box without such cells has no row.
+    one row per cell and year. A box without such cells has no row. A box meets
+    summed rectangles by an equi join, not its cells, so a wide box over a busy
+    area costs about as much as a small one.
     """
-    pieces = _pieces(boxes, sizes)
-    index = _index(cells, sizes).withColumnsRenamed({"col": "_col", "row": "_row"})
-    exact = F.col("_col").isNull() | (
-        F.col("_col").between(F.col("c0"), F.col("c1"))
-        & F.col("_row").between(F.col("r0"), F.col("r1"))
-    )
     return (
-        pieces.join(index, ["year", "level", "tx", "ty"])
-        .where(exact)
+        _pieces(boxes, edges)
+        .join(
+            _summed_rectangles(cells, edges),
+            ["year", "x_edge", "x_start", "y_edge", "y_start"],
+        )
         .groupBy("request_id", "year")
         .agg(
-            F.sum("n").cast("long").alias("trafficked_cells"),
-            F.sum("total").cast("long").alias("total_transits"),
-            F.max("peak").cast("long").alias("busiest_cell"),
+            F.sum("n").alias("trafficked_cells"),
+            F.sum("total").alias("total_transits"),
+            F.max("peak").alias("busiest_cell"),
         )
         .withColumn("mean_per_cell", F.col("total_transits") / F.col("trafficked_cells"))
     )
@@ -166,16 +184,22 @@ def raster_extent(cells: DataFrame) -> DataFrame:
 
 
 def coverage(boxes: DataFrame, cells: DataFrame) -> DataFrame:
-    """``covered``: the box meets the raster extent of its year; no traffic is still covered."""
+    """``covered``: the box meets the raster extent of its year; no traffic is still covered.
+
+    The cell range of a covered box is cut to the extent.
+    """
     # one row per raster year, whatever the number of cells
     extent = F.broadcast(raster_extent(cells))
     meets = (
         (F.col("c0") <= F.col("_c1")) & (F.col("c1") >= F.col("_c0"))
         & (F.col("r0") <= F.col("_r1")) & (F.col("r1") >= F.col("_r0"))
     )
-    return boxes.join(extent, "year", "left").withColumn(
-        "covered", F.coalesce(meets, F.lit(False))
-    ).drop("_c0", "_c1", "_r0", "_r1")
+    cut = {
+        "c0": F.greatest("c0", "_c0"), "c1": F.least("c1", "_c1"),
+        "r0": F.greatest("r0", "_r0"), "r1": F.least("r1", "_r1"),
+    }
+    judged = boxes.join(extent, "year", "left").withColumn("covered", F.coalesce(meets, F.lit(False)))
+    return judged.withColumns(cut).drop("_c0", "_c1", "_r0", "_r1")
 
 
 @F.pandas_udf(BooleanType())

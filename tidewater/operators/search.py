@@ -111,10 +111,12 @@ def keyword_search(
     token list. Postings are salted, so a term found in a third of all chunks
     is spread over ``salt`` tasks. Score: term frequency over text length.
     """
-    index = index_tokens(chunks)
+    terms_of = chunks.select("chunk_id", search_terms(F.col("text")).alias("terms"))
     asked = parse_queries(queries)
-    terms = asked.select("query_id", "alt_no", F.explode("required").alias("term"))
-    postings = index.select("chunk_id", F.explode("terms").alias("term"))
+    terms = asked.select("query_id", "alt_no", F.explode_outer("required").alias("term"))
+    postings = terms_of.select("chunk_id", F.explode_outer("terms").alias("term")).where(
+        "term is not null"
+    )
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rarest = (
         terms.join(frequency, "term", "left")
@@ -129,7 +131,9 @@ def keyword_search(
     )
     salted = postings.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salt)).cast("int"))
     candidates = salted.join(asked_by, ["term", "salt"]).drop("salt", "term")
-    full = candidates.join(index, "chunk_id")
+    # full token lists only for the chunks that are candidates of some query
+    wanted = chunks.join(candidates.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    full = candidates.join(index_tokens(wanted), "chunk_id")
     every = (
         (F.size(F.array_except("required", "terms")) == 0)
         & ~F.arrays_overlap("excluded", "terms")

@@ -324,17 +324,28 @@ def photo_answers(
     catalog: str = "catalog",
     threshold: float = ABSTAIN_THRESHOLD,
 ) -> DataFrame:
-    """One contract row per requested ``query_id``; no neighbours means abstain, not ok."""
-    cited = F.struct(
-        "rank", citation("catalog_image", F.lit(catalog), F.col("image_id"), F.col("individual_id"))
-    )
-    lists = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(cited)).alias("_c"))
-    signals = margin_abstain(ranked, threshold).join(lists, "query_id")
-    matched = F.format_string("Top match individual %d (score=%.3f)", "top_individual", "top_score")
+    """One contract row per requested ``query_id``; no neighbours means abstain, not ok.
+
+    ``ranked`` has a handful of candidates per query, taken as one sorted list.
+    """
+    one = F.struct("rank", "individual_id", "score", "image_id")
+    lists = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("_c"))
+    signals = lists.select(
+        "query_id",
+        "_c",
+        F.col("_c")[0]["individual_id"].alias("top_individual"),
+        F.col("_c")[0]["score"].alias("top_score"),
+        (F.col("_c")[0]["score"] - F.try_element_at("_c", F.lit(2))["score"]).alias("margin"),
+    ).withColumn("abstain", F.col("top_score") < F.lit(threshold))
+    matched = F.format_string("Top match individual %s (score=%.3f)", "top_individual", "top_score")
     unsure = F.format_string("No confident match (top=%.3f < %s)", "top_score", F.lit(threshold))
-    signals = signals.withColumn(
-        "summary", F.when(F.col("abstain"), unsure).otherwise(matched)
-    ).withColumn("citations", F.transform("_c", lambda c: c["col2"]))
+    cited = lambda c: citation("catalog_image", F.lit(catalog), c["image_id"], c["individual_id"])
+    signals = signals.withColumns(
+        {
+            "summary": F.when(F.col("abstain"), unsure).otherwise(matched),
+            "citations": F.transform("_c", cited),
+        }
+    )
     out = answer_all(
         requests.select("query_id"),
         signals.drop("_c"),

@@ -86,7 +86,7 @@ def _(spark, d):
 )
 def _(spark, d):
     kept = K.section_split(cleaned(spark, d), HEADINGS)
-    return kept.select("doc_id", F.explode("sections").alias("s")).select(
+    return kept.select("doc_id", F.explode_outer("sections").alias("s")).where("s is not null").select(
         "doc_id", "s.section", "s.subject", "s.body"
     )
 

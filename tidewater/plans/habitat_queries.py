@@ -148,12 +148,7 @@ def _(spark, d):
 
 
 def habitat_rows(spark, d):
-    raw = B.staging(spark, d)
-    env = H.environment(raw)
-    return env.join(
-        raw.select(F.col("row_id").alias("source_row_id"), F.col("user_id").alias("individual_id")),
-        "source_row_id",
-    )
+    return H.environment(B.staging(spark, d).withColumnRenamed("user_id", "individual_id"))
 
 
 HABITAT_STATS_SQL = f"""(
