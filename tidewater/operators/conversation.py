@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.ordered import ordinal, running_sum
 from tidewater.functions.text import token_estimate
+from tidewater.session import stored
 
 HUMAN = ("human", "user")
 ASSISTANT = ("ai", "assistant")
@@ -282,19 +283,26 @@ def summary_rows(
 
 
 def _tool_halves(rows: DataFrame, max_chars: int, keys: list[str]) -> DataFrame:
-    calls = rows.where(F.col("role").isin(*ASSISTANT)).select(
-        *keys, "turn", F.posexplode("tool_calls").alias("pos", "c")
-    ).select(
-        *keys, "turn", "pos", F.col("c.id").alias("id"), F.col("c.name").alias("name"),
-        F.col("c.args").alias("query"), F.lit(None).cast("string").alias("summary"),
-        F.lit(True).alias("is_call"),
+    """Calls and results of the rows, one row each, in one pass."""
+    none = F.lit(None).cast("string")
+
+    def half(pos, id_, name, query, summary, is_call):
+        return F.struct(
+            pos.alias("pos"), id_.alias("id"), name.alias("name"), query.alias("query"),
+            summary.alias("summary"), F.lit(is_call).alias("is_call"),
+        )
+
+    calls = F.transform(
+        "tool_calls", lambda c, i: half(i, c["id"], c["name"], c["args"], none, True)
+    )
+    result = half(
+        F.lit(0), F.col("tool_call_id"), none, none, F.left("content", F.lit(max_chars)), False
     )
-    results = rows.where(F.col("role") == TOOL).select(
-        *keys, "turn", F.lit(0).alias("pos"), F.col("tool_call_id").alias("id"),
-        F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("query"),
-        F.left("content", F.lit(max_chars)).alias("summary"), F.lit(False).alias("is_call"),
+    halves = F.when(F.col("role").isin(*ASSISTANT), calls).when(
+        F.col("role") == TOOL, F.array(result)
     )
-    return calls.unionByName(results)
+    listed = rows.select(*keys, "turn", F.explode_outer(halves).alias("h")).where("h is not null")
+    return listed.select(*keys, "turn", "h.*")
 
 
 def tool_briefs(slice_rows: DataFrame, max_chars: int, base: DataFrame | None = None) -> DataFrame:
@@ -386,7 +394,7 @@ def left_over(budgets: DataFrame, kept: DataFrame) -> DataFrame:
     )
 
 
-def fit_tail(tail: DataFrame, budgets: DataFrame) -> DataFrame:
+def fit_tail(tail: DataFrame, budgets: DataFrame, cell: int = 4096) -> DataFrame:
     """Rows of the tail with ``kept`` and ``overflow``.
 
     The current turn, from the last human message on, always stays; if it alone
@@ -394,28 +402,24 @@ def fit_tail(tail: DataFrame, budgets: DataFrame) -> DataFrame:
     tool results at the head of the kept run are dropped again. Without a human
     message the whole tail is the current turn.
     """
+    summed = running_sum(
+        tail, ["conv_id"], F.floor(F.col("turn") / cell), [F.col("turn").desc()],
+        F.col("tokens"), "_used", descending=True,
+    )
     human = F.max(F.when(F.col("role").isin(*HUMAN), F.col("turn")))
     starts = tail.groupBy("conv_id").agg(F.coalesce(human, F.min("turn")).alias("_start"))
-    placed = tail.join(starts, "conv_id")
-    current = placed.where("turn >= _start")
-    must = current.groupBy("conv_id").agg(F.sum("tokens").alias("_must"))
-    room = budgets.join(must, "conv_id").select(
-        "conv_id", (F.col("budget") - F.col("_must")).alias("budget")
-    )
-    older = placed.where("turn < _start").withColumn("size", F.col("tokens"))
-    fitting = budget_fit(older, room, "turn").select("conv_id", "turn", "role")
-    anchor = fitting.groupBy("conv_id").agg(
-        F.min(F.when(F.col("role") != TOOL, F.col("turn"))).alias("_head")
-    )
-    good = fitting.join(anchor, "conv_id").where("turn >= _head").select(
-        "conv_id", "turn", F.lit(True).alias("_older")
+    placed = summed.join(starts.join(budgets, "conv_id"), "conv_id")
+    older = (F.col("turn") < F.col("_start")) & (F.col("_used") <= F.col("budget"))
+    bounds = placed.groupBy("conv_id").agg(
+        F.max(F.when(F.col("turn") >= F.col("_start"), F.col("_used"))).alias("_must"),
+        F.min(F.when(older & (F.col("role") != TOOL), F.col("turn"))).alias("_head"),
     )
+    fits = older & F.coalesce(F.col("turn") >= F.col("_head"), F.lit(False))
     return (
-        placed.join(good, ["conv_id", "turn"], "left")
-        .join(room.withColumnRenamed("budget", "_room"), "conv_id")
-        .withColumn("kept", (F.col("turn") >= F.col("_start")) | F.col("_older").isNotNull())
-        .withColumn("overflow", F.col("_room") < 0)
-        .drop("_older", "_room", "_start")
+        placed.join(bounds, "conv_id")
+        .withColumn("kept", (F.col("turn") >= F.col("_start")) | fits)
+        .withColumn("overflow", F.col("_must") > F.col("budget"))
+        .drop("_used", "_start", "_must", "_head", "budget")
     )
 
 
@@ -473,16 +477,26 @@ def build_view(
     )
 
 
+def delta_of(
+    slice_rows: DataFrame, max_chars: int, base: DataFrame | None = None,
+    summarizer: Callable[[Column], Column] = first_lines,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Summaries, briefs and new bookmarks of closed slices."""
+    marks = slice_rows.groupBy("conv_id").agg(F.max_by("msg_id", "turn").alias("bookmark_id"))
+    return summary_rows(slice_rows, summarizer), tool_briefs(slice_rows, max_chars, base), marks
+
+
 def prepare_delta(
     messages: DataFrame, budget: int, live_tail: int, max_chars: int,
     bookmarks: DataFrame | None = None, base: DataFrame | None = None,
     summarizer: Callable[[Column], Column] = first_lines,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """New summaries, new briefs and new bookmarks; all empty where no slice closes."""
-    numbers = segment_numbers(messages, budget, live_tail, bookmarks)
-    rows = sliced(messages, numbers)
-    marks = rows.groupBy("conv_id").agg(F.max_by("msg_id", "turn").alias("bookmark_id"))
-    return summary_rows(rows, summarizer), tool_briefs(rows, max_chars, base), marks
+    """New summaries, new briefs and new bookmarks; all empty where no slice closes.
+
+    The slice numbers feed all three, so they are written to the shared folder.
+    """
+    numbers = stored(segment_numbers(messages, budget, live_tail, bookmarks), "slices")
+    return delta_of(sliced(messages, numbers), max_chars, base, summarizer)
 
 
 # fixed values: what happens to an old tool result

@@ -49,7 +49,8 @@ def tool_elapsed(events: DataFrame) -> DataFrame:
 
     events: ``run_id, phase ('start' | 'end'), ts, tool``.
     """
-    at = lambda p: F.min(F.when(F.col("phase") == p, F.col("ts")))
+    time = F.col("ts").cast("timestamp")
+    at = lambda p: F.min(F.when(F.col("phase") == p, time))
     per = events.groupBy("run_id").agg(
         F.min(F.when(F.col("phase") == "start", F.col("tool"))).alias("tool"),
         at("start").alias("_s"),

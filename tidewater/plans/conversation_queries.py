@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewater.operators import conversation as V
 from tidewater.plans import bindings as B
 from tidewater.plans.registry import query
+from tidewater.session import stored
 
 BUDGET = 120
 TAIL = 2
@@ -49,7 +50,8 @@ NUMBERS_SQL = fold_sql(LOG_SQL, BUDGET, TAIL)
 
 
 def numbers(spark, d):
-    return V.segment_numbers(log(spark, d), BUDGET, TAIL)
+    """Slice numbers, written once: every later step reads them."""
+    return stored(V.segment_numbers(log(spark, d), BUDGET, TAIL), "slices")
 
 
 def slices(spark, d):
@@ -205,9 +207,11 @@ AFTER_SQL = f"""(
 
 
 def view_parts(spark, d):
+    """Tail, summaries and briefs; the deltas of the sweep are durable tables."""
     rows = log(spark, d)
-    summaries, new_briefs, marks = V.prepare_delta(rows, BUDGET, TAIL, 40)
-    return V.after_bookmark(rows, marks), summaries, V.merge_briefs(new_briefs)
+    summaries, new_briefs, marks = V.delta_of(V.sliced(rows, numbers(spark, d)), 40)
+    tail = stored(V.after_bookmark(rows, marks).drop("tool_calls"), "tail")
+    return tail, stored(summaries, "summaries"), stored(V.merge_briefs(new_briefs), "briefs")
 
 
 @query(

@@ -15,6 +15,7 @@ from tidewater.plans.similarity_queries import (
     candidates,
     people_sql,
 )
+from tidewater.session import stored
 from tidewater.sources.scans import table
 
 
@@ -44,7 +45,9 @@ SCORES_SQL = scores_sql(PEOPLE_SQL)
 
 
 def reid_scores(spark, d, ranked):
+    """Scores of stored answers, at one and at five."""
     cases = reid_cases(spark, d)
+    ranked = stored(ranked.select("query_id", "individual_id", "rank"), "ranked")
     at_1 = E.reid_scores(cases, ranked, "reid@1", 1)
     return at_1.unionByName(E.reid_scores(cases, ranked, "reid@5", 5))
 
@@ -248,7 +251,8 @@ def calibration(spark, d):
         B.image_queries(spark, d), B.images(spark, d), E.CALIBRATION_K, by="individual", hide="image",
         block_rows=1024,
     )
-    return E.calibration_scores(ranked, B.image_queries(spark, d).select("query_id", "true_id"))
+    truth = B.image_queries(spark, d).select("query_id", "true_id")
+    return stored(E.calibration_scores(ranked, truth), "calibration")
 
 
 def calibrated(spark, d):

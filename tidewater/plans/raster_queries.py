@@ -7,24 +7,27 @@ from pyspark.sql import functions as F
 from tidewater.functions.geo import point_box
 from tidewater.operators import habitat as H
 from tidewater.operators import raster as R
-from tidewater.operators.catalog import stock_facts
+from tidewater.operators.catalog import hub_derive
 from tidewater.operators.corpus import zone_to_chunks
 from tidewater.plans import bindings as B
 from tidewater.plans.catalog_queries import FACTS_SQL, _facts
 from tidewater.plans.habitat_queries import CORE_SQL, HABITAT_STATS_SQL, habitat_rows
 from tidewater.plans.registry import query
+from tidewater.session import stored
+from tidewater.sources.scans import table
 
 X0, Y0, SCALE = B.GRID
 YEAR_SQL = "CAST(1996 + individual_id % 4 AS INT)"  # one of the four years has no raster
 
 
 def boxes(spark, d):
-    """Core range of every individual, with a year to look at."""
-    return H.core_bbox(B.sightings(spark, d)).select(
+    """Core range of every individual, with a year to look at; a table that later steps read."""
+    ranges = H.core_bbox(B.sightings(spark, d)).select(
         F.col("individual_id").alias("request_id"),
         F.expr("cast(1996 + individual_id % 4 as int)").alias("year"),
         *H.BOX,
     )
+    return stored(ranges, "ranges")
 
 
 BOXES_SQL = f"""(
@@ -180,8 +183,11 @@ EXPOSURE_SQL = f"""(
 
 def range_exposure(spark, d, year=1998):
     """Core range, traffic and zones of every individual in one plan."""
-    ranges = H.core_bbox(B.sightings(spark, d)).select(
-        F.col("individual_id").alias("request_id"), F.lit(year).alias("year"), *H.BOX
+    ranges = stored(
+        H.core_bbox(B.sightings(spark, d)).select(
+            F.col("individual_id").alias("request_id"), F.lit(year).alias("year"), *H.BOX
+        ),
+        "ranges",
     )
     return R.vessel_traffic(
         ranges, B.cells(spark, d), B.zones(spark), B.GRID, years=B.CELL_YEARS
@@ -227,8 +233,6 @@ def _(spark, d):
         LEFT JOIN {HABITAT_STATS_SQL} h USING (individual_id) LEFT JOIN {FACTS_SQL} f USING (species)""",
 )
 def _(spark, d):
-    from tidewater.operators.catalog import hub_derive
-
     species = hub_derive(B.sightings(spark, d)).select("individual_id", "species")
     habitat = H.habitat_context(habitat_rows(spark, d)).select(
         "individual_id", B.rounded("shelf_fraction").alias("shelf_fraction"),
@@ -249,8 +253,6 @@ def _(spark, d):
 )
 def _(spark, d):
     """Documents about the zones of every narrow range."""
-    from tidewater.sources.scans import table
-
     names = {"src1": "Bank", "src2": "Bay", "src3": "Channel"}
     pairs = [F.lit(x) for pair in names.items() for x in pair]
     chunks = table(spark, d, "documents").select(

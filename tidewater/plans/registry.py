@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewater.session import apply_safe_settings
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -18,7 +21,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(run: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name!r} is registered twice")
-        QUERIES[name] = run
+
+        @wraps(run)
+        def safe(spark: SparkSession, folder: str) -> DataFrame:
+            apply_safe_settings(spark)
+            return run(spark, folder)
+
+        QUERIES[name] = safe
         if sql is not None:
             ORACLES[name] = sql
         return run

@@ -26,8 +26,12 @@ STATE_BUCKETS = 64  # runs share a state row, so a batch makes few Python calls
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """A Parquet folder or file as a stream, with the schema of what is there now."""
+    """A Parquet folder or file as a stream, with the schema of what is there now.
+
+    The path is given as a pattern, which a stream accepts for a single file too.
+    """
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    path = f"{path[:-1]}[{path[-1]}]"
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)
@@ -128,8 +132,10 @@ def stream_tool_elapsed(events: DataFrame, lateness: str = "1 hour") -> DataFram
     """
     bucket = F.pmod(F.xxhash64("run_id"), F.lit(STATE_BUCKETS)).cast("int")
     return (
-        events.withWatermark("ts", lateness)
-        .groupBy(bucket.alias("bucket"))
+        events.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", lateness)
+        .withColumn("bucket", bucket)
+        .groupBy("bucket")
         .applyInPandasWithState(
             _match_runs,
             "run_id string, tool string, elapsed_ms long",
