@@ -57,7 +57,7 @@ def tool_elapsed(events: DataFrame) -> DataFrame:
         at("end").alias("_e"),
     )
     micros = F.unix_micros("_e") - F.unix_micros("_s")
-    elapsed = F.when(F.col("_s").isNull(), -1).otherwise(F.round(micros / 1000))
+    elapsed = F.when(F.col("_s").isNull(), -1).otherwise(F.bround(micros / 1000, 0))
     return per.where(F.col("_e").isNotNull()).select(
         "run_id", "tool", elapsed.cast("long").alias("elapsed_ms")
     )

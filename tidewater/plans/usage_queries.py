@@ -70,8 +70,8 @@ RUNS_SQL = """(
          ts, event_type AS tool FROM events WHERE NOT (event_id % 2 = 0 AND event_id // 2 % 10 = 3))"""
 ELAPSED_SQL = f"""(
   SELECT run_id, max(tool) FILTER (phase = 'start') AS tool,
-         coalesce(CAST(round((epoch_us(max(ts) FILTER (phase = 'end')) - epoch_us(max(ts) FILTER (phase = 'start')))
-                       / 1000::DOUBLE) AS BIGINT), -1) AS elapsed_ms
+         coalesce(CAST(round_even((epoch_us(max(ts) FILTER (phase = 'end')) - epoch_us(max(ts) FILTER (phase = 'start')))
+                       / 1000::DOUBLE, 0) AS BIGINT), -1) AS elapsed_ms
   FROM {RUNS_SQL} GROUP BY run_id HAVING count(*) FILTER (phase = 'end') > 0)"""
 
 
