@@ -12,6 +12,17 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
+
+
+def keep_top(df: DataFrame, window: WindowSpec, k: int, out: str = "rank") -> DataFrame:
+    """First ``k`` rows per partition of ``window``, numbered from 1.
+
+    The comparison is on the bare row number, which lets Spark drop the other
+    rows before the shuffle (``WindowGroupLimit``), so a hot key stays cheap.
+    """
+    numbered = df.withColumn(out, F.row_number().over(window)).where(F.col(out) <= k)
+    return numbered.withColumn(out, F.col(out).cast("long"))
 
 
 def running_sum(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.contract import answer_all, citation
 from tidewater.functions.geo import in_box
-from tidewater.functions.ordered import order_statistics, ordinal, quantile
+from tidewater.functions.ordered import keep_top, order_statistics, ordinal, quantile
 
 # fixed values: shelf depth in metres, central share of the core range, citation cap
 SHELF_DEPTH_M = -200
@@ -112,7 +112,7 @@ def sighting_lookup(
     first = Window.partitionBy("individual_id").orderBy(
         F.col("obs_date").asc_nulls_last(), "sighting_id"
     )
-    cited = wanted.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= MAX_CITATIONS)
+    cited = keep_top(wanted, first, MAX_CITATIONS, "_r")
     source = F.coalesce("provider", F.lit("catalog"))
     one = F.struct("_r", citation("sighting", source, F.col("thumb_url"), F.col("individual_id")))
     cites = cited.groupBy("individual_id").agg(

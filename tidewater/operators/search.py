@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.ordered import keep_top
 from tidewater.functions.text import words
 from tidewater.operators.similarity import nearest
 
@@ -147,7 +148,7 @@ def keyword_search(
         .agg(F.max("score").alias("score"))
     )
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= cand)
+    return keep_top(scored, ranked, cand)
 
 
 def rrf_fusion(vector: DataFrame, keyword: DataFrame, k: int = TOP_K, rrf_k: int = RRF_K) -> DataFrame:
@@ -160,7 +161,7 @@ def rrf_fusion(vector: DataFrame, keyword: DataFrame, k: int = TOP_K, rrf_k: int
     part = lambda c: F.coalesce(F.lit(1.0) / (F.lit(rrf_k) + F.col(c)), F.lit(0.0))
     fused = both.withColumn("score", part("vrank") + part("krank"))
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
-    return fused.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    return keep_top(fused, ranked, k)
 
 
 def hybrid_search(

@@ -21,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tidewater.functions.contract import answer_all, citation
+from tidewater.functions.ordered import keep_top
 from tidewater.functions.vectors import cosine
 
 # fixed values: candidate images per query, shipped abstain threshold, answer length
@@ -173,12 +174,12 @@ def nearest(
         best = Window.partitionBy("query_id", "individual_id").orderBy(
             F.col("score").desc(), "image_id"
         )
-        found = found.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
+        found = keep_top(found, best, 1).drop("rank")
         tie = "individual_id"
     else:
         tie = "image_id"
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), tie)
-    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
+    return keep_top(found, ranked, top)
 
 
 def _block_join(queries, gallery, top, by, scope, hide, block_rows, digits) -> DataFrame:
@@ -255,11 +256,8 @@ def nearest_plain(queries: DataFrame, gallery: DataFrame, top: int) -> DataFrame
     )
     score = F.round(cosine(F.col("embedding"), F.col("_g")), SCORE_DIGITS)
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "image_id")
-    return (
-        pairs.select("query_id", "image_id", "individual_id", score.alias("score"))
-        .withColumn("rank", F.row_number().over(ranked))
-        .where(F.col("rank") <= top)
-    )
+    scored = pairs.select("query_id", "image_id", "individual_id", score.alias("score"))
+    return keep_top(scored, ranked, top)
 
 
 def best_per_individual(images: DataFrame, k: int | None = TOP_INDIVIDUALS) -> DataFrame:
@@ -281,8 +279,9 @@ def best_per_individual(images: DataFrame, k: int | None = TOP_INDIVIDUALS) -> D
         )
     )
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "individual_id")
-    people = people.withColumn("rank", F.row_number().over(ranked))
-    return people if k is None else people.where(F.col("rank") <= k)
+    if k is None:
+        return people.withColumn("rank", F.row_number().over(ranked).cast("long"))
+    return keep_top(people, ranked, k)
 
 
 def with_support(ranked: DataFrame, queries: DataFrame, gallery: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.hashing import hash_bucket, md5_hex, stratum
-from tidewater.functions.ordered import ordinal
+from tidewater.functions.ordered import keep_top, ordinal
 
 # fixed values: eligibility floors and bucket limits of the splits
 MIN_CLOSED_SET = 10
@@ -129,7 +129,7 @@ def gallery_of(images: DataFrame, split: DataFrame, name: str) -> DataFrame:
 def gallery_cap(images: DataFrame, cap: int = GALLERY_CAP) -> DataFrame:
     """At most ``cap`` gallery images per individual, smallest id first."""
     first = Window.partitionBy("individual_id").orderBy("image_id")
-    return images.withColumn("slot", F.row_number().over(first)).where(F.col("slot") <= cap)
+    return keep_top(images, first, cap, "slot")
 
 
 def train_pool(split: DataFrame, manifest: DataFrame, floor: int, name: str = "train") -> DataFrame:
@@ -211,11 +211,7 @@ def probe_pairs(pool: DataFrame, individuals: int, seed: int = 0) -> DataFrame:
     mixed = Window.partitionBy("individual_id").orderBy(
         F.xxhash64(F.lit(seed), "sighting_id"), "sighting_id"
     )
-    two = (
-        pool.join(sampled, "individual_id", "left_semi")
-        .withColumn("_r", F.row_number().over(mixed))
-        .where("_r <= 2")
-    )
+    two = keep_top(pool.join(sampled, "individual_id", "left_semi"), mixed, 2, "_r")
     at = lambda r: F.max(F.when(F.col("_r") == r, F.col("sighting_id")))
     return two.groupBy("individual_id").agg(
         at(1).alias("query_sighting_id"), at(2).alias("gallery_sighting_id")
@@ -238,11 +234,8 @@ def query_gallery_sample(
     readable = manifest.where(F.col("status") == "ok").join(chosen, "individual_id")
     is_query = F.col("sighting_id") == F.col("query_sighting_id")
     first = Window.partitionBy("individual_id", "role").orderBy("sighting_id")
-    rows = (
-        readable.withColumn("role", F.when(is_query, "query").otherwise("gallery"))
-        .withColumn("slot", F.row_number().over(first))
-        .where(F.col("slot") <= cap)
-    )
+    roles = readable.withColumn("role", F.when(is_query, "query").otherwise("gallery"))
+    rows = keep_top(roles, first, cap, "slot")
     complete = rows.groupBy("individual_id").agg(F.count_distinct("role").alias("_n")).where("_n = 2")
     return rows.join(complete.select("individual_id"), "individual_id", "left_semi").select(
         "individual_id", "sighting_id", "role", "slot"

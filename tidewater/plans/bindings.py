@@ -100,7 +100,7 @@ IMAGES_SQL = "(SELECT vec_id AS image_id, label AS individual_id, embedding FROM
 def images(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("image_id"),
-        F.col("label").cast("long").alias("individual_id"),
+        F.col("label").alias("individual_id"),
         "embedding",
     )
 

@@ -153,7 +153,7 @@ STRANGERS_SQL = f"(SELECT * FROM {PAIRS_SQL} WHERE true_id % 3 = individual_id %
 
 @query(
     "open_set_tail",
-    f"""SELECT CAST(true_id % 3 AS BIGINT) AS scope, count(*) AS n_queries,
+    f"""SELECT true_id % 3 AS scope, count(*) AS n_queries,
                round(avg(CASE WHEN top < 0.35 THEN 1 ELSE 0 END), 6) AS abstain_rate
         FROM (SELECT query_id, true_id, max(score) AS top FROM {STRANGERS_SQL} GROUP BY ALL) GROUP BY 1""",
 )
