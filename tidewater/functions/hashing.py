@@ -15,13 +15,23 @@ def hash_bucket(value: Column, buckets: int = 100) -> Column:
     return (F.conv(F.left(md5_hex(value), F.lit(6)), 16, 10).cast("long") % buckets).cast("int")
 
 
-def draw(n: Column, *parts: Column) -> Column:
-    """A repeatable draw from ``0 .. n-1`` for the given parts (seed, batch, slot, ...)."""
-    return F.pmod(F.xxhash64(*parts), n)
+def seeded(seed: int, *parts: Column) -> Column:
+    """Hex hash of the parts under a seed: a repeatable random order on any engine."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
 
 
-def stratum(slot: Column, slots: int, n: Column, *parts: Column) -> Column:
+def seeded_cell(hex_hash: Column) -> Column:
+    """Leading digits of a hash as a number: 4096 cells in hash order."""
+    return F.conv(F.left(hex_hash, F.lit(3)), 16, 10).cast("int")
+
+
+def draw(n: Column, seed: int, *parts: Column) -> Column:
+    """A repeatable draw from ``0 .. n-1`` for the given parts (batch, slot, ...)."""
+    return F.conv(F.left(seeded(seed, *parts), F.lit(8)), 16, 10).cast("long") % n
+
+
+def stratum(slot: Column, slots: int, n: Column, seed: int, *parts: Column) -> Column:
     """A draw for one of ``slots`` equal strata of ``0 .. n-1``; distinct if ``n >= slots``."""
     low = F.floor(slot * n / slots)
     high = F.floor((slot + 1) * n / slots)
-    return low + draw(F.greatest(high - low, F.lit(1)), *parts, slot)
+    return low + draw(F.greatest(high - low, F.lit(1).cast("long")), seed, *parts, slot)

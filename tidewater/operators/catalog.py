@@ -91,11 +91,15 @@ def build_catalog_report(raw: DataFrame) -> DataFrame:
 
 
 def orphan_check(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    """Number of child rows and of child rows without a parent."""
+    """Number of child rows and of child rows without a parent.
+
+    Child rows are counted per key before the join, so a hot key is one row.
+    """
     parents = parent.select(F.col(key).alias("_p")).distinct()
-    return child.join(parents, F.col(key) == F.col("_p"), "left").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum(F.col("_p").isNull().cast("long")).alias("n_orphans"),
+    per_key = child.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return per_key.join(parents, F.col(key) == F.col("_p"), "left").agg(
+        F.sum("_n").alias("n_rows"),
+        F.sum(F.when(F.col("_p").isNull(), F.col("_n")).otherwise(0)).alias("n_orphans"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.hashing import hash_bucket, md5_hex, stratum
+from tidewater.functions.hashing import draw, hash_bucket, md5_hex, seeded, seeded_cell, stratum
 from tidewater.functions.ordered import keep_top, ordinal
 
 # fixed values: eligibility floors and bucket limits of the splits
@@ -158,10 +158,10 @@ def label_index(pool: DataFrame) -> DataFrame:
 
 
 def _hash_order(df: DataFrame, keys: list[str], id_col: str, seed: int, out: str) -> DataFrame:
-    """Zero-based position in a seeded random order, cut into 64 cells per key."""
-    mixed = F.xxhash64(F.lit(seed), F.col(id_col))
+    """Zero-based position in a seeded random order, cut into cells of the hash."""
     numbered = ordinal(
-        df.withColumn("_h", mixed), keys, F.shiftright("_h", 58), [F.col("_h"), F.col(id_col)], out
+        df.withColumn("_h", seeded(seed, F.col(id_col))), keys, seeded_cell(F.col("_h")),
+        [F.col("_h"), F.col(id_col)], out,
     )
     return numbered.withColumn(out, F.col(out) - 1).drop("_h")
 
@@ -179,21 +179,20 @@ def pk_batches(pool: DataFrame, batches: int, p: int, k: int, seed: int = 0) ->
         [], "individual_id", seed, "_who",
     )
     total = people.agg(F.count(F.lit(1)).alias("n")).scalar()
-    spark = pool.sparkSession
     draws = (
-        spark.range(batches)
+        pool.sparkSession.range(batches)
         .select(F.col("id").alias("batch"))
         .withColumn("n", total)
         .withColumn("p_slot", F.explode(F.sequence(F.lit(0), F.lit(p - 1))))
-        .withColumn("_who", stratum(F.col("p_slot"), p, F.col("n"), F.lit(seed), F.col("batch")))
+        .withColumn("_who", stratum(F.col("p_slot"), p, F.col("n"), seed, F.col("batch")))
         .drop("n")
     )
     seats = draws.join(people, "_who").withColumn(
         "k_slot", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     )
-    parts = (F.lit(seed), F.col("batch"), F.col("individual_id"))
-    distinct = stratum(F.col("k_slot"), k, F.col("n_photos"), *parts)
-    repeated = F.pmod(F.xxhash64(*parts, F.col("k_slot")), F.col("n_photos"))
+    parts = (F.col("batch"), F.col("individual_id"))
+    distinct = stratum(F.col("k_slot"), k, F.col("n_photos"), seed, *parts)
+    repeated = draw(F.col("n_photos"), seed, *parts, F.col("k_slot"))
     seats = seats.withColumn("_slot", F.when(F.col("n_photos") >= k, distinct).otherwise(repeated))
     return seats.join(images, ["individual_id", "_slot"]).select(
         "batch", "p_slot", "k_slot", "individual_id", "sighting_id"
@@ -204,12 +203,12 @@ def probe_pairs(pool: DataFrame, individuals: int, seed: int = 0) -> DataFrame:
     """Two distinct images of each of a fixed sample of individuals: query and gallery."""
     sampled = (
         eligible(pool, 2)
-        .orderBy(F.xxhash64(F.lit(seed), "individual_id"), "individual_id")
+        .orderBy(seeded(seed, F.col("individual_id")), "individual_id")
         .limit(individuals)
         .select("individual_id")
     )
     mixed = Window.partitionBy("individual_id").orderBy(
-        F.xxhash64(F.lit(seed), "sighting_id"), "sighting_id"
+        seeded(seed, F.col("sighting_id")), "sighting_id"
     )
     two = keep_top(pool.join(sampled, "individual_id", "left_semi"), mixed, 2, "_r")
     at = lambda r: F.max(F.when(F.col("_r") == r, F.col("sighting_id")))
@@ -227,7 +226,7 @@ def query_gallery_sample(
     """
     chosen = (
         split.where((F.col("split") == "val") & F.col("query_sighting_id").isNotNull())
-        .orderBy(md5_hex(F.concat_ws(":", F.lit(str(seed)), "individual_id")), "individual_id")
+        .orderBy(seeded(seed, F.col("individual_id")), "individual_id")
         .limit(individuals)
         .select("individual_id", "query_sighting_id")
     )
@@ -247,5 +246,5 @@ def sample_with_replacement(rows: DataFrame, id_col: str, n: int, seed: int = 0)
     ordered = _hash_order(rows, [], id_col, seed, "_at")
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
     draws = rows.sparkSession.range(n).select(F.col("id").alias("draw")).withColumn("_n", total)
-    draws = draws.withColumn("_at", F.pmod(F.xxhash64(F.lit(seed), "draw"), F.col("_n"))).drop("_n")
+    draws = draws.withColumn("_at", draw(F.col("_n"), seed, F.col("draw"))).drop("_n")
     return draws.join(ordered, "_at").drop("_at")

@@ -116,17 +116,59 @@ def _(spark, d):
     return P.label_index(pool(spark, d))
 
 
-@query("pk_batches")
+SEED = 7
+
+
+def _hash(*parts: str) -> str:
+    return f"md5('{SEED}:' || " + " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts) + ")"
+
+
+def _draw(n: str, *parts: str) -> str:
+    return f"CAST('0x' || left({_hash(*parts)}, 8) AS BIGINT) % ({n})"
+
+
+def _stratum(slot: str, slots: int, n: str, *parts: str) -> str:
+    low = f"CAST(floor({slot} * {n} / {slots}::DOUBLE) AS BIGINT)"
+    high = f"CAST(floor(({slot} + 1) * {n} / {slots}::DOUBLE) AS BIGINT)"
+    return f"({low} + {_draw(f'greatest({high} - {low}, 1)', *parts, slot)})"
+
+
+@query(
+    "pk_batches",
+    f"""WITH pool AS (SELECT * FROM {POOL_SQL}),
+        img AS (SELECT individual_id, sighting_id, row_number() OVER (PARTITION BY individual_id
+                       ORDER BY {_hash('sighting_id')}, sighting_id) - 1 AS slot FROM pool),
+        ppl AS (SELECT individual_id, n_photos, row_number() OVER (ORDER BY {_hash('individual_id')}, individual_id) - 1 AS who
+                FROM (SELECT individual_id, count(*) AS n_photos FROM pool GROUP BY 1)),
+        seat AS (SELECT batch, p_slot, {_stratum('p_slot', 8, 'n', 'batch')} AS who
+                 FROM (SELECT unnest(generate_series(0, greatest(1, (SELECT count(*) FROM pool) // 32) - 1)) AS batch)
+                 CROSS JOIN (SELECT unnest(generate_series(0, 7)) AS p_slot)
+                 CROSS JOIN (SELECT count(*) AS n FROM ppl)),
+        pick AS (SELECT batch, p_slot, k_slot, individual_id,
+                        CASE WHEN n_photos >= 4 THEN {_stratum('k_slot', 4, 'n_photos', 'batch', 'individual_id')}
+                             ELSE {_draw('n_photos', 'batch', 'individual_id', 'k_slot')} END AS slot
+                 FROM seat JOIN ppl USING (who) CROSS JOIN (SELECT unnest(generate_series(0, 3)) AS k_slot))
+        SELECT batch, CAST(p_slot AS INT) AS p_slot, CAST(k_slot AS INT) AS k_slot, individual_id, sighting_id
+        FROM pick JOIN img USING (individual_id, slot)""",
+)
 def _(spark, d):
     """As many batches of 8 x 4 as the pool has images / 32, so the work grows with the data."""
     rows = pool(spark, d)
     batches = max(1, rows.count() // 32)
-    return P.pk_batches(rows, batches, 8, 4, seed=7)
+    return P.pk_batches(rows, batches, 8, 4, seed=SEED)
 
 
-@query("probe_pairs")
+@query(
+    "probe_pairs",
+    f"""WITH c AS (SELECT individual_id FROM {POOL_SQL} GROUP BY 1
+                   ORDER BY {_hash('individual_id')}, individual_id LIMIT 200),
+        r AS (SELECT individual_id, sighting_id, row_number() OVER (PARTITION BY individual_id
+                     ORDER BY {_hash('sighting_id')}, sighting_id) AS r FROM {POOL_SQL} JOIN c USING (individual_id))
+        SELECT individual_id, max(sighting_id) FILTER (r = 1) AS query_sighting_id,
+               max(sighting_id) FILTER (r = 2) AS gallery_sighting_id FROM r GROUP BY 1""",
+)
 def _(spark, d):
-    return P.probe_pairs(pool(spark, d), 200, seed=7)
+    return P.probe_pairs(pool(spark, d), 200, seed=SEED)
 
 
 @query(
@@ -145,7 +187,15 @@ def _(spark, d):
     return P.query_gallery_sample(split(spark, d), B.manifest(spark, d), 100)
 
 
-@query("sample_with_replacement")
+@query(
+    "sample_with_replacement",
+    f"""WITH p AS (SELECT individual_id, sighting_id, row_number() OVER (ORDER BY {_hash('sighting_id')}, sighting_id) - 1 AS at_,
+                          count(*) OVER () AS n FROM {POOL_SQL}),
+        w AS (SELECT draw, {_draw('n', 'draw')} AS at_
+              FROM (SELECT unnest(generate_series(0, greatest(1, (SELECT count(*) FROM {POOL_SQL}) // 10) - 1)) AS draw)
+              CROSS JOIN (SELECT count(*) AS n FROM {POOL_SQL}))
+        SELECT draw, individual_id, sighting_id FROM w JOIN p USING (at_)""",
+)
 def _(spark, d):
     rows = pool(spark, d).select("individual_id", "sighting_id")
-    return P.sample_with_replacement(rows, "sighting_id", max(1, rows.count() // 10), seed=7)
+    return P.sample_with_replacement(rows, "sighting_id", max(1, rows.count() // 10), seed=SEED)
