@@ -103,7 +103,7 @@ def raster_grid_check(tiles: DataFrame, srid: int = 3857, size: int = 256) -> Da
 
 def zone_rings(zones: DataFrame) -> DataFrame:
     """Polygon parts with their box columns, written once at ingest."""
-    xs, ys = (F.transform("ring", lambda p, c=c: p[c]) for c in ("x", "y"))
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     return zones.withColumns(
         {
             "xmin": F.array_min(xs),
