@@ -67,21 +67,31 @@ def clean_documents(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _heading_list(text: Column, headings: dict[str, str | None]) -> Column:
     """Found headings of a text as ``(start, ordinal, heading, subject, after)``, by position."""
-    found = []
-    for i, (heading, subject) in enumerate(headings.items()):
-        pattern = F.lit(heading_pattern(heading))
-        start = F.regexp_instr(text, pattern)
-        length = F.when(start > 0, F.length(F.regexp_extract(text, heading_pattern(heading), 0)))
-        found.append(
-            F.struct(
-                start.alias("start"),
-                F.lit(i).alias("ordinal"),
-                F.lit(heading).alias("heading"),
-                F.lit(subject).cast("string").alias("subject"),
-                (start + length).alias("after"),
-            )
+    known = [
+        F.struct(
+            F.regexp_instr(text, F.lit(heading_pattern(heading))).alias("start"),
+            F.lit(i).alias("ordinal"),
+            F.lit(heading).alias("heading"),
+            F.lit(subject).cast("string").alias("subject"),
+            F.lit(heading_pattern(heading)).alias("pattern"),
         )
-    return F.array_sort(F.filter(F.array(*found), lambda h: h["start"] > 0))
+        for i, (heading, subject) in enumerate(headings.items())
+    ]
+    found = F.filter(F.array(*known), lambda h: h["start"] > 0)
+
+    def measured(h: Column) -> Column:
+        # the pattern matches where the rest of the text starts, so this is one short match
+        rest = F.substring(text, h["start"], F.length(text))
+        matched = F.regexp_substr(rest, h["pattern"])
+        return F.struct(
+            h["start"].alias("start"),
+            h["ordinal"].alias("ordinal"),
+            h["heading"].alias("heading"),
+            h["subject"].alias("subject"),
+            (h["start"] + F.length(matched)).alias("after"),
+        )
+
+    return F.array_sort(F.transform(found, measured))
 
 
 def heading_index(docs: DataFrame, headings: dict[str, str | None] = SECTION_HEADINGS) -> DataFrame:

@@ -44,24 +44,33 @@ def _div(c: Column, size: Column | int) -> Column:
     return F.floor(c / size).cast("long")
 
 
+def _code(start: Column, level: int | Column) -> Column:
+    """One number for a run of cells: its first cell and the position of its length in the edges."""
+    return start * 16 + level
+
+
 def _segments(low: Column, high: Column, edges: Sequence[int]) -> Column:
-    """Cut the cells ``low .. high`` into aligned runs, as long as possible.
+    """Cut the cells ``low .. high`` into aligned runs, as long as possible (run codes).
 
     At each edge length the loose ends up to the next longer edge are cut off on
     both sides, so the number of runs grows with the logarithm of the width.
     """
-    run = "array<struct<edge:bigint,start:bigint>>"
-    pairs = zip(edges, (*edges[1:], 1 << 40))
     levels = F.array(
-        *[F.struct(F.lit(e).cast("long").alias("edge"), F.lit(n).cast("long").alias("next")) for e, n in pairs]
+        *[
+            F.struct(
+                F.lit(i).cast("long").alias("level"),
+                F.lit(edge).cast("long").alias("edge"),
+                F.lit(wider).cast("long").alias("next"),
+            )
+            for i, (edge, wider) in enumerate(zip(edges, (*edges[1:], 1 << 40)))
+        ]
     )
-    nothing = F.array().cast(run)
+    nothing = F.array().cast("array<bigint>")
 
-    def runs(start: Column, stop: Column, edge: Column) -> Column:
-        starts = F.sequence(start, stop - edge, edge)
-        return F.when(
-            stop > start, F.transform(starts, lambda s: F.struct(edge.alias("edge"), s.alias("start")))
-        ).otherwise(nothing)
+    def runs(start: Column, stop: Column, level: Column) -> Column:
+        starts = F.sequence(start, stop - level["edge"], level["edge"])
+        coded = F.transform(starts, lambda s: _code(s, level["level"]))
+        return F.when(stop > start, coded).otherwise(nothing)
 
     def cut(acc: Column, level: Column) -> Column:
         up = F.least(_div(acc["a"] + level["next"] - 1, level["next"]) * level["next"], acc["b"])
@@ -69,9 +78,7 @@ def _segments(low: Column, high: Column, edges: Sequence[int]) -> Column:
         return F.struct(
             up.alias("a"),
             down.alias("b"),
-            F.concat(
-                acc["runs"], runs(acc["a"], up, level["edge"]), runs(down, acc["b"], level["edge"])
-            ).alias("runs"),
+            F.concat(acc["runs"], runs(acc["a"], up, level), runs(down, acc["b"], level)).alias("runs"),
         )
 
     start = F.struct(low.alias("a"), (high + 1).alias("b"), nothing.alias("runs"))
@@ -88,15 +95,7 @@ def _pieces(boxes: DataFrame, edges: Sequence[int]) -> DataFrame:
     )
     # the outer form keeps the optimizer from copying the cuts into a filter
     wide = flat.select("request_id", "year", "_y", F.explode_outer("_x").alias("x"))
-    both = wide.select("request_id", "year", "x", F.explode_outer("_y").alias("y"))
-    return both.select(
-        "request_id",
-        "year",
-        F.col("x.edge").alias("x_edge"),
-        F.col("x.start").alias("x_start"),
-        F.col("y.edge").alias("y_edge"),
-        F.col("y.start").alias("y_start"),
-    )
+    return wide.select("request_id", "year", "x", F.explode_outer("_y").alias("y"))
 
 
 def _summed_rectangles(cells: DataFrame, edges: Sequence[int]) -> DataFrame:
@@ -105,25 +104,20 @@ def _summed_rectangles(cells: DataFrame, edges: Sequence[int]) -> DataFrame:
     Columns are summed first, rows after, each with partial aggregation; the
     coarse rectangles of a busy area are combined before the shuffle.
     """
-    sizes = lambda: F.explode(F.array(*[F.lit(e).cast("long") for e in edges]))
     totals = [F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("peak").alias("peak")]
+
+    def codes(at: str) -> Column:
+        return F.explode(
+            F.array(*[_code(_div(F.col(at), edge) * edge, i) for i, edge in enumerate(edges)])
+        )
+
     single = cells.where("value <> 0").select(
-        "year", "col", "row", F.lit(1).cast("long").alias("n"),
+        "year", codes("col").alias("x"), "row", F.lit(1).cast("long").alias("n"),
         F.col("value").cast("long").alias("total"), F.col("value").cast("long").alias("peak"),
     )
-    columns = (
-        single.withColumn("x_edge", sizes())
-        .groupBy("year", "row", "x_edge", (_div(F.col("col"), F.col("x_edge")) * F.col("x_edge")).alias("x_start"))
-        .agg(*totals)
-    )
-    return (
-        columns.withColumn("y_edge", sizes())
-        .groupBy(
-            "year", "x_edge", "x_start", "y_edge",
-            (_div(F.col("row"), F.col("y_edge")) * F.col("y_edge")).alias("y_start"),
-        )
-        .agg(*totals)
-    )
+    columns = single.groupBy("year", "x", "row").agg(*totals)
+    both = columns.select("year", "x", codes("row").alias("y"), "n", "total", "peak")
+    return both.groupBy("year", "x", "y").agg(*totals)
 
 
 def box_cell_sums(
@@ -138,10 +132,7 @@ def box_cell_sums(
     """
     return (
         _pieces(boxes, edges)
-        .join(
-            _summed_rectangles(cells, edges),
-            ["year", "x_edge", "x_start", "y_edge", "y_start"],
-        )
+        .join(_summed_rectangles(cells, edges), ["year", "x", "y"])
         .groupBy("request_id", "year")
         .agg(
             F.sum("n").alias("trafficked_cells"),
@@ -271,15 +262,17 @@ def vessel_traffic(
     zones: DataFrame,
     grid: tuple[float, float, float],
     years: Sequence[int] = RASTER_YEARS,
+    edges: Sequence[int] = EDGES,
 ) -> DataFrame:
     """Traffic and zones per requested box and year, one contract row per request.
 
     requests: ``request_id, year, lat_min, lat_max, lon_min, lon_max``. An
     unknown year or a box outside the raster gives ``ok = false``.
     """
+    cells = cells.where(F.col("year").isin(list(years)))
     ranged = coverage(cell_range(requests, *grid), cells)
     usable = ranged.where(F.col("covered") & F.col("year").isin(list(years)))
-    sums = box_cell_sums(usable, cells).drop("year")
+    sums = box_cell_sums(usable, cells, edges).drop("year")
     overlap = zone_overlap(usable, zones)
     zero = lambda c, v: F.coalesce(F.col(c), F.lit(v)).alias(c)
     found = (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.ordered import keep_top
 from tidewater.functions.text import words
 from tidewater.operators.similarity import nearest
+from tidewater.session import stored
 
 # fixed values: answer length, candidates per channel, rank constant of the fusion, snippet length
 TOP_K = 5
@@ -27,11 +28,6 @@ STOP_WORDS = (
 ).split()
 
 
-def search_terms(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
-    """Word tokens without stop words (no stemming)."""
-    return F.array_except(words(text), F.array(*[F.lit(w) for w in stop_words]))
-
-
 def prefilter(
     chunks: DataFrame, species: str | None = None, doc_type: str | None = None,
     embedder_ver: str | None = None,
@@ -60,16 +56,20 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, **block
 
 
 def index_tokens(chunks: DataFrame, stop_words: list[str] = STOP_WORDS) -> DataFrame:
-    """Token column written at ingest: term counts, ordered words and length."""
-    every = words(F.col("text"))
-    kept = F.filter(every, lambda w: ~w.isin(list(stop_words)))
-    return chunks.select(
-        "chunk_id",
-        F.array_distinct(kept).alias("terms"),
-        kept.alias("kept"),
-        F.concat(F.lit(" "), F.array_join(every, " "), F.lit(" ")).alias("words"),
-        F.greatest(F.size(kept), F.lit(1)).alias("n_words"),
-    )
+    """Chunks with the token columns that ingest writes once.
+
+    ``kept`` are the search terms in order, ``terms`` the distinct ones,
+    ``words`` all words as one line (for phrases), ``n_words`` the text length.
+    """
+    split = chunks.withColumn("_w", words(F.col("text")))
+    kept = split.withColumn("kept", F.filter("_w", lambda w: ~w.isin(list(stop_words))))
+    return kept.withColumns(
+        {
+            "terms": F.array_distinct("kept"),
+            "words": F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")),
+            "n_words": F.greatest(F.size("kept"), F.lit(1)),
+        }
+    ).drop("_w")
 
 
 def parse_queries(queries: DataFrame, stop_words: list[str] = STOP_WORDS) -> DataFrame:
@@ -111,11 +111,12 @@ def keyword_search(
     term are joined, and the remaining terms are tested inside the chunk's own
     token list. Postings are salted, so a term found in a third of all chunks
     is spread over ``salt`` tasks. Score: term frequency over text length.
+    Chunks without token columns are indexed into the shared folder first.
     """
-    terms_of = chunks.select("chunk_id", search_terms(F.col("text")).alias("terms"))
+    index = chunks if "terms" in chunks.columns else stored(index_tokens(chunks), "tokens")
     asked = parse_queries(queries)
     terms = asked.select("query_id", "alt_no", F.explode_outer("required").alias("term"))
-    postings = terms_of.select("chunk_id", F.explode_outer("terms").alias("term")).where(
+    postings = index.select("chunk_id", F.explode_outer("terms").alias("term")).where(
         "term is not null"
     )
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -132,9 +133,9 @@ def keyword_search(
     )
     salted = postings.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salt)).cast("int"))
     candidates = salted.join(asked_by, ["term", "salt"]).drop("salt", "term")
-    # full token lists only for the chunks that are candidates of some query
-    wanted = chunks.join(candidates.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    full = candidates.join(index_tokens(wanted), "chunk_id")
+    full = candidates.join(
+        index.select("chunk_id", "terms", "kept", "words", "n_words"), "chunk_id"
+    )
     every = (
         (F.size(F.array_except("required", "terms")) == 0)
         & ~F.arrays_overlap("excluded", "terms")
@@ -169,10 +170,13 @@ def hybrid_search(
 ) -> DataFrame:
     """Vector and keyword candidates over the same filtered chunks, fused by rank.
 
-    queries: ``query_id, text, embedding``; chunks: ``chunk_id, text, embedding``.
+    queries: ``query_id, text, embedding``; chunks: ``chunk_id, text, embedding``,
+    with the token columns if they are stored. Stemming is left out, which moves
+    keyword ranks only.
     """
     vector = vector_search(queries.select("query_id", "embedding"), chunks, cand, **blocks)
-    keyword = keyword_search(queries.select("query_id", "text"), chunks, cand)
+    plain = chunks.drop("embedding")
+    keyword = keyword_search(queries.select("query_id", "text"), plain, cand)
     return rrf_fusion(vector, keyword, k)
 
 

@@ -150,6 +150,7 @@ CELLS_SQL = """(
          count(*) AS value
   FROM lineitem GROUP BY ALL)"""
 CELL_YEARS = (1997, 1998, 1999)
+CELL_EDGES = (1, 4, 16, 64)  # the grid is 256 cells wide
 
 
 def cells(spark: SparkSession, folder: str) -> DataFrame:

@@ -73,7 +73,9 @@ def zones_sql(boxes_sql: str) -> str:
                round(mean_per_cell, 6) AS mean_per_cell FROM {sums_sql(BOXES_SQL)}""",
 )
 def _(spark, d):
-    out = R.box_cell_sums(R.cell_range(boxes(spark, d), *B.GRID), B.cells(spark, d))
+    out = R.box_cell_sums(
+        R.cell_range(boxes(spark, d), *B.GRID), B.cells(spark, d), B.CELL_EDGES
+    )
     return out.withColumn("mean_per_cell", B.rounded("mean_per_cell"))
 
 
@@ -148,7 +150,7 @@ def _answers(out):
 def _(spark, d):
     return _answers(
         R.vessel_traffic(
-            boxes(spark, d), B.cells(spark, d), B.zones(spark), B.GRID, years=B.CELL_YEARS
+            boxes(spark, d), B.cells(spark, d), B.zones(spark), B.GRID, years=B.CELL_YEARS, edges=B.CELL_EDGES
         )
     )
 
@@ -166,7 +168,7 @@ def _(spark, d):
     )
     return _answers(
         R.traffic_at_point(
-            points, B.cells(spark, d), B.zones(spark), B.GRID, years=B.CELL_YEARS
+            points, B.cells(spark, d), B.zones(spark), B.GRID, years=B.CELL_YEARS, edges=B.CELL_EDGES
         )
     )
 
@@ -190,7 +192,7 @@ def range_exposure(spark, d, year=1998):
         "ranges",
     )
     return R.vessel_traffic(
-        ranges, B.cells(spark, d), B.zones(spark), B.GRID, years=B.CELL_YEARS
+        ranges, B.cells(spark, d), B.zones(spark), B.GRID, years=B.CELL_YEARS, edges=B.CELL_EDGES
     ).withColumnRenamed("request_id", "individual_id")
 
 
