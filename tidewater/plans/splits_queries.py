@@ -199,3 +199,20 @@ def _(spark, d):
 def _(spark, d):
     rows = pool(spark, d).select("individual_id", "sighting_id")
     return P.sample_with_replacement(rows, "sighting_id", max(1, rows.count() // 10), seed=SEED)
+
+
+@query(
+    "test_guard",
+    f"""SELECT 'reid-test-' || CAST(query_sighting_id AS VARCHAR) AS case_id, individual_id
+        FROM {SPLIT_SQL} JOIN {B.INDIVIDUALS_SQL} USING (individual_id) WHERE split = 'test'""",
+)
+def _(spark, d):
+    """Cases of the sealed split: refused without the flag, given with it."""
+    frozen, people = split(spark, d), B.individuals(spark, d)
+    try:
+        P.eval_cases(frozen, people, "test")
+    except PermissionError:
+        return P.eval_cases(frozen, people, "test", allow_test=True).select(
+            "case_id", "expected.individual_id"
+        )
+    raise AssertionError("the test split was given away without the flag")
