@@ -170,20 +170,24 @@ def segment_numbers(
     step function, the functions are chained, then every block is numbered on
     its own.
     """
-    eligible = before_fence(after_bookmark(messages, bookmarks), live_tail).select(
+    base = before_fence(after_bookmark(messages, bookmarks), live_tail).select(
         "conv_id",
         "turn",
         F.when(F.col("is_prose"), F.col("tokens")).otherwise(0).cast("long").alias("tokens"),
-        F.floor(F.col("turn") / block).alias("blk"),
     )
+    # long by rows, not by turn numbers, which may have gaps; few conversations are
     long_ones = (
-        eligible.groupBy("conv_id")
-        .agg(F.min("blk").alias("_lo"), F.max("blk").alias("_hi"))
-        .where("_hi > _lo")
-        .select("conv_id")
+        base.groupBy("conv_id")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") > block)
+        .select("conv_id", F.lit(True).alias("_long"))
+    )
+    eligible = base.join(long_ones, "conv_id", "left").withColumn(
+        "blk", F.when(F.col("_long"), F.floor(F.col("turn") / block)).otherwise(F.lit(-1).cast("long"))
     )
     runs = (
-        eligible.join(long_ones, "conv_id", "left_semi")
+        eligible.where("_long")
+        .drop("_long")
         .groupBy("conv_id", "blk")
         .applyInPandas(
             lambda pdf: _carry_runs(pdf, budget),
@@ -198,7 +202,8 @@ def segment_numbers(
         F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(GROUP_ROWS)), F.lit(1)).alias("n")
     ).scalar()
     placed = (
-        eligible.join(starts, ["conv_id", "blk"], "left")
+        eligible.drop("_long")
+        .join(starts, ["conv_id", "blk"], "left")
         .na.fill(0, ["carry", "cuts_before"])
         .withColumn("_n", groups)
         .withColumn("_bucket", F.pmod(F.xxhash64("conv_id"), F.col("_n")))

@@ -180,6 +180,13 @@ def hybrid_search(
     return rrf_fusion(vector, keyword, k)
 
 
+def catalog_search(
+    queries: DataFrame, chunks: DataFrame, doc_type: str, k: int = TOP_K, **blocks
+) -> DataFrame:
+    """Fused search inside one kind of document."""
+    return hybrid_search(queries, prefilter(chunks, doc_type=doc_type), k, **blocks)
+
+
 def with_snippets(found: DataFrame, chunks: DataFrame) -> DataFrame:
     """Metadata and the first characters of each found chunk."""
     cards = chunks.select(

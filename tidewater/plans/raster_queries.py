@@ -30,6 +30,11 @@ def boxes(spark, d):
     return stored(ranges, "ranges")
 
 
+def raster(spark, d):
+    """The traffic raster as the stored table it is; extent and sums both read it."""
+    return stored(B.cells(spark, d), "cells")
+
+
 BOXES_SQL = f"""(
   SELECT individual_id AS request_id, {YEAR_SQL} AS year, lat_min, lat_max, lon_min, lon_max FROM {CORE_SQL})"""
 
@@ -150,7 +155,7 @@ def _answers(out):
 def _(spark, d):
     return _answers(
         R.vessel_traffic(
-            boxes(spark, d), B.cells(spark, d), B.zones(spark), B.GRID, years=B.CELL_YEARS, edges=B.CELL_EDGES
+            boxes(spark, d), raster(spark, d), B.zones(spark), B.GRID, years=B.CELL_YEARS, edges=B.CELL_EDGES
         )
     )
 
@@ -168,7 +173,7 @@ def _(spark, d):
     )
     return _answers(
         R.traffic_at_point(
-            points, B.cells(spark, d), B.zones(spark), B.GRID, years=B.CELL_YEARS, edges=B.CELL_EDGES
+            points, raster(spark, d), B.zones(spark), B.GRID, years=B.CELL_YEARS, edges=B.CELL_EDGES
         )
     )
 
@@ -192,7 +197,7 @@ def range_exposure(spark, d, year=1998):
         "ranges",
     )
     return R.vessel_traffic(
-        ranges, B.cells(spark, d), B.zones(spark), B.GRID, years=B.CELL_YEARS, edges=B.CELL_EDGES
+        ranges, raster(spark, d), B.zones(spark), B.GRID, years=B.CELL_YEARS, edges=B.CELL_EDGES
     ).withColumnRenamed("request_id", "individual_id")
 
 

@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
 
-# A union of branches that adaptive execution re-plans may report a partitioning
-# it no longer has (seen on 4.1.2: one key in two groups), so it must not report any.
-SAFE_SETTINGS = {"spark.sql.unionOutputPartitioning": "false"}
+SAFE_SETTINGS = {
+    # A union of branches that adaptive execution re-plans may report a partitioning
+    # it no longer has (seen on 4.1.2: one key in two groups), so it must not report any.
+    "spark.sql.unionOutputPartitioning": "false",
+    # split a skewed join also where a grouping on the same key follows it
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
 
 
 def build_session(app: str = "tidewater", master: str | None = None, **conf: str) -> SparkSession:
