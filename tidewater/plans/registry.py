@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.session import apply_safe_settings
+from tidewater.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
         @wraps(run)
         def safe(spark: SparkSession, folder: str) -> DataFrame:
-            apply_safe_settings(spark)
+            prepare(spark)
             return run(spark, folder)
 
         QUERIES[name] = safe
