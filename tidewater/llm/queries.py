@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, decontam, mixing, quality, sharding, simhash
+from tidewater.llm import bpe, decontam, linededup, mixing, quality, sharding, simhash, surrogates, urltree
 from tidewater.plans.registry import query
 from tidewater.sources.scans import table
 
@@ -21,6 +21,32 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("row.doc_id", *[c for c in out.columns if c != "row"])
 
 
+URL_RULES = (
+    urltree.Rule("allow", "org", "/"),
+    urltree.Rule("block", "example.org", "/es/"),
+    urltree.Rule("block", "example.org", "/en/1"),
+    urltree.Rule("allow", "com", "/fr/"),
+    urltree.Rule("block", "com", "/de/"),
+)
+
+
+@query("op2_url_templates")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    pages = urltree.page_labels(table(spark, folder, "pages"), table(spark, folder, "labels"))
+    return urltree.judged_urls(pages, URL_RULES).withColumnRenamed("id", "page_id")
+
+
+#: the key of op3; a production run passes its own, kept apart from the data
+SURROGATE_KEY = b"tidewater demonstration key"
+
+
+@query("op3_keyed_surrogates")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = surrogates.checked_surrogates(docs, SURROGATE_KEY)
+    return out.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source,
@@ -104,4 +130,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op10_line_segments")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return linededup.deduplicated(table(spark, folder, "documents"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
