@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, decontam, linededup, mixing, quality, sharding, simhash, surrogates, urltree
+from tidewater.llm import bpe, decontam, linededup, mixing, passages, quality, sharding, simhash, surrogates, urltree
 from tidewater.plans.registry import query
 from tidewater.sources.scans import table
 
@@ -91,6 +91,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+@query("op5_compact_windows")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, folder, "documents"))
+
+
 @query("op6_simhash_bytes")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
