@@ -16,6 +16,8 @@ SAFE_SETTINGS = {
     "spark.sql.unionOutputPartitioning": "false",
     # split a skewed join also where a grouping on the same key follows it
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # HotSpot never compiles a method above this size; beyond it, split projections are faster
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # rows of long texts: bound what one Arrow batch holds, not only its row count
     "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
