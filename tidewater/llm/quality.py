@@ -51,9 +51,9 @@ class Rules:
         default=(
             Band(256, 0.80, 2.5),
             Band(1024, 1.05, 3.0),
-            Band(4096, 1.25, 3.5),
-            Band(32768, 1.35, 4.5),
-            Band(None, 1.40, 6.0),
+            Band(4096, 1.30, 3.5),
+            Band(32768, 1.40, 4.5),
+            Band(None, 1.50, 6.0),
         )
     )
 
