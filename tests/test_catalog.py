@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -218,3 +222,31 @@ def test_usage(spark):
     prices = spark.createDataFrame([("a", 3.0, 15.0)], "role string, price_in double, price_out double")
     out = {r.role: r for r in U.usage_rollup(calls, prices).collect()}
     assert (out["a"].calls, out["a"].estimated_cost, out["b"].estimated_cost) == (2, 18.0, None)
+
+
+def test_years_come_from_the_tables(spark, tmp_path):
+    rows = [(1992, 1.0), (2030, 2.0), (2030, 3.0), (None, 4.0)]
+    spark.createDataFrame(rows, "year int, v double").write.partitionBy("year").parquet(f"{tmp_path}/t")
+    out = scans.year_union(spark, f"{tmp_path}/t")
+    assert {(r.year, r.n) for r in out.groupBy("year").count().withColumnRenamed("count", "n").collect()} == {
+        (1992, 1), (2030, 2), (None, 1)
+    }
+
+
+def test_package_reaches_workers_started_elsewhere(tmp_path):
+    """A session in another folder, whose workers do not find the package by themselves."""
+    root = str(Path(__file__).resolve().parents[1])
+    code = (
+        "import importlib.util, sys\n"
+        f"spec = importlib.util.spec_from_file_location('__spark_entry__', {root!r} + '/__spark_entry__.py')\n"
+        "entry = importlib.util.module_from_spec(spec); spec.loader.exec_module(entry)\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false')"
+        f".config('spark.checkpoint.dir', {str(tmp_path)!r}).getOrCreate()\n"
+        "print('ROWS', entry.entry(spark).count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300
+    )
+    assert "ROWS " in done.stdout, done.stderr[-2000:]

@@ -209,8 +209,22 @@ def test_ceiling_drops_briefs_first(make, spark):
     tail = make(human(9, 10))
     summaries = spark.createDataFrame([(1, 0, 10)], "conv_id long, segment long, tokens long")
     briefs = spark.createDataFrame([(1, 0, 5)], "conv_id long, ordinal long, size long")
-    rows, texts, lines = V.fit_to_ceiling(tail, summaries, briefs, budget(spark, 20))
-    assert (rows.count(), texts.count(), lines.count()) == (1, 1, 0)
+    rows, texts, lines, lost = V.fit_to_ceiling(tail, summaries, briefs, budget(spark, 20))
+    assert (rows.count(), texts.count(), lines.count(), lost.count()) == (1, 1, 0, 0)
+
+
+def test_a_current_turn_over_the_ceiling_is_marked_or_refused(make, spark):
+    tail = make(human(1, 10), human(9, 100))
+    summaries = spark.createDataFrame([], "conv_id long, segment long, role string, content string, tokens long")
+    briefs = spark.createDataFrame(
+        [], "conv_id long, id string, ordinal long, name string, query string, summary string"
+    )
+    view = V.build_view(tail, summaries, briefs, budget(spark, 50), counter=chars).collect()
+    assert [(r.conv_id, r.layer, r.role) for r in view] == [(1, -1, "overflow")]
+    sized = briefs.withColumn("size", F.lit(1))
+    rows = V.fit_to_ceiling(tail, summaries, sized, budget(spark, 50), refuse=True)[0]
+    with pytest.raises(Exception, match="over the budget in conversation 1"):
+        rows.collect()
 
 
 def test_build_view_order(make, spark):

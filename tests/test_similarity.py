@@ -6,8 +6,11 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.ordered import keep_top
+from tidewater.functions.vectors import cosine
 from tidewater.operators import similarity as S
 
 
@@ -31,23 +34,29 @@ def ranks(df):
     return sorted((r.query_id, r["rank"], r.image_id, round(r.score, 6)) for r in df.collect())
 
 
+def nearest_plain(queries, gallery, top):
+    """The same result from SQL expressions over all pairs."""
+    pairs = queries.join(
+        gallery.withColumnRenamed("embedding", "_g"), F.col("hide_id") != F.col("image_id")
+    )
+    score = F.round(cosine(F.col("embedding"), F.col("_g")), S.SCORE_DIGITS)
+    ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "image_id")
+    scored = pairs.select("query_id", "image_id", "individual_id", score.alias("score"))
+    return keep_top(scored, ranked, top)
+
+
 @pytest.mark.parametrize("block_rows", [7, 25, 1000])
 def test_blocks_equal_plain(images, block_rows):
     queries = as_queries(images)
     blocked = S.nearest(queries, images, 5, hide="image", block_rows=block_rows)
-    assert ranks(blocked) == ranks(S.nearest_plain(queries, images, 5))
+    assert ranks(blocked) == ranks(nearest_plain(queries, images, 5))
 
 
-def test_gallery_scan_equals_blocks(images):
-    queries = as_queries(images).where("query_id < 9")
-    scan = S.nearest(queries, images, 5, hide="image", small_query_rows=9)
-    assert ranks(scan) == ranks(S.nearest(queries, images, 5, hide="image", block_rows=10))
-
-
-def test_too_many_queries_fall_back_to_blocks(images):
-    queries = as_queries(images)
-    out = S.nearest(queries, images, 3, hide="image", small_query_rows=9, block_rows=20)
-    assert ranks(out) == ranks(S.nearest_plain(queries, images, 3))
+def test_vectors_of_several_widths_are_refused(spark, images):
+    rows = [(100, 1, [1.0, 0.0]), (101, 2, [1.0, 0.0, 0.0, 0.0])]
+    odd = spark.createDataFrame(rows, "image_id long, individual_id long, embedding array<float>")
+    with pytest.raises(Exception, match="several widths"):
+        S.nearest(as_queries(images), odd, 3).collect()
 
 
 def test_by_individual_equals_collapsed_images(images):

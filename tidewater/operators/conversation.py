@@ -428,14 +428,31 @@ def fit_tail(tail: DataFrame, budgets: DataFrame, cell: int = 4096) -> DataFrame
     )
 
 
+def overflows(fitted: DataFrame) -> DataFrame:
+    """``conv_id`` of the conversations whose current turn alone is over the budget."""
+    return fitted.where("overflow").select("conv_id").distinct()
+
+
+def refuse_overflow(fitted: DataFrame) -> DataFrame:
+    """The rows of :func:`fit_tail`; the job fails if a current turn is over its budget."""
+    text = F.concat(F.lit("the current turn is over the budget in conversation "), F.col("conv_id").cast("string"))
+    checked = F.when(F.col("overflow"), F.raise_error(text).cast("boolean")).otherwise(F.col("overflow"))
+    return fitted.withColumn("overflow", checked)
+
+
 def fit_to_ceiling(
-    tail: DataFrame, summaries: DataFrame, briefs: DataFrame, ceilings: DataFrame
-) -> tuple[DataFrame, DataFrame, DataFrame]:
+    tail: DataFrame, summaries: DataFrame, briefs: DataFrame, ceilings: DataFrame,
+    refuse: bool = False,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Fill each budget in the order tail, summaries, briefs; returns the kept rows.
 
-    summaries: ``conv_id, segment, tokens``; briefs: ``conv_id, ordinal, size``.
+    summaries: ``conv_id, segment, tokens``; briefs: ``conv_id, ordinal, size``. The last
+    table lists the conversations that keep nothing, since their current turn alone is
+    over the ceiling; with ``refuse`` such a conversation fails the job instead.
     """
     fitted = fit_tail(tail, ceilings)
+    if refuse:
+        fitted = refuse_overflow(fitted)
     kept_tail = fitted.where("kept and not overflow")
     sized = kept_tail.withColumn("size", F.col("tokens"))
     rest = left_over(ceilings, sized)
@@ -446,7 +463,7 @@ def fit_to_ceiling(
     ).drop("budget", "used")
     rest = left_over(rest, kept_summaries)
     kept_briefs = budget_fit(briefs, rest, "ordinal").drop("budget", "used")
-    return kept_tail, kept_summaries, kept_briefs
+    return kept_tail, kept_summaries, kept_briefs, overflows(fitted)
 
 
 def brief_json() -> Column:
@@ -459,20 +476,21 @@ def build_view(
 ) -> DataFrame:
     """The outgoing view: one manifest row, then summaries, then the tail.
 
-    With ``ceilings`` the three layers are fitted first. The manifest lists all
-    kept briefs in one message, in call order.
+    With ``ceilings`` the three layers are fitted first; a conversation whose current
+    turn is over its ceiling is one row of role ``overflow`` in layer -1. The manifest
+    lists all kept briefs in one message, in call order.
     """
     rendered = briefs.withColumn("content", brief_json())
     rendered = rendered.withColumn("size", counter(F.lit("human"), F.col("content")))
     if ceilings is not None:
-        tail, summaries, rendered = fit_to_ceiling(tail, summaries, rendered, ceilings)
+        tail, summaries, rendered, lost = fit_to_ceiling(tail, summaries, rendered, ceilings)
     lines = F.transform(
         F.array_sort(F.collect_list(F.struct("ordinal", "content"))), lambda b: b["content"]
     )
     manifest = rendered.groupBy("conv_id").agg(
         F.concat(F.lit(MANIFEST_FRAME), F.array_join(lines, "\n")).alias("content")
     )
-    return (
+    view = (
         manifest.select("conv_id", F.lit(0).alias("layer"), F.lit(0).cast("long").alias("pos"),
                         F.lit("human").alias("role"), "content")
         .unionByName(summaries.select("conv_id", F.lit(1).alias("layer"),
@@ -480,6 +498,13 @@ def build_view(
         .unionByName(tail.select("conv_id", F.lit(2).alias("layer"),
                                  F.col("turn").cast("long").alias("pos"), "role", "content"))
     )
+    if ceilings is None:
+        return view
+    mark = lost.select(
+        "conv_id", F.lit(-1).alias("layer"), F.lit(0).cast("long").alias("pos"),
+        F.lit("overflow").alias("role"), F.lit(None).cast("string").alias("content"),
+    )
+    return view.unionByName(mark)
 
 
 def delta_of(

@@ -261,18 +261,21 @@ def vessel_traffic(
     cells: DataFrame,
     zones: DataFrame,
     grid: tuple[float, float, float],
-    years: Sequence[int] = RASTER_YEARS,
     edges: Sequence[int] = EDGES,
 ) -> DataFrame:
     """Traffic and zones per requested box and year, one contract row per request.
 
-    requests: ``request_id, year, lat_min, lat_max, lon_min, lon_max``. An
-    unknown year or a box outside the raster gives ``ok = false``.
+    requests: ``request_id, year, lat_min, lat_max, lon_min, lon_max``. The raster has
+    the years that its cells have; another year or a box outside the raster gives
+    ``ok = false``. Only cells of years that are asked for are summed.
     """
-    cells = cells.where(F.col("year").isin(list(years)))
+    have = cells.select("year").distinct()
+    known = F.sort_array(F.collect_list("year"))
+    listed = have.agg(F.array_join(known, ", ").alias("names"), known.alias("years")).alias("have")
     ranged = coverage(cell_range(requests, *grid), cells)
-    usable = ranged.where(F.col("covered") & F.col("year").isin(list(years)))
-    sums = box_cell_sums(usable, cells, edges).drop("year")
+    usable = ranged.where(F.col("covered"))
+    asked = cells.join(requests.select("year").distinct(), "year", "left_semi")
+    sums = box_cell_sums(usable, asked, edges).drop("year")
     overlap = zone_overlap(usable, zones)
     zero = lambda c, v: F.coalesce(F.col(c), F.lit(v)).alias(c)
     found = (
@@ -314,8 +317,9 @@ def vessel_traffic(
         "vessel_traffic",
         "Region outside AIS coverage",
     )
-    unknown = ~F.col("year").isin(list(years))
-    note = F.format_string(f"No AIS data for year %d (have {tuple(years)})", "year")
+    names, years = listed.select("names").scalar(), listed.select("years").scalar()
+    unknown = ~F.coalesce(F.array_contains(years, F.col("year")), F.lit(False))
+    note = F.format_string("No AIS data for year %d (have %s)", "year", names)
     return out.withColumn("summary", F.when(unknown, note).otherwise(F.col("summary")))
 
 

@@ -41,7 +41,10 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
         lists = lists.chunk(0)
     rows = len(lists)
     values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    matrix = values.reshape(rows, -1)
+    widths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    if rows and (widths != widths[0]).any():
+        raise ValueError(f"vectors of several widths: {sorted(set(widths.tolist()))}")
+    matrix = values.reshape(rows, widths[0] if rows else 0)
     with np.errstate(invalid="ignore", divide="ignore"):
         return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
@@ -149,7 +152,6 @@ def nearest(
     scope: list[str] | None = None,
     hide: str | None = None,
     block_rows: int = 4096,
-    small_query_rows: int = 0,
     score_digits: int = SCORE_DIGITS,
 ) -> DataFrame:
     """``(query_id, image_id, individual_id, score, rank)`` of the best ``top`` per query.
@@ -160,16 +162,8 @@ def nearest(
     ``by="individual"`` keeps the best image of each individual; the individuals
     of a block that can reach the global top are in the top of that block, so
     the cut inside a block is exact. Ties go to the smaller id.
-
-    ``small_query_rows`` > 0 allows the plan without a gallery shuffle if the
-    query table has at most that many rows; it counts them first.
     """
-    scope = scope or []
-    found = None
-    if small_query_rows and not scope:
-        found = _gallery_scan(queries, gallery, top, by, hide, small_query_rows, score_digits)
-    if found is None:
-        found = _block_join(queries, gallery, top, by, scope, hide, block_rows, score_digits)
+    found = _block_join(queries, gallery, top, by, scope or [], hide, block_rows, score_digits)
     if by == "individual":
         best = Window.partitionBy("query_id", "individual_id").orderBy(
             F.col("score").desc(), "image_id"
@@ -228,38 +222,6 @@ def _block_join(queries, gallery, top, by, scope, hide, block_rows, digits) -> D
     )
 
 
-def _gallery_scan(queries, gallery, top, by, hide, limit, digits) -> DataFrame | None:
-    """Bring a small, counted query table to the gallery; None if it is too large."""
-    cols = ["query_id", "embedding", *(["hide_id"] if hide else [])]
-    queries, gallery = (d.where("embedding is not null") for d in (queries, gallery))
-    block = queries.select(*cols).limit(limit + 1).toArrow()
-    if block.num_rows > limit:
-        return None
-    sent = gallery.sparkSession.sparkContext.broadcast(block)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            part = pa.Table.from_batches([batch])
-            if part.num_rows and sent.value.num_rows:
-                yield from _score_block(sent.value, part, top, by, hide, digits).to_batches()
-
-    return gallery.select("image_id", "individual_id", "embedding").mapInArrow(
-        scan, schema=_out_schema(queries, gallery)
-    )
-
-
-def nearest_plain(queries: DataFrame, gallery: DataFrame, top: int) -> DataFrame:
-    """The same result from SQL expressions over all pairs; only to check small inputs."""
-    pairs = queries.join(
-        gallery.withColumnRenamed("embedding", "_g"),
-        F.col("hide_id") != F.col("image_id"),
-    )
-    score = F.round(cosine(F.col("embedding"), F.col("_g")), SCORE_DIGITS)
-    ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "image_id")
-    scored = pairs.select("query_id", "image_id", "individual_id", score.alias("score"))
-    return keep_top(scored, ranked, top)
-
-
 def best_per_individual(images: DataFrame, k: int | None = TOP_INDIVIDUALS) -> DataFrame:
     """Candidate images of a query to ranked individuals.
 

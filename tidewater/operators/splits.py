@@ -241,10 +241,19 @@ def query_gallery_sample(
     )
 
 
-def sample_with_replacement(rows: DataFrame, id_col: str, n: int, seed: int = 0) -> DataFrame:
-    """``n`` uniform draws with replacement, repeatable on any cluster."""
+def sample_with_replacement(
+    rows: DataFrame, id_col: str, n: int | None = None, seed: int = 0
+) -> DataFrame:
+    """``n`` uniform draws with replacement, repeatable on any cluster.
+
+    Without ``n`` there are as many draws as rows, one epoch; nothing is counted before
+    the plan runs.
+    """
     ordered = _hash_order(rows, [], id_col, seed, "_at")
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    draws = rows.sparkSession.range(n).select(F.col("id").alias("draw")).withColumn("_n", total)
+    if n is None:
+        draws = ordered.select(F.col("_at").alias("draw")).withColumn("_n", total)
+    else:
+        draws = rows.sparkSession.range(n).select(F.col("id").alias("draw")).withColumn("_n", total)
     draws = draws.withColumn("_at", draw(F.col("_n"), seed, F.col("draw"))).drop("_n")
     return draws.join(ordered, "_at").drop("_at")

@@ -149,7 +149,6 @@ CELLS_SQL = """(
   SELECT CAST(year(l_shipdate) AS INT) AS year, l_partkey % 256 AS col, l_suppkey % 181 AS row,
          count(*) AS value
   FROM lineitem GROUP BY ALL)"""
-CELL_YEARS = (1997, 1998, 1999)
 CELL_EDGES = (1, 4, 16, 64)  # the grid is 256 cells wide
 
 

@@ -15,6 +15,7 @@ from tidewater.operators.conversation import map_merge
 from tidewater.operators.ingest import download_reconcile, pending
 from tidewater.plans import bindings as B
 from tidewater.plans.registry import query
+from tidewater.session import shared_path
 from tidewater.sources import scans, sinks
 from tidewater.sources.scans import table
 
@@ -463,9 +464,10 @@ def _(spark, d):
        FROM lineitem GROUP BY 1""",
 )
 def _(spark, d):
-    rows = table(spark, d, "lineitem").select("l_shipdate", "l_quantity")
-    by_year = {y: rows.where(F.year("l_shipdate") == y).drop("l_shipdate") for y in range(1992, 2003)}
-    return scans.year_union(by_year).groupBy("year").agg(
+    path = shared_path(spark, "years")
+    rows = table(spark, d, "lineitem").select(F.year("l_shipdate").alias("year"), "l_quantity")
+    rows.write.partitionBy("year").parquet(path)
+    return scans.year_union(spark, path).groupBy("year").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity")
     )
 

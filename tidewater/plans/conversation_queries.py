@@ -263,20 +263,21 @@ SIZED_BRIEFS_SQL = f"""(
         b2 AS (SELECT conv_id, budget - coalesce((SELECT sum(size) FROM s WHERE s.conv_id = b1.conv_id), 0) AS budget FROM b1),
         m AS (SELECT * FROM {fit_sql(f"(SELECT conv_id, ordinal, size FROM {SIZED_BRIEFS_SQL})", "b2", "ordinal")})
         SELECT conv_id, 'tail' AS layer, turn AS pos FROM t WHERE kept AND NOT overflow
-        UNION ALL SELECT conv_id, 'summary', segment FROM s UNION ALL SELECT conv_id, 'brief', ordinal FROM m""",
+        UNION ALL SELECT conv_id, 'summary', segment FROM s UNION ALL SELECT conv_id, 'brief', ordinal FROM m
+        UNION ALL SELECT DISTINCT conv_id, 'overflow', 0 FROM t WHERE overflow""",
 )
 def _(spark, d):
     tail, summaries, state = view_parts(spark, d)
     sized = state.withColumn("_line", V.brief_json()).withColumn(
         "size", (F.ceil((F.length("_line") + 5) / 4) + 3).cast("long")
     )
-    rows, texts, lines = V.fit_to_ceiling(tail, summaries, sized, ceilings(spark, d, CEILING))
+    rows, texts, lines, lost = V.fit_to_ceiling(tail, summaries, sized, ceilings(spark, d, CEILING))
     part = lambda df, name, pos: df.select(
         "conv_id", F.lit(name).alias("layer"), F.col(pos).cast("long").alias("pos")
     )
     return part(rows, "tail", "turn").unionByName(part(texts, "summary", "segment")).unionByName(
         part(lines, "brief", "ordinal")
-    )
+    ).unionByName(part(lost.withColumn("pos", F.lit(0)), "overflow", "pos"))
 
 
 @query(

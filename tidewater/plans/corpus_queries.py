@@ -241,31 +241,38 @@ def keyword_sql(terms: str, cand: int) -> str:
       WHERE rank <= {cand})"""
 
 
-# the first line of every benchmark text is short enough to be met by whole documents
-TITLE = "regexp_extract(text, '([A-Za-z]+[^A-Za-z]+[A-Za-z]+[^A-Za-z]+[A-Za-z]+)', 1)"
 TERMS_SQL = f"""(
-  SELECT item_id AS query_id, list_distinct(list_filter(regexp_extract_all(lower({TITLE}), '[\\p{{L}}\\p{{N}}]+'),
-         lambda x: NOT list_contains({STOPS_SQL}, x))) AS t FROM benchmark)"""
-
-
-def short_queries(spark, d):
-    """Three-word queries, one per benchmark item."""
-    title = F.regexp_extract("text", "([A-Za-z]+[^A-Za-z]+[A-Za-z]+[^A-Za-z]+[A-Za-z]+)", 1)
-    return search_queries(spark, d).withColumn("text", title)
+  SELECT query_id, list_distinct(list_filter({WORDS_SQL}, lambda x: NOT list_contains({STOPS_SQL}, x))) AS t
+  FROM SOURCE)"""
+SENTENCES_SQL = f"""(
+  SELECT CAST(item_id AS VARCHAR) || '-' || CAST(i AS VARCHAR) AS query_id, s AS text
+  FROM (SELECT item_id, unnest(string_split(text, '.')) AS s,
+               generate_subscripts(string_split(text, '.'), 1) - 1 AS i FROM benchmark)
+  WHERE len(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}]+')) BETWEEN 3 AND 5)"""
+FULL_TERMS_SQL = TERMS_SQL.replace("SOURCE", "(SELECT item_id AS query_id, text FROM benchmark)")
+SENTENCE_TERMS_SQL = TERMS_SQL.replace("SOURCE", SENTENCES_SQL)
+
+
+def sentence_queries(spark, d):
+    """Every sentence of three to five words in the benchmark texts: short queries."""
+    sentences = table(spark, d, "benchmark").select(
+        "item_id", F.posexplode(F.split("text", "[.]", -1)).alias("i", "text")
+    )
+    words = F.size(F.regexp_extract_all(F.lower("text"), F.lit("([\\p{L}\\p{N}]+)"), 1))
+    return sentences.where(words.between(3, 5)).select(
+        F.concat_ws("-", "item_id", "i").alias("query_id"), "text"
+    )
 
 
 @query(
     "doc_keyword_search",
-    f"SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM {keyword_sql(TERMS_SQL, 20)}",
+    f"SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM {keyword_sql(SENTENCE_TERMS_SQL, 20)}",
 )
 def _(spark, d):
-    found = Q.keyword_search(short_queries(spark, d), chunks(spark, d))
+    found = Q.keyword_search(sentence_queries(spark, d), chunks(spark, d))
     return found.withColumn("score", B.rounded("score"))
 
 
-FULL_TERMS_SQL = TERMS_SQL.replace(TITLE, "text")
-
-
 @query(
     "doc_passage_search",
     f"SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM {keyword_sql(FULL_TERMS_SQL, 20)}",
@@ -288,11 +295,11 @@ def fusion_sql(vector: str, keyword: str, k: int) -> str:
 @query(
     "rrf_fusion",
     f"""SELECT query_id, chunk_id, vrank, krank, round(score, 6) AS score, rank
-        FROM {fusion_sql(vector_sql('documents', 20), keyword_sql(TERMS_SQL, 20), 10)}""",
+        FROM {fusion_sql(vector_sql('documents', 20), keyword_sql(FULL_TERMS_SQL, 20), 10)}""",
 )
 def _(spark, d):
     vector = _vector(spark, d, k=Q.CANDIDATES)
-    keyword = Q.keyword_search(short_queries(spark, d), chunks(spark, d))
+    keyword = Q.keyword_search(search_queries(spark, d), chunks(spark, d))
     return Q.rrf_fusion(vector, keyword, k=10).withColumn("score", B.rounded("score"))
 
 

@@ -17,14 +17,14 @@ from tidewater.session import stored
 from tidewater.sources.scans import table
 
 X0, Y0, SCALE = B.GRID
-YEAR_SQL = "CAST(1996 + individual_id % 4 AS INT)"  # one of the four years has no raster
+YEAR_SQL = "CAST(1991 + individual_id % 8 AS INT)"  # the first of the years has no raster
 
 
 def boxes(spark, d):
     """Core range of every individual, with a year to look at; a table that later steps read."""
     ranges = H.core_bbox(B.sightings(spark, d)).select(
         F.col("individual_id").alias("request_id"),
-        F.expr("cast(1996 + individual_id % 4 as int)").alias("year"),
+        F.expr("cast(1991 + individual_id % 8 as int)").alias("year"),
         *H.BOX,
     )
     return stored(ranges, "ranges")
@@ -86,19 +86,19 @@ def _(spark, d):
 
 @query(
     "box_cell_join",
-    f"""SELECT request_id, b.year, col, row, value
-        FROM {ranged_sql(BOXES_SQL.replace('FROM ' + CORE_SQL, 'FROM ' + CORE_SQL + ' WHERE n_sightings <= 4'))} b
-        JOIN {B.CELLS_SQL} c ON c.year = b.year AND col BETWEEN c0 AND c1 AND row BETWEEN r0 AND r1""",
+    f"""SELECT request_id, b.year, count(*) AS n_cells, CAST(sum(value) AS BIGINT) AS transits,
+               CAST(sum(col * 1000 + row) AS BIGINT) AS places
+        FROM {ranged_sql(BOXES_SQL)} b
+        JOIN {B.CELLS_SQL} c ON c.year = b.year AND col BETWEEN c0 AND c1 AND row BETWEEN r0 AND r1
+        GROUP BY ALL""",
 )
 def _(spark, d):
-    """The cells themselves in the range of every seldom seen individual."""
-    few = H.core_bbox(B.sightings(spark, d)).where("n_sightings <= 4").select(
-        F.col("individual_id").alias("request_id"),
-        F.expr("cast(1996 + individual_id % 4 as int)").alias("year"),
-        *H.BOX,
-    )
-    return R.box_cells(R.cell_range(few, *B.GRID), B.cells(spark, d)).select(
-        "request_id", "year", "col", "row", "value"
+    """The cells themselves in the range of every individual, as count and sums per range."""
+    inside = R.box_cells(R.cell_range(boxes(spark, d), *B.GRID), B.cells(spark, d))
+    return inside.groupBy("request_id", "year").agg(
+        F.count(F.lit(1)).alias("n_cells"),
+        F.sum("value").alias("transits"),
+        F.sum(F.col("col") * 1000 + F.col("row")).alias("places"),
     )
 
 
@@ -108,7 +108,7 @@ def _(spark, d):
     return out.withColumn("zones", F.array_join("zones", "|"))
 
 
-YEARS_SQL = "(" + ", ".join(map(str, B.CELL_YEARS)) + ")"
+YEARS_SQL = f"(SELECT year FROM {B.CELLS_SQL})"
 
 
 def traffic_sql(boxes_sql: str) -> str:
@@ -132,7 +132,8 @@ def answers_sql(boxes_sql: str) -> str:
              CASE WHEN ok THEN coalesce(zones, '') END AS zones,
              CASE WHEN ok THEN zones IS NOT NULL END AS lane_overlap,
              CASE WHEN year NOT IN {YEARS_SQL} THEN 'No AIS data for year ' || CAST(year AS VARCHAR)
-                       || ' (have {B.CELL_YEARS})'
+                       || ' (have ' || (SELECT string_agg(DISTINCT CAST(year AS VARCHAR), ', ' ORDER BY CAST(year AS VARCHAR))
+                                             FROM {B.CELLS_SQL}) || ')'
                   WHEN NOT ok THEN 'Region outside AIS coverage'
                   ELSE format('{{:,}}', coalesce(total_transits, 0)) || ' vessel transits (' || CAST(year AS VARCHAR)
                        || ') over ' || format('{{:,}}', coalesce(trafficked_cells, 0)) || ' cells (mean '
@@ -155,7 +156,7 @@ def _answers(out):
 def _(spark, d):
     return _answers(
         R.vessel_traffic(
-            boxes(spark, d), raster(spark, d), B.zones(spark), B.GRID, years=B.CELL_YEARS, edges=B.CELL_EDGES
+            boxes(spark, d), raster(spark, d), B.zones(spark), B.GRID, edges=B.CELL_EDGES
         )
     )
 
@@ -173,7 +174,7 @@ def _(spark, d):
     )
     return _answers(
         R.traffic_at_point(
-            points, raster(spark, d), B.zones(spark), B.GRID, years=B.CELL_YEARS, edges=B.CELL_EDGES
+            points, raster(spark, d), B.zones(spark), B.GRID, edges=B.CELL_EDGES
         )
     )
 
@@ -197,7 +198,7 @@ def range_exposure(spark, d, year=1998):
         "ranges",
     )
     return R.vessel_traffic(
-        ranges, raster(spark, d), B.zones(spark), B.GRID, years=B.CELL_YEARS, edges=B.CELL_EDGES
+        ranges, raster(spark, d), B.zones(spark), B.GRID, edges=B.CELL_EDGES
     ).withColumnRenamed("request_id", "individual_id")
 
 
@@ -249,22 +250,26 @@ def _(spark, d):
     return profile.withColumn("zones", F.array_join("zones", "|"))
 
 
+ZONE_NAMES = ("Bank", "Bay", "Channel", "Olympic")
+
+
 @query(
     "zone_to_chunks",
-    f"""SELECT request_id, doc_id AS chunk_id, z.name AS sanctuary
+    f"""SELECT request_id, z.name AS sanctuary, count(*) AS n_chunks, CAST(sum(doc_id) AS BIGINT) AS chunk_sum
         FROM (SELECT DISTINCT request_id, name FROM {BOXES_SQL} JOIN {B.ZONES_SQL}
-              ON lon_min <= xmax AND lon_max >= xmin AND lat_min <= ymax AND lat_max >= ymin
-              WHERE request_id < 0 OR lat_max - lat_min < 3) z
-        JOIN (SELECT doc_id, CASE source WHEN 'src1' THEN 'Bank' WHEN 'src2' THEN 'Bay' WHEN 'src3' THEN 'Channel'
-                             END AS s FROM documents) ON s = z.name""",
+              ON lon_min <= xmax AND lon_max >= xmin AND lat_min <= ymax AND lat_max >= ymin) z
+        JOIN (SELECT doc_id, {list(ZONE_NAMES)!r}[CAST(substr(source, 4) AS INT) % {len(ZONE_NAMES)} + 1] AS s
+              FROM documents) ON s = z.name
+        GROUP BY ALL""",
 )
 def _(spark, d):
-    """Documents about the zones of every narrow range."""
-    names = {"src1": "Bank", "src2": "Bay", "src3": "Channel"}
-    pairs = [F.lit(x) for pair in names.items() for x in pair]
+    """Documents about the zones of every range, as count and sum per range and zone."""
+    number = F.substring("source", 4, 9).cast("int") % len(ZONE_NAMES)
     chunks = table(spark, d, "documents").select(
         F.col("doc_id").alias("chunk_id"),
-        F.try_element_at(F.create_map(*pairs), F.col("source")).alias("sanctuary"),
+        F.element_at(F.array(*map(F.lit, ZONE_NAMES)), number + 1).alias("sanctuary"),
+    )
+    found = zone_to_chunks(R.zone_overlap(boxes(spark, d), B.zones(spark)), chunks)
+    return found.groupBy("request_id", "sanctuary").agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.sum("chunk_id").alias("chunk_sum")
     )
-    narrow = boxes(spark, d).where("lat_max - lat_min < 3")
-    return zone_to_chunks(R.zone_overlap(narrow, B.zones(spark)), chunks)

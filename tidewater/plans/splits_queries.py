@@ -192,13 +192,13 @@ def _(spark, d):
     f"""WITH p AS (SELECT individual_id, sighting_id, row_number() OVER (ORDER BY {_hash('sighting_id')}, sighting_id) - 1 AS at_,
                           count(*) OVER () AS n FROM {POOL_SQL}),
         w AS (SELECT draw, {_draw('n', 'draw')} AS at_
-              FROM (SELECT unnest(generate_series(0, greatest(1, (SELECT count(*) FROM {POOL_SQL}) // 10) - 1)) AS draw)
+              FROM (SELECT unnest(generate_series(0, (SELECT count(*) FROM {POOL_SQL}) - 1)) AS draw)
               CROSS JOIN (SELECT count(*) AS n FROM {POOL_SQL}))
         SELECT draw, individual_id, sighting_id FROM w JOIN p USING (at_)""",
 )
 def _(spark, d):
     rows = pool(spark, d).select("individual_id", "sighting_id")
-    return P.sample_with_replacement(rows, "sighting_id", max(1, rows.count() // 10), seed=SEED)
+    return P.sample_with_replacement(rows, "sighting_id", seed=SEED)
 
 
 @query(

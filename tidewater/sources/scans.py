@@ -114,13 +114,13 @@ def zone_rings(zones: DataFrame) -> DataFrame:
     )
 
 
-def year_union(tables: dict[int, DataFrame]) -> DataFrame:
-    """Yearly tables under one name, with the year as a literal column."""
-    parts = [df.withColumn("year", F.lit(year).cast("int")) for year, df in sorted(tables.items())]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union
+def year_union(spark: SparkSession, path: str) -> DataFrame:
+    """Yearly tables below ``path`` (``year=...`` folders) under one name, with the year as a column.
+
+    One scan, whatever the years are; a filter on the year reads its folders only, and
+    rows without a year stay, with a null.
+    """
+    return spark.read.parquet(path).withColumn("year", F.col("year").cast("int"))
 
 
 def path_normalize(path: Column, root: str) -> Column:
