@@ -40,6 +40,25 @@ def test_segments_over_batches_and_replays(spark, tmp_path):
     assert run() == [(0, 0, 1, 2, 20), (1, 2, 3, 2, 20)]
 
 
+def test_segments_wait_for_late_turns(spark, tmp_path):
+    """Turns that arrive out of order give the slices of the ordered log."""
+    source, out = tmp_path / "log", str(tmp_path / "out")
+    for turns in ((2, 3), (0, 1), (1, 4), (5, 4)):
+        put(spark, source, [(1, t, "human", "x" * 10) for t in turns], LOG)
+        jobs.run_to_end(jobs.stream_segments(jobs.read_stream(spark, str(source)), 15, 0, chars), out)
+    rows = spark.read.parquet(out).collect()
+    assert sorted((r.segment, r.start_turn, r.end_turn, r.n_messages) for r in rows) == [(0, 0, 1, 2), (1, 2, 3, 2), (2, 4, 5, 2)]
+
+
+def test_a_gap_is_taken_as_real_when_too_many_turns_wait(spark, tmp_path):
+    source, out = tmp_path / "log", str(tmp_path / "out")
+    put(spark, source, [(1, t, "human", "x" * 10) for t in (5, 6, 9, 10)], LOG)
+    log = jobs.read_stream(spark, str(source))
+    jobs.run_to_end(jobs.stream_segments(log, 15, 0, chars, patience=2), out)
+    rows = spark.read.parquet(out).collect()
+    assert [(r.segment, r.start_turn, r.end_turn) for r in rows] == [(0, 5, 6)]
+
+
 def test_tool_rows_do_not_fill_a_slice(spark, tmp_path):
     source, out = tmp_path / "log", str(tmp_path / "out")
     put(spark, source, [(1, 0, "human", "x" * 10), (1, 1, "tool", "x" * 99), (1, 2, "human", "x")], LOG)
@@ -64,6 +83,21 @@ def test_tool_elapsed_keeps_starts_between_batches(spark, tmp_path):
     assert run() == {"b": (-1, None), "a": (5000, "t"), "c": (2000, "u")}
 
 
+def test_a_long_run_keeps_its_start(spark, tmp_path):
+    source, out = tmp_path / "runs", str(tmp_path / "out")
+    at = lambda s: spark.sql(f"select timestamp'2024-01-01 00:00:00' + interval {s} seconds").first()[0]
+    for rows in (
+        [("a", "start", at(0), "t")],
+        [("b", "start", at(10_000), "t")],
+        [("b", "end", at(20_000), "t")],
+        [("a", "end", at(20_001), "t")],
+    ):
+        put(spark, source, rows, RUNS)
+        jobs.run_to_end(jobs.stream_tool_elapsed(jobs.read_stream(spark, str(source))), out)
+    got = {r.run_id: r.elapsed_ms for r in spark.read.parquet(out).collect()}
+    assert got == {"a": 20_001_000, "b": 10_000_000}
+
+
 def test_usage_over_batches(spark, tmp_path):
     source, out = tmp_path / "calls", str(tmp_path / "out")
     schema = "role string, input_tokens long, output_tokens long"

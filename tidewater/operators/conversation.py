@@ -538,10 +538,15 @@ def retention_apply(cold: DataFrame, policies: DataFrame, extract_chars: int = 2
 
     cold: messages with ``tool_name``; policies: ``tool_name, policy`` (one row
     per tool). Kept results stay, external ones move to the payload table and
-    leave a stub, ephemeral ones leave a tombstone. A tool without a policy is kept.
+    leave a stub, ephemeral ones leave a tombstone. A tool without a policy is kept;
+    a policy of another name fails the job.
     """
+    unknown = F.concat(F.lit("unknown retention policy "), F.col("policy"))
+    known = F.when(F.col("policy").isin(*RETENTION), F.col("policy")).when(
+        F.col("policy").isNotNull(), F.raise_error(unknown).cast("string")
+    )
     joined = cold.join(policies, "tool_name", "left")
-    policy = F.when(F.col("role") == TOOL, F.coalesce("policy", F.lit(RETENTION[0])))
+    policy = F.when(F.col("role") == TOOL, F.coalesce(known, F.lit(RETENTION[0])))
     ref = F.concat(F.lit("ref_"), F.sha2(F.concat_ws("/", "conv_id", "msg_id"), 256))
     judged = joined.withColumns({"policy": policy, "ref": F.when(policy != RETENTION[0], ref)})
     stub = F.concat(F.left("content", F.lit(extract_chars)), F.lit(" ["), F.col("ref"), F.lit("]"))

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from tidewater.operators.catalog import license_not_denied
 from tidewater.operators.embedders import Embedder, embed_rows
@@ -44,13 +40,11 @@ def embed_pending(
     return insert_if_absent(existing, new, ["sighting_id", "embedder_ver"])
 
 
-@F.pandas_udf(BooleanType())
-def jpeg_complete(content: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Whether the bytes start and end like a complete JPEG file."""
-    for batch in content:
-        yield batch.map(
-            lambda b: b is not None and b[:3] == b"\xff\xd8\xff" and b.rstrip(b"\x00")[-2:] == b"\xff\xd9"
-        ).astype(bool)
+def jpeg_complete(content: str) -> Column:
+    """Whether the bytes start and end like a complete JPEG file; zeros may follow the end."""
+    body = F.decode(F.col(content), "ISO-8859-1")  # a character per byte
+    ends = F.rtrim(body, F.lit("\x00")).endswith("\xff\xd9")
+    return F.coalesce(body.startswith("\xff\xd8\xff") & ends, F.lit(False))
 
 
 def flag_unreadable(

@@ -179,8 +179,7 @@ def coverage(boxes: DataFrame, cells: DataFrame) -> DataFrame:
 
     The cell range of a covered box is cut to the extent.
     """
-    # one row per raster year, whatever the number of cells
-    extent = F.broadcast(raster_extent(cells))
+    extent = raster_extent(cells)
     meets = (
         (F.col("c0") <= F.col("_c1")) & (F.col("c1") >= F.col("_c0"))
         & (F.col("r0") <= F.col("_r1")) & (F.col("r1") >= F.col("_r0"))

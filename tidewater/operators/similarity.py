@@ -228,15 +228,15 @@ def best_per_individual(images: DataFrame, k: int | None = TOP_INDIVIDUALS) -> D
     An individual has the score and the image of its best candidate and the
     number of its candidate images as support.
     """
-    best = F.max(F.struct("score", (-F.col("image_id")).alias("neg")))
+    best = F.min(F.struct((-F.col("score")).alias("low"), "image_id"))
     people = (
         images.groupBy("query_id", "individual_id")
         .agg(best.alias("_b"), F.count(F.lit(1)).alias("n_images"))
         .select(
             "query_id",
             "individual_id",
-            F.col("_b.score").alias("score"),
-            (-F.col("_b.neg")).alias("image_id"),
+            (-F.col("_b.low")).alias("score"),
+            F.col("_b.image_id").alias("image_id"),
             "n_images",
         )
     )

@@ -22,9 +22,6 @@ from tidewater.operators.usage import usage_rollup
 # fixed values: event kinds of a turn that reach the reader
 MODEL_TEXT, TOOL_START, TOOL_END = "on_chat_model_stream", "on_tool_start", "on_tool_end"
 
-STATE_BUCKETS = 64  # runs share a state row, so a batch makes few Python calls
-
-
 def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """A Parquet folder or file as a stream, with the schema of what is there now.
 
@@ -92,85 +89,87 @@ def running_usage(calls: DataFrame, prices: DataFrame, path: str) -> None:
     query.awaitTermination()
 
 
-def _match_runs(
+def _match_run(
     key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
-    pending: dict[str, tuple[int, str]] = {}
-    if state.exists:
-        ids, starts, tools = state.get
-        pending = {i: (int(t), n) for i, t, n in zip(ids, starts, tools)}
+    """One run: its open start is the state, until its end or the timeout."""
+    start, name = state.get if state.exists else (None, None)
     if state.hasTimedOut:
         state.remove()
         return
-    rows = pd.concat(list(batches)).sort_values(["ts", "phase"], ascending=[True, False])
     out = []
-    for run_id, phase, ts, tool in zip(rows["run_id"], rows["phase"], rows["ts"], rows["tool"]):
-        at = int(ts.value // 1000)
-        if phase == "start":
-            pending[run_id] = (at, tool)
-            continue
-        start, name = pending.pop(run_id, (None, None))
-        elapsed = -1 if start is None else round((at - start) / 1000)
-        out.append((run_id, name, elapsed))
-    floor = state.getCurrentWatermarkMs() * 1000
-    pending = {i: p for i, p in pending.items() if p[0] >= floor}
-    if pending:
-        state.update(
-            (list(pending), [p[0] for p in pending.values()], [p[1] for p in pending.values()])
-        )
-        state.setTimeoutTimestamp(max(p[0] for p in pending.values()) // 1000 + 1)
+    for rows in batches:
+        rows = rows.sort_values(["ts", "phase"], ascending=[True, False])
+        for phase, ts, tool in zip(rows["phase"], rows["ts"], rows["tool"]):
+            at = int(ts.value // 1000)
+            if phase == "start":
+                start, name = at, tool
+                continue
+            out.append((key[0], name, -1 if start is None else round((at - start) / 1000)))
+            start = name = None
+    if start is not None:
+        state.update((start, name))
+        state.setTimeoutTimestamp(max(start // 1000, state.getCurrentWatermarkMs()) + 1)
     elif state.exists:
         state.remove()
     yield pd.DataFrame(out, columns=["run_id", "tool", "elapsed_ms"])
 
 
-def stream_tool_elapsed(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
+def stream_tool_elapsed(events: DataFrame, open_for: str = "30 days") -> DataFrame:
     """Elapsed milliseconds per tool run from ``run_id, phase, ts, tool`` events.
 
-    An end without a pending start gives -1. Starts older than the watermark are
-    dropped from the state, so it holds the runs in flight only.
+    An end without a pending start gives -1. A start stays open until its end, or until
+    an event ``open_for`` later than it has been read; events that late are dropped. The
+    state has one row per open run, so a batch touches only the runs it has.
     """
-    bucket = F.pmod(F.xxhash64("run_id"), F.lit(STATE_BUCKETS)).cast("int")
     return (
         events.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", lateness)
-        .withColumn("bucket", bucket)
-        .groupBy("bucket")
+        .withWatermark("ts", open_for)
+        .groupBy("run_id")
         .applyInPandasWithState(
-            _match_runs,
+            _match_run,
             "run_id string, tool string, elapsed_ms long",
-            "ids array<string>, starts array<long>, tools array<string>",
+            "start long, tool string",
             "append",
             GroupStateTimeout.EventTimeTimeout,
         )
     )
 
 
-def _segmenter(budget: int, live_tail: int) -> Callable:
+def _segmenter(budget: int, live_tail: int, first_turn: int, patience: int) -> Callable:
     def step(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        # last turn seen, slice number, its first turn, messages and tokens, and the live tail
-        last, segment, first, count, held, turns, sizes = (
-            state.get if state.exists else (-1, 0, -1, 0, 0, [], [])
+        # turn to go on with, turns that came too early, slice number, its first turn,
+        # messages and tokens, and the live tail
+        due, early, early_sizes, segment, first, count, held, turns, sizes = (
+            state.get if state.exists else (first_turn, [], [], 0, -1, 0, 0, [], [])
         )
+        waiting = dict(zip(early, early_sizes))
         turns, sizes = list(turns), list(sizes)
-        rows = pd.concat(list(batches)).sort_values("turn").drop_duplicates("turn")
         out = []
-        for turn, tokens in zip(rows["turn"], rows["tokens"]):
-            if turn <= last:
-                continue  # a replayed message
-            last = int(turn)
-            turns.append(last)
-            sizes.append(int(tokens))
-            while len(turns) > live_tail:
-                at, size = turns.pop(0), sizes.pop(0)
-                first = at if first < 0 else first
-                count, held = count + 1, held + size
-                if held >= budget:
-                    out.append((key[0], segment, first, at, count, held))
-                    segment, first, count, held = segment + 1, -1, 0, 0
-        state.update((last, segment, first, count, held, turns, sizes))
+        for rows in batches:
+            for turn, tokens in zip(rows["turn"].tolist(), rows["tokens"].tolist()):
+                if turn >= due:  # an earlier turn has been counted: a replayed message
+                    waiting[turn] = tokens
+            while waiting:
+                if due not in waiting and len(waiting) > patience:
+                    due = min(waiting)  # the missing turns are taken as never sent
+                if due not in waiting:
+                    break
+                turns.append(due)
+                sizes.append(waiting.pop(due))
+                due += 1
+                while len(turns) > live_tail:
+                    at, size = turns.pop(0), sizes.pop(0)
+                    first = at if first < 0 else first
+                    count, held = count + 1, held + size
+                    if held >= budget:
+                        out.append((key[0], segment, first, at, count, held))
+                        segment, first, count, held = segment + 1, -1, 0, 0
+        state.update(
+            (due, list(waiting), list(waiting.values()), segment, first, count, held, turns, sizes)
+        )
         yield pd.DataFrame(
             out,
             columns=["conv_id", "segment", "start_turn", "end_turn", "n_messages", "prose_tokens"],
@@ -182,21 +181,25 @@ def _segmenter(budget: int, live_tail: int) -> Callable:
 def stream_segments(
     messages: DataFrame, budget: int, live_tail: int,
     counter: Callable[[Column, Column], Column] = token_estimate,
+    first_turn: int = 0, patience: int = 1000,
 ) -> DataFrame:
     """Closed slices as they fill up; the state is the open slice and the live tail.
 
-    Replayed messages are ignored, so a slice is written once.
+    Turns are counted in order, from ``first_turn`` on: one that comes early waits for the
+    missing ones, so the slices do not depend on how the log is cut into batches. Only
+    when more than ``patience`` turns wait is the gap before them taken as real. A turn
+    that has been counted is a replay and ignored, so a slice is written once.
     """
     tokens = F.when(prose_flag(messages), counter(F.col("role"), F.col("content"))).otherwise(0)
     return (
         messages.select("conv_id", "turn", tokens.cast("long").alias("tokens"))
         .groupBy("conv_id")
         .applyInPandasWithState(
-            _segmenter(budget, live_tail),
+            _segmenter(budget, live_tail, first_turn, patience),
             "conv_id long, segment long, start_turn long, end_turn long, n_messages long, "
             "prose_tokens long",
-            "last long, segment long, first long, count long, held long, "
-            "turns array<long>, sizes array<long>",
+            "due long, early array<long>, early_sizes array<long>, segment long, first long, "
+            "count long, held long, turns array<long>, sizes array<long>",
             "append",
             GroupStateTimeout.NoTimeout,
         )
