@@ -135,9 +135,62 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op10_line_segments")
+LINE_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, text, count(*) AS n_rows FROM documents GROUP BY doc_id, text),
+split AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+         unnest(range(len(string_split(text, chr(10))))) AS line_no
+  FROM docs),
+occ AS (
+  SELECT * FROM split WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]')) > 0),
+lines AS (
+  SELECT line, len(line) AS n, count(*) AS copies,
+         min({'late': doc_id IS NULL, 'id': doc_id, 'no': line_no}) AS place
+  FROM occ GROUP BY line),
+long_ AS (
+  SELECT line, n, substr(line, 1, CAST(floor(n / 2) AS INT)) AS head,
+         substr(line, CAST(floor(n / 2) AS INT) + 1, n) AS tail FROM lines WHERE n >= 32),
+probes AS (
+  SELECT line, n, n AS other, head, tail FROM long_
+  UNION ALL
+  SELECT line, n, n - 1, substr(line, 1, CAST(floor((n - 1) / 2) AS INT)), substr(line, CAST(floor((n - 1) / 2) AS INT) + 2, n)
+  FROM long_),
+pairs AS (
+  SELECT a.line AS a, b.line AS b FROM long_ a JOIN probes b ON a.n = b.other AND a.head = b.head WHERE a.line <> b.line
+  UNION
+  SELECT a.line, b.line FROM long_ a JOIN probes b ON a.n = b.other AND a.tail = b.tail WHERE a.line <> b.line),
+links AS (
+  SELECT a, b FROM pairs WHERE levenshtein(a, b) <= 1
+  UNION SELECT b, a FROM pairs WHERE levenshtein(a, b) <= 1),
+reach AS (
+  SELECT a AS line, a AS other FROM links
+  UNION SELECT r.line, l.b FROM reach r JOIN links l ON r.other = l.a),
+firsts AS (
+  SELECT x.line, min({'place': y.place, 'line': y.line}) AS keep
+  FROM (SELECT line, other FROM reach UNION SELECT line, line FROM lines) x JOIN lines y ON x.other = y.line
+  GROUP BY x.line),
+lost AS (
+  SELECT o.doc_id, o.text, o.line_no, o.line <> f.keep.line AS near
+  FROM occ o JOIN firsts f USING (line)
+  WHERE o.line_no <> f.keep.place.no OR o.doc_id IS DISTINCT FROM f.keep.place.id),
+gone AS (
+  SELECT doc_id, text, count(*) AS n_dropped, count(*) FILTER (WHERE near) AS n_near,
+         array_to_string(list(line_no ORDER BY line_no), ',') AS dropped
+  FROM lost GROUP BY doc_id, text),
+held AS (SELECT doc_id, text, count(*) AS n_lines FROM occ GROUP BY doc_id, text)
+SELECT d.doc_id, d.n_rows, coalesce(h.n_lines, 0) AS n_lines, coalesce(g.n_dropped, 0) AS n_dropped,
+       coalesce(g.n_near, 0) AS n_near, coalesce(g.dropped, '') AS dropped
+FROM docs d
+LEFT JOIN held h ON d.doc_id IS NOT DISTINCT FROM h.doc_id AND d.text IS NOT DISTINCT FROM h.text
+LEFT JOIN gone g ON d.doc_id IS NOT DISTINCT FROM g.doc_id AND d.text IS NOT DISTINCT FROM g.text
+"""
+
+
+@query("op10_line_segments", LINE_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
-    return linededup.deduplicated(table(spark, folder, "documents"))
+    out = linededup.deduplicated(table(spark, folder, "documents"))
+    return out.withColumn("dropped", F.array_join("dropped", ","))
 
 
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
