@@ -30,7 +30,87 @@ URL_RULES = (
 )
 
 
-@query("op2_url_templates")
+def url_sql(tree: urltree.Tree, rules: tuple[urltree.Rule, ...]) -> str:
+    """The tree as SQL: a step per level for the wildcards, then one per level for the merges."""
+    d = tree.depth
+    tail = r"'^(.*?)((?:\.[A-Za-z][A-Za-z0-9]{0,5})?)$'"
+    stem, end = f"regexp_extract(x, {tail}, 1)", f"regexp_extract(x, {tail}, 2)"
+    shapes = " ".join(
+        f"WHEN regexp_matches({stem}, '{pattern.replace('(?=[^0-9]*[0-9])', '')}')"
+        + (f" AND regexp_matches({stem}, '[0-9]')" if "(?=" in pattern else "")
+        + f" THEN '{mark}' || {end}"
+        for pattern, mark in urltree.SHAPES
+    )
+    fits = lambda r: f"(r.host = '{r.host}' OR ends_with(r.host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    ordered = sorted(rules, key=lambda r: (-len(r.text), r.verdict != "block", r.text))
+    rule = " ".join(f"WHEN {fits(r)} THEN '{r.text}'" for r in ordered)
+    verdict = " ".join(f"WHEN {fits(r)} THEN '{r.verdict}'" for r in ordered)
+    upper = urltree.UPPER
+    out = rf"""
+WITH known AS (
+  SELECT doc_id, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad
+  FROM labels GROUP BY doc_id),
+rests AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+named AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{upper}', '{upper.lower()}') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+numbered AS (
+  SELECT *, TRY_CAST(regexp_extract(path, '([0-9]{{1,18}})(?:\.[A-Za-z]+)?/?$', 1) AS BIGINT) AS doc FROM named),
+parts AS (
+  SELECT page_id, host, path, bad,
+         CASE WHEN path = '' THEN [] ELSE string_split(regexp_replace(path, '^/', ''), '/') END AS parts
+  FROM numbered LEFT JOIN known ON doc = doc_id),
+rows_ AS (
+  SELECT page_id, host, path, bad,
+         list_transform(CASE WHEN len(parts) > {d} THEN list_concat(parts[1:{d}], ['**']) ELSE parts END,
+                        lambda x: CASE {shapes} ELSE x END) AS shaped FROM parts),
+t0 AS (
+  SELECT host, shaped, count(*) AS n, count(bad) AS labels, coalesce(sum(bad), 0) AS bad, [] AS template
+  FROM (SELECT host, CAST(shaped AS VARCHAR[]) AS shaped, bad FROM rows_) GROUP BY host, shaped)"""
+    for k in range(1, d + 1):
+        before = f"t{k - 1}" if k > 1 else "(SELECT host, shaped, n, labels, bad, CAST(template AS VARCHAR[]) AS template FROM t0)"
+        out += f""",
+c{k} AS (SELECT *, CASE WHEN len(shaped) >= {k} THEN shaped[{k}] END AS child FROM {before} b),
+k{k} AS (SELECT host, template, child, sum(n) AS n FROM c{k} WHERE child IS NOT NULL GROUP BY host, template, child),
+p{k} AS (SELECT host, template, count(*) AS children, sum(n) AS total FROM k{k} GROUP BY host, template),
+l{k} AS (SELECT k{k}.host, k{k}.template, child FROM k{k} JOIN p{k} ON k{k}.host = p{k}.host AND k{k}.template = p{k}.template
+  WHERE children <= {tree.fanout} OR (n >= {tree.support} AND n >= {tree.share}::DOUBLE * total) OR child LIKE '<%' OR child = '**'),
+t{k} AS (SELECT c.host, shaped, n, labels, bad,
+  CASE WHEN c.child IS NULL THEN c.template ELSE list_concat(c.template, [CASE WHEN l.child IS NULL THEN '*' ELSE c.child END]) END AS template
+  FROM c{k} c LEFT JOIN l{k} l ON c.host = l.host AND c.template = l.template AND c.child = l.child)"""
+    out += f""",
+formed AS (SELECT host, shaped, labels, bad, CASE WHEN len(shaped) > {d} THEN list_concat(template, ['**']) ELSE template END AS template FROM t{d}),
+m{d + 1} AS (SELECT host, template, template AS merged, sum(labels) AS labels, sum(bad) AS bad FROM formed GROUP BY host, template)"""
+    for k in range(d, 0, -1):
+        out += f""",
+h{k} AS (SELECT *, CASE WHEN len(merged) >= {k}
+                        THEN list_concat(list_concat(merged[1:{k - 1}], ['~']), merged[{k + 1}:]) END AS masked FROM m{k + 1}),
+b{k} AS (SELECT host, masked, merged, sum(labels) AS l, sum(bad) AS b FROM h{k} WHERE masked IS NOT NULL GROUP BY host, masked, merged),
+q{k} AS (SELECT host, masked, sum(l) AS pl, sum(b) AS pb, count(*) AS branches FROM b{k} GROUP BY host, masked),
+j{k} AS (SELECT b.host, b.merged, b.masked AS into_ FROM b{k} b JOIN q{k} q ON b.host = q.host AND b.masked = q.masked
+  WHERE branches > 1 AND (l = 0 OR pow(b.b / l::DOUBLE - pb / pl::DOUBLE, 2)
+        - {tree.z**2!r}::DOUBLE * (pb / pl::DOUBLE) * (1 - pb / pl::DOUBLE) / l <= 0)),
+m{k} AS (SELECT h.host, template, coalesce(into_, h.merged) AS merged, labels, bad
+  FROM h{k} h LEFT JOIN j{k} j ON h.host = j.host AND h.merged = j.merged)"""
+    return out + f""",
+base AS (SELECT CASE WHEN sum(labels) > 0 THEN sum(bad) / sum(labels)::DOUBLE ELSE 0 END AS rate FROM m1),
+hosts AS (SELECT host, (sum(bad) + {tree.prior}::DOUBLE * any_value(rate)) / (sum(labels) + {tree.prior}::DOUBLE) AS host_rate
+  FROM m1, base GROUP BY host),
+purity AS (SELECT m1.host, merged, sum(labels) AS n_labels,
+    (sum(bad) + {tree.prior}::DOUBLE * any_value(host_rate)) / (sum(labels) + {tree.prior}::DOUBLE) AS bad_rate
+  FROM m1 JOIN hosts ON m1.host = hosts.host GROUP BY m1.host, merged)
+SELECT r.page_id, r.host, path, CASE {rule} END AS rule,
+       CASE {verdict} WHEN bad_rate >= {tree.max_bad}::DOUBLE AND n_labels >= {tree.min_labels} THEN 'block' ELSE 'allow' END AS verdict,
+       '/' || array_to_string(m1.merged, '/') AS template, CAST(n_labels AS BIGINT) AS n_labels, round(bad_rate, 9) AS bad_rate
+FROM (SELECT page_id, host, path, CAST(shaped AS VARCHAR[]) AS shaped FROM rows_) r
+JOIN formed f ON r.host = f.host AND r.shaped = f.shaped
+JOIN m1 ON f.host = m1.host AND f.template = m1.template
+JOIN purity ON m1.host = purity.host AND m1.merged = purity.merged
+"""
+
+
+@query("op2_url_templates", url_sql(urltree.Tree(), URL_RULES))
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     pages = urltree.page_labels(table(spark, folder, "pages"), table(spark, folder, "labels"))
     return urltree.judged_urls(pages, URL_RULES).withColumnRenamed("id", "page_id")
