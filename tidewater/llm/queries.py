@@ -194,7 +194,31 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-@query("op9_stratified_shards")
+SHARD_SQL = """
+WITH steps AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v
+    FROM range(256) r(i))),
+keyed AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+         substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS k FROM documents),
+ranked AS (
+  SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY k, doc_id NULLS LAST) - 1)::DOUBLE
+            / (2 * count(*) OVER (PARTITION BY source)) AS at_ FROM keyed),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY at_, source NULLS LAST, k, doc_id NULLS LAST) - 1 AS place,
+         count(*) OVER () AS total FROM ranked),
+sharded AS (SELECT *, place * 16 // total AS shard FROM placed)
+SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS size,
+       CASE WHEN text = '' THEN 0 ELSE
+         xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+                         lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) END AS text_crc32,
+       'rows' AS law, CAST(shard AS INT) AS shard, place - (shard * total + 15) // 16 AS slot, CAST(NULL AS INT) AS grown_shard
+FROM sharded, steps
+"""
+
+
+@query("op9_stratified_shards", SHARD_SQL)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     data = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
