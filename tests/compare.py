@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -64,7 +65,10 @@ def main(folder: str, names: list[str]) -> int:
     import __spark_entry__ as entry
     from tidewater.session import build_session
 
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.showConsoleProgress": "false"})
+    spark = build_session(master="local[8]", **{
+        "spark.sql.shuffle.partitions": "8", "spark.ui.showConsoleProgress": "false",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="compare-"),
+    })
     spark.sparkContext.setLogLevel("ERROR")
     con, failed = connect(folder), 0
     sqls = entry.oracle_sql()

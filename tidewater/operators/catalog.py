@@ -34,9 +34,32 @@ def clean_date(text: Column) -> Column:
     return F.nullif(text, F.lit("")).try_cast("date")
 
 
+def sighting_key(row_id: Column) -> Column:
+    """A stable id of a source row: the first 60 bits of its md5."""
+    return F.conv(F.left(F.md5(row_id.cast("string")), F.lit(15)), 16, 10).cast("long")
+
+
+# fixed values: optional columns of a raw encounter, their types and their names in the catalog
+OPTIONAL = {
+    "group_size": ("int", "group_size"),
+    "external_resource": ("string", "image_url"),
+    "external_resource_thumb": ("string", "thumb_url"),
+    "rights_holder": ("string", "rights_holder"),
+    "provider": ("string", "provider"),
+}
+
+
 def clean_encounters(raw: DataFrame) -> DataFrame:
-    """Renames and typed columns of the raw encounter rows, before any filter."""
+    """Renames and typed columns of the raw encounter rows, before any filter.
+
+    Columns of ``OPTIONAL`` that the source does not have are null.
+    """
+    more = [
+        (F.col(name) if name in raw.columns else F.lit(None)).cast(kind).alias(new)
+        for name, (kind, new) in OPTIONAL.items()
+    ]
     return raw.select(
+        sighting_key(F.col("row_id")).alias("sighting_id"),
         id_from_url(F.col("organism_id")).alias("individual_id"),
         F.col("organism_id").alias("individual_url"),
         F.col("scientific_name").alias("species"),
@@ -45,6 +68,7 @@ def clean_encounters(raw: DataFrame) -> DataFrame:
         F.col("longitude").alias("lon"),
         "license",
         F.col("row_id").alias("source_row_id"),
+        *more,
     )
 
 
@@ -72,6 +96,12 @@ def hub_derive(sightings: DataFrame) -> DataFrame:
     )
 
 
+def build_individuals(sightings: DataFrame) -> DataFrame:
+    """The hub with the page of each individual: the smallest address its sightings give."""
+    pages = sightings.groupBy("individual_id").agg(F.min("individual_url").alias("individual_url"))
+    return hub_derive(sightings).join(pages, "individual_id")
+
+
 def build_catalog_report(raw: DataFrame) -> DataFrame:
     """Row counts of the catalog build, with the reason of every dropped row."""
     clean = clean_encounters(raw)

@@ -58,7 +58,11 @@ ENCOUNTERS_SQL = f"""(
               THEN 'https://catalog.example/individual/' || CAST(o_custkey AS VARCHAR) END AS organism_id,
          o_orderpriority AS scientific_name,
          CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS date_time,
-         {LAT_SQL} AS latitude, {LON_SQL} AS longitude, {LICENSE_SQL} AS license
+         {LAT_SQL} AS latitude, {LON_SQL} AS longitude, {LICENSE_SQL} AS license,
+         CAST(o_orderkey % 4 + 1 AS INT) AS group_size, o_orderstatus AS provider,
+         CASE WHEN o_orderkey % 3 = 0 THEN 'holder ' || CAST(o_custkey AS VARCHAR) END AS rights_holder,
+         'https://img.example/' || CAST(o_orderkey AS VARCHAR) AS external_resource,
+         'thumb/' || CAST(o_orderkey AS VARCHAR) || '.jpg' AS external_resource_thumb
   FROM orders)"""
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tidewater.functions.contract import answer_all, citation
 from tidewater.functions.geo import mercator_x, mercator_y
 from tidewater.functions.hashing import hash_bucket
-from tidewater.functions.text import path_suffix_match
-from tidewater.functions.vectors import is_unit, l2_normalize, norm
+from tidewater.functions.text import is_url, path_suffix_match
+from tidewater.functions.vectors import is_unit, l2_normalize, norm, parse_vector
 from tidewater.operators import catalog as C
 from tidewater.operators import splits
 from tidewater.operators.conversation import map_merge
@@ -46,8 +46,10 @@ def _(spark, d):
 
 CLEAN_SQL = f"""(
   SELECT CAST(regexp_extract(organism_id, '(\\d+)$', 1) AS BIGINT) AS individual_id,
+         CAST('0x' || left(md5(row_id), 15) AS BIGINT) AS sighting_id, organism_id AS individual_url,
          scientific_name AS species, CAST(nullif(date_time, '') AS DATE) AS obs_date,
-         latitude AS lat, longitude AS lon, license, row_id AS source_row_id
+         latitude AS lat, longitude AS lon, license, row_id AS source_row_id, group_size,
+         external_resource AS image_url, external_resource_thumb AS thumb_url, rights_holder, provider
   FROM {B.ENCOUNTERS_SQL})"""
 LICENSED_SQL = f"""(
   SELECT * FROM {CLEAN_SQL} WHERE individual_id IS NOT NULL AND license LIKE '%creativecommons%')"""
@@ -55,7 +57,52 @@ LICENSED_SQL = f"""(
 
 @query("clean_encounters", f"SELECT * FROM {CLEAN_SQL}")
 def _(spark, d):
-    return C.clean_encounters(B.encounters(spark, d)).drop("individual_url")
+    return C.clean_encounters(B.encounters(spark, d))
+
+
+@query("catalog_sightings", f"SELECT * FROM {LICENSED_SQL}")
+def _(spark, d):
+    return C.build_sightings(B.encounters(spark, d))
+
+
+@query(
+    "catalog_individuals",
+    f"""WITH c AS (SELECT individual_id, species, count(*) AS n FROM {LICENSED_SQL} GROUP BY ALL),
+        m AS (SELECT individual_id, first(species ORDER BY n DESC, species) AS species FROM c GROUP BY ALL),
+        a AS (SELECT individual_id, count(*) AS n_sightings, min(obs_date) AS first_seen, max(obs_date) AS last_seen,
+                     min(individual_url) AS individual_url FROM {LICENSED_SQL} GROUP BY ALL)
+        SELECT a.individual_id, species, n_sightings, first_seen, last_seen, individual_url
+        FROM a JOIN m USING (individual_id)""",
+)
+def _(spark, d):
+    return C.build_individuals(C.build_sightings(B.encounters(spark, d)))
+
+
+@query(
+    "vector_literals",
+    """SELECT vec_id, len(embedding) AS width, embedding[1]::DOUBLE AS first_value,
+              embedding[len(embedding)]::DOUBLE AS last_value FROM embeddings""",
+)
+def _(spark, d):
+    """Vectors written as text literals and read back."""
+    text = F.concat(F.lit("["), F.array_join(F.col("embedding").cast("array<string>"), ","), F.lit("]"))
+    read = table(spark, d, "embeddings").select("vec_id", parse_vector(text).alias("v"))
+    return read.select(
+        "vec_id", F.size("v").alias("width"), F.element_at("v", 1).cast("double").alias("first_value"),
+        F.element_at("v", -1).cast("double").alias("last_value"),
+    )
+
+
+@query(
+    "url_or_path",
+    r"""SELECT page_id, regexp_matches(url, '^https?://') AS is_url,
+               regexp_matches(regexp_replace(url, '^https', 'ftp'), '^https?://') AS other_is_url FROM pages""",
+)
+def _(spark, d):
+    other = F.regexp_replace("url", "^https", "ftp")
+    return table(spark, d, "pages").select(
+        "page_id", is_url(F.col("url")).alias("is_url"), is_url(other).alias("other_is_url")
+    )
 
 
 @query(

@@ -2,55 +2,16 @@
 
 from __future__ import annotations
 
-ENCOUNTERS = (
-    "dataset_id int, row_id string, latitude double, longitude double, scientific_name string, "
-    "common_name string, group_size int, date_time string, oceano string, provider string, "
-    "license string, rights_holder string, organism_id string, organism_name string, "
-    "organism_remarks string, occurrence_remarks string, external_resource string, "
-    "external_resource_thumb string, individual_id bigint, individual_url string"
-)
-SIGHTINGS = (
-    "sighting_id bigint, individual_id bigint, individual_url string, species string, "
-    "obs_date date, lat double, lon double, group_size int, image_url string, thumb_url string, "
-    "license string, rights_holder string, provider string, source_row_id string"
-)
-INDIVIDUALS = (
-    "individual_id bigint, individual_url string, species string, n_sightings int, "
-    "first_seen date, last_seen date, name string, common_name string"
-)
 MANIFEST = (
     "sighting_id bigint, individual_id bigint, asset_ref string, source_url string, status string"
 )
-IMAGE_EMBEDDINGS = (
-    "image_id bigint, individual_id bigint, sighting_id bigint, asset_ref string, "
-    "source_url string, embedding array<float>, embedder_ver string, created_at timestamp"
-)
-CHUNKS = (
-    "chunk_id string, text string, header string, species array<string>, sanctuary string, "
-    "doc_type string, section string, stock string, source string, year int, "
-    "embedding array<float>, tokens array<string>, embedder_ver string"
-)
-STOCK_STATUS = (
-    "species string, stock string, abundance int, abundance_cv float, abundance_year string, "
-    "abundance_method string, n_min int, pbr float, pbr_us_waters float, trend string, "
-    "dominant_threat string, ship_strike_yr_observed float, ship_strike_yr_estimated float, "
-    "entanglement_yr float, total_human_mortality_yr float, exceeds_pbr boolean, "
-    "esa_status string, mmpa_status string, source string, year int"
-)
 RASTER_TILES = (
     "year int, rid int, ulx double, uly double, scale double, width int, height int, "
     "pixels array<int>, srid int"
 )
-ZONES = (
-    "name string, part_id int, ring array<struct<x:double,y:double>>, "
-    "xmin double, xmax double, ymin double, ymax double"
-)
 DOWNLOAD_TASKS = "individual_id string, sighting_id string, url string"
 MESSAGES = (
     "conv_id bigint, turn bigint, msg_id string, role string, content string, "
     "tool_calls array<struct<id:string,name:string,args:string>>, tool_call_id string"
 )
-TOOL_BRIEFS = (
-    "conv_id bigint, id string, ordinal bigint, name string, query string, summary string"
-)
 USAGE_LOG = "role string, input_tokens bigint, output_tokens bigint"
