@@ -136,19 +136,35 @@ def order_statistics(
     )
 
 
+def quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: Column,
+    outs: dict[str, float],
+    step: float | Column,
+    positions: dict[str, Callable[[Column], Column]] | None = None,
+) -> DataFrame:
+    """Continuous quantiles (linear between neighbours), like ``percentile_cont``, in one pass.
+
+    ``outs`` maps output names to shares; ``positions`` adds values at sorted positions.
+    """
+    at = {name: (lambda n, p=p: F.lit(float(p)) * (n - 1)) for name, p in outs.items()}
+    wanted = dict(positions or {})
+    for name, place in at.items():
+        wanted[f"_low_{name}"] = lambda n, place=place: F.floor(place(n))
+        wanted[f"_high_{name}"] = lambda n, place=place: F.ceil(place(n))
+    stats = order_statistics(df, keys, value, wanted, step)
+
+    def between(name: str) -> Column:
+        part = at[name](F.col("n")) - F.floor(at[name](F.col("n")))
+        low, high = F.col(f"_low_{name}"), F.col(f"_high_{name}")
+        return (low + part * (high - low)).alias(name)
+
+    return stats.select(*keys, *[between(name) for name in outs], *(positions or {}))
+
+
 def quantile(
     df: DataFrame, keys: Sequence[str], value: Column, p: float, out: str, step: float | Column
 ) -> DataFrame:
-    """Continuous quantile (linear between neighbours), like ``percentile_cont``."""
-    at = lambda n: F.lit(float(p)) * (n - 1)
-    stats = order_statistics(
-        df,
-        keys,
-        value,
-        {"_low": lambda n: F.floor(at(n)), "_high": lambda n: F.ceil(at(n))},
-        step,
-    )
-    part = at(F.col("n")) - F.floor(at(F.col("n")))
-    return stats.select(
-        *keys, (F.col("_low") + part * (F.col("_high") - F.col("_low"))).alias(out)
-    )
+    """One continuous quantile, see :func:`quantiles`."""
+    return quantiles(df, keys, value, {out: p}, step)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.functions.ordered import order_statistics, quantile, running_sum
+from tidewater.functions.ordered import quantiles, running_sum
 from tidewater.functions.text import path_suffix_match
 
 # fixed values: individuals per answer used for calibration, cells of a score histogram
@@ -278,17 +278,16 @@ def score_distribution(scores: DataFrame, step: float = SCORE_STEP) -> DataFrame
     p10 and p90 are nearest ranks with half-even rounding of the position.
     """
     at = lambda p: (lambda n: F.bround(F.lit(p) * (n - 1), 0))
-    ranks = order_statistics(
-        scores, ["population"], F.col("score"), {"p10": at(0.1), "p90": at(0.9)}, step
-    ).drop("n")
-    middle = quantile(scores, ["population"], F.col("score"), 0.5, "median", step)
+    ranks = quantiles(
+        scores, ["population"], F.col("score"), {"median": 0.5}, step, {"p10": at(0.1), "p90": at(0.9)}
+    )
     base = scores.groupBy("population").agg(
         F.count("score").alias("n"),
         F.min("score").alias("min"),
         F.avg("score").alias("mean"),
         F.max("score").alias("max"),
     )
-    return base.join(ranks, "population").join(middle, "population")
+    return base.join(ranks, "population")
 
 
 def roc_sweep(scores: DataFrame, step: float = SCORE_STEP) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.functions.ordered import quantile
+from tidewater.functions.ordered import quantiles
 
 
 def usage_rollup(calls: DataFrame, prices: DataFrame) -> DataFrame:
@@ -39,9 +39,8 @@ def node_rollup(runs: DataFrame, step: float = 1.0) -> DataFrame:
         F.max("elapsed_ms").alias("max_ms"),
         F.sum(F.col("error").isNotNull().cast("long")).alias("errors"),
     )
-    p50 = quantile(runs, keys, F.col("elapsed_ms"), 0.5, "p50_ms", step)
-    p95 = quantile(runs, keys, F.col("elapsed_ms"), 0.95, "p95_ms", step)
-    return base.join(p50, keys, "left").join(p95, keys, "left")
+    shares = quantiles(runs, keys, F.col("elapsed_ms"), {"p50_ms": 0.5, "p95_ms": 0.95}, step)
+    return base.join(shares, keys, "left")
 
 
 def tool_elapsed(events: DataFrame) -> DataFrame:
