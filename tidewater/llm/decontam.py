@@ -36,6 +36,7 @@ _QUANTITY = regex.compile(r"([+\-−]?\p{N}[\p{N}.,]*)(\p{L}{1,3}|°[CF])")
 _LITERAL, _NUM, _UNIT, _SIZE = 0, 1, 2, 3
 _SLOTS = ("", "num", "unit", "size", "name")
 _MARKS = np.array([0] + [xxhash.xxh64_intdigest(f"<{s}>", 7) for s in _SLOTS[1:]], np.uint64)
+_U = np.uint64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -56,21 +57,23 @@ class Templates:
 
 
 class _Words(dict):
-    """Row of each known word in the tables ``hashes`` and ``marks``; starts anew when full."""
+    """What each known word is, in one number; starts anew after ``most`` words.
+
+    60 bits of hash of its bare lower-case form, whether it ends a sentence, whether it
+    could be a name, and its kind (2 bits).
+    """
 
     def __init__(self, most: int = 500_000):
         super().__init__()
         self.most = most
-        self.hashes = np.zeros(most, np.uint64)
-        self.marks = np.zeros((most, 3), np.uint8)  # kind, could be a name, ends a sentence
 
     def __missing__(self, word: bytes) -> int:
-        row = len(self)
-        if row >= self.most:
-            raise OverflowError
         text = word.decode("utf-8", "replace")
         core = text.strip(_EDGE)
-        if text in UNITS or core.lower() in UNITS:
+        low = core.lower()
+        if core.isalpha():
+            kind = _UNIT if low in UNITS else _LITERAL
+        elif low in UNITS or text in UNITS:
             kind = _UNIT
         elif _NUMBER.fullmatch(text.strip("\"'()[].,;:!?*#&|")):
             kind = _NUM
@@ -78,20 +81,12 @@ class _Words(dict):
             kind = _SIZE
         else:
             kind = _LITERAL
-        self.hashes[row] = xxhash.xxh64_intdigest((core or text).lower(), 7)
         named = len(core) > 1 and core[0].isupper() and core[1:].islower()
-        self.marks[row] = kind, named, text.rstrip("\"'”’»)]*#&%$|").endswith((".", "!", "?", ":"))
-        self[word] = row
-        return row
-
-    def rows(self, words: list[bytes]) -> np.ndarray:
-        try:
-            return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        except OverflowError:
+        ends = not text[-1].isalpha() and text.rstrip("\"'”’»)]*#&%$|").endswith((".", "!", "?", ":"))
+        if len(self) >= self.most:
             self.clear()
-        if len(set(words)) > self.most:
-            raise ValueError("a text has more distinct words than the word table holds")
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        value = self[word] = xxhash.xxh64_intdigest(low or text, 7) & ~15 | ends << 3 | named << 2 | kind
+        return value
 
 
 def windows(text: str | None, rule: Templates, known: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
@@ -103,21 +98,19 @@ def windows(text: str | None, rule: Templates, known: _Words) -> tuple[np.ndarra
     n = min(rule.words, len(words))
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8), words
-    if len(words) > known.most:  # a table that is too small for one text grows with it
-        known.__init__(2 * len(words))
-    rows = known.rows(words)
-    kind, name, ends = known.marks[rows].T
-    inside = np.concatenate(([False], ends[:-1] == 0))
-    kind = np.where((kind == _LITERAL) & (name == 1) & inside, len(_SLOTS) - 1, kind)
-    token = np.where(kind == _LITERAL, known.hashes[rows], _MARKS[kind])
+    known_as = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    kind, marks = (known_as & _U(3)).astype(np.uint8), known_as & _U(12)
+    first = np.concatenate(([True], marks[:-1] >= 8))  # of a sentence
+    kind[(kind == _LITERAL) & (marks & _U(4) != 0) & ~first] = len(_SLOTS) - 1
+    token = np.where(kind == _LITERAL, known_as >> _U(4), _MARKS[kind])
     count = len(words) - n + 1
     total, plain = np.zeros(count, np.uint64), np.zeros(count, np.int64)
     for k in range(n):
         total = (total + token[k : k + count]) * _STEP
-        total ^= total >> np.uint64(29)
+        total ^= total >> _U(29)
         plain += kind[k : k + count] == _LITERAL
     total = total * _MIX
-    total ^= total >> np.uint64(32)
+    total ^= total >> _U(32)
     at = np.nonzero(plain >= min(rule.literals, n))[0]
     return total[at], at, kind, words
 
