@@ -49,6 +49,24 @@ def test_windows_with_slots_that_contradict_each_other_do_not_count(spark):
     assert set(got) == {(0, 0)}
 
 
+def test_names_that_start_sentences_are_slots(spark):
+    item = "Tom has 3 apples. Tom buys 4 more apples. How many apples does Tom have?"
+    other = item.replace("Tom", "Mary").replace("3", "5").replace("4", "9")
+    mixed = "Ann has 5 apples. Bob buys 9 more apples. How many apples does Carl have?"
+    got = found(spark, [f"{filler(30, 1)}. {other} {filler(20, 2)}", item, mixed], [item])
+    assert set(got) == {(0, 0), (1, 0)}
+    assert got[0, 0].coverage == 1 and got[0, 0].n_changed == 3 and got[1, 0].n_changed == 0
+
+
+def test_variants_of_one_question_in_a_document_do_not_mix(spark):
+    item = " ".join(f"we take 5 {a} then 7 leave" for a in ("red", "blue", "green", "black", "white"))
+    # each variant is the only one that keeps a part: no substitution of the whole document holds
+    variants = [item.replace("5", str(10 + k)).replace("7", str(30 - k)) for k in range(6)]
+    got = found(spark, [" ".join(filler(6, k) + " " + v for k, v in enumerate(variants))], [item])
+    assert set(got) == {(0, 0)}
+    assert got[0, 0].coverage == 1 and got[0, 0].n_changed == 2
+
+
 def test_brute_force_on_random_windows(spark):
     random.seed(8)
     rule, known = decontam.Templates(), decontam._Words()

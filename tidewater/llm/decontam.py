@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders, so a question that was only
 re-parameterised keeps its template. Windows of template tokens are hash-joined with
 those of the benchmark; a window counts only if its slots agree with one substitution
-of the item's values for the whole document.
+of the item's values, for the whole document or for one place that the item stands at.
+A capitalised word that starts a sentence is read both as a word and as a name.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ UNITS = frozenset(
 _EDGE = "\"'`´“”‘’«»„()[]{}<>.,;:!?…*#&%$|_-"
 _NUMBER = regex.compile(r"[+\-−]?[$€£]?\p{N}[\p{N}.,:/]*(?:st|nd|rd|th)?[%$€£]?")
 _QUANTITY = regex.compile(r"([+\-−]?\p{N}[\p{N}.,]*)(\p{L}{1,3}|°[CF])")
-_LITERAL, _NUM, _UNIT, _SIZE = 0, 1, 2, 3
+_LITERAL, _NUM, _UNIT, _SIZE, _NAME = 0, 1, 2, 3, 4
 _SLOTS = ("", "num", "unit", "size", "name")
 _MARKS = np.array([0] + [xxhash.xxh64_intdigest(f"<{s}>", 7) for s in _SLOTS[1:]], np.uint64)
 _U = np.uint64
@@ -92,27 +93,55 @@ class _Words(dict):
 def windows(text: str | None, rule: Templates, known: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     """Hash and first word of each usable window, with the slot kinds and words of the text.
 
-    A text shorter than a window is one window; a text without words has none.
+    A text shorter than a window is one window; a text without words has none. A word that
+    starts a sentence is no name here.
+    """
+    total, at, _, kind, words = readings(text, rule, known)
+    plain = len(np.unique(at))  # they come first
+    return total[:plain], at[:plain], kind, words
+
+
+def readings(text: str | None, rule: Templates, known: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+    """:func:`windows`, then the same windows with first words of sentences as names.
+
+    Adds the bits of the places in the window that are read so. Such a reading keeps at
+    least one plain word less than a usable window.
     """
     words = (text or "").encode("utf-8", "surrogatepass").split()
     n = min(rule.words, len(words))
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8), words
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8), words
     known_as = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     kind, marks = (known_as & _U(3)).astype(np.uint8), known_as & _U(12)
     first = np.concatenate(([True], marks[:-1] >= 8))  # of a sentence
-    kind[(kind == _LITERAL) & (marks & _U(4) != 0) & ~first] = len(_SLOTS) - 1
+    named = (kind == _LITERAL) & (marks & _U(4) != 0)
+    kind[named & ~first] = _NAME
     token = np.where(kind == _LITERAL, known_as >> _U(4), _MARKS[kind])
     count = len(words) - n + 1
-    total, plain = np.zeros(count, np.uint64), np.zeros(count, np.int64)
+    least, plain, maybe = min(rule.literals, n), np.zeros(count, np.int64), np.zeros(count, np.int64)
     for k in range(n):
-        total = (total + token[k : k + count]) * _STEP
-        total ^= total >> _U(29)
         plain += kind[k : k + count] == _LITERAL
-    total = total * _MIX
-    total ^= total >> _U(32)
-    at = np.nonzero(plain >= min(rule.literals, n))[0]
-    return total[at], at, kind, words
+        maybe |= (named & first)[k : k + count].astype(np.int64) << k
+
+    def hashed(at: np.ndarray, as_names: int) -> np.ndarray:
+        total = np.zeros(len(at), np.uint64)
+        for k in range(n):
+            total = (total + (_MARKS[_NAME] if as_names >> k & 1 else token[at + k])) * _STEP
+            total ^= total >> _U(29)
+        total = total * _MIX
+        return total ^ (total >> _U(32))
+
+    usable = np.nonzero(plain >= least)[0]
+    hashes, places, masks = [hashed(usable, 0)], [usable], [np.zeros(len(usable), np.int64)]
+    both = usable[maybe[usable] != 0]
+    seen = set(np.unique(maybe[both]).tolist())
+    for mask in range(1, 1 << n if seen else 1):
+        if any(mask & m == mask for m in seen):
+            at = both[(maybe[both] & mask == mask) & (plain[both] - mask.bit_count() >= least - 1)]
+            hashes.append(hashed(at, mask))
+            places.append(at)
+            masks.append(np.full(len(at), mask))
+    return np.concatenate(hashes), np.concatenate(places), np.concatenate(masks), kind, words
 
 
 def template_windows(rows: DataFrame, rule: Templates, bits: np.ndarray | None = None) -> DataFrame:
@@ -127,22 +156,22 @@ def template_windows(rows: DataFrame, rule: Templates, bits: np.ndarray | None =
         for batch in batches:
             which, hashes, places, slots, counts = [], [], [], [], []
             for row, value in enumerate(batch.column(1)):
-                found, at, kind, words = windows(value.as_py(), rule, known)
-                n = len(found)
+                found, at, masks, kind, words = readings(value.as_py(), rule, known)
+                n = len(np.unique(at))
                 if bits is not None and n:
                     bit = found >> shift
                     hit = (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-                    found, at = found[hit == 1], at[hit == 1]
+                    found, at, masks = found[hit == 1], at[hit == 1], masks[hit == 1]
                 which.append(np.full(len(found), row))
                 hashes.append(found)
                 places.append(at)
                 counts.append(np.full(len(found), n))
-                for p in at.tolist():
+                for p, mask in zip(at.tolist(), masks.tolist()):
                     slots.append(
                         [
-                            f"{_SLOTS[kind[i]]}:{words[i].decode('utf-8', 'replace').strip(_EDGE).lower()}"
+                            f"{_SLOTS[kind[i] or _NAME]}:{words[i].decode('utf-8', 'replace').strip(_EDGE).lower()}"
                             for i in range(p, min(p + rule.words, len(words)))
-                            if kind[i]
+                            if kind[i] or mask >> (i - p) & 1
                         ]
                     )
             join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
@@ -184,7 +213,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rule: Templates = Templates())
     document and benchmark text that it contains: of equal benchmark texts the smallest
     ``item`` stands for ``items`` rows. A window is found if its slot values are the ones
     that the document uses most for the item's values (a slot value kept as it is
-    counts like any other); ``n_changed`` values differ from the item's. Repeated documents with
+    counts like any other); ``n_changed`` values differ from the item's. The same is asked
+    of each occurrence alone (windows as far apart as in the item), and the best counts:
+    so variants of one question in a document do not mix. Repeated documents with
     equal keys count once. Null and empty texts neither leak nor are leaked.
     """
     items = benchmark.groupBy("text").agg(F.min("item").alias("key"), F.count(F.lit(1)).alias("items"))
@@ -204,30 +235,40 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rule: Templates = Templates())
             F.col("b.at").alias("at"),
             F.col("b.n").alias("n"),
             F.col("b.items").alias("items"),
+            (F.col("d.at") - F.col("b.at")).alias("occurrence"),
             F.arrays_zip(F.col("b.slots").alias("asked"), F.col("d.slots").alias("used")).alias("slots"),
         )
         .distinct(),
         "template-hits",
     )
-    pairs = hits.select("key", "item", "at", F.explode("slots").alias("s")).select("key", "item", "at", "s.*")
-    used = pairs.groupBy("key", "item", "asked", "used").agg(F.count_distinct("at").alias("times"))
-    chosen = used.groupBy("key", "item", "asked").agg(
+    hits = hits.withColumn("occurrence", F.explode(F.array(F.lit(None).cast("long"), "occurrence")))
+    by = ["key", "item", "occurrence"]
+    pairs = hits.select(*by, "at", F.explode("slots").alias("s")).select(*by, "at", "s.*")
+    used = pairs.groupBy(*by, "asked", "used").agg(F.count_distinct("at").alias("times"))
+    chosen = used.groupBy(*by, "asked").agg(
         F.max_by("used", F.struct("times", F.col("asked") == F.col("used"), "used")).alias("used")
     )
-    per_item = chosen.groupBy(F.col("key").alias("k"), F.col("item").alias("i")).agg(
+    per_item = chosen.groupBy(F.col("key").alias("k"), F.col("item").alias("i"), F.col("occurrence").alias("o")).agg(
         F.map_from_entries(F.collect_list(F.struct("asked", "used"))).alias("chosen"),
         F.sum((F.col("asked") != F.col("used")).cast("long")).alias("n_changed"),
     )
     agrees = F.forall("slots", lambda s: F.try_element_at("chosen", s["asked"]) == s["used"])
-    return (
-        hits.join(per_item, F.col("key").eqNullSafe(F.col("k")) & F.col("item").eqNullSafe(F.col("i")), "left")
+    same = F.col("key").eqNullSafe(F.col("k")) & F.col("item").eqNullSafe(F.col("i")) & F.col("occurrence").eqNullSafe(F.col("o"))
+    counted = (
+        hits.join(per_item, same, "left")
         .where(agrees)
-        .groupBy("key", "item", "items")
+        .groupBy(*by, "items")
         .agg(
             F.max("n").alias("n_windows"),
             F.count_distinct("at").alias("n_found"),
             F.coalesce(F.max("n_changed"), F.lit(0)).cast("long").alias("n_changed"),
         )
+    )
+    best = F.max(F.struct("n_found", F.col("occurrence").isNull().alias("whole"), (-F.col("n_changed")).alias("kept"), "n_windows"))
+    return (
+        counted.groupBy("key", "item", "items")
+        .agg(best.alias("best"))
+        .select("key", "item", "items", "best.n_windows", "best.n_found", (-F.col("best.kept")).alias("n_changed"))
         .withColumn("coverage", F.col("n_found") / F.col("n_windows"))
         .where(F.col("coverage") >= rule.coverage)
     )
