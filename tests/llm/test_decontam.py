@@ -67,6 +67,15 @@ def test_variants_of_one_question_in_a_document_do_not_mix(spark):
     assert got[0, 0].coverage == 1 and got[0, 0].n_changed == 2
 
 
+def test_items_without_usable_windows_are_found(spark):
+    items = ["Sort 12 45 7 88 31 9", "John Mary Peter Susan Paul Anna Tom", "capital of zanzibar", "5 km"]
+    texts = [f"{filler(20, k)} {item}. {filler(20, 9)}" for k, item in enumerate(items)]
+    texts += [f"{filler(20, 8)} Sort 13 46 8 89 32 10 {filler(9, 7)} capital of mali 6 km", filler(30, 6)]
+    got = found(spark, texts, items)
+    assert set(got) == {(k, k) for k in range(4)}
+    assert all(r.coverage == 1 and r.n_changed == 0 for r in got.values())
+
+
 def test_brute_force_on_random_windows(spark):
     random.seed(8)
     rule, known = decontam.Templates(), decontam._Words()

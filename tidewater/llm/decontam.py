@@ -5,6 +5,7 @@ re-parameterised keeps its template. Windows of template tokens are hash-joined
 those of the benchmark; a window counts only if its slots agree with one substitution
 of the item's values, for the whole document or for one place that the item stands at.
 A capitalised word that starts a sentence is read both as a word and as a name.
+Items that are short or mostly placeholders are also looked up word by word.
 """
 
 from __future__ import annotations
@@ -144,28 +145,50 @@ def readings(text: str | None, rule: Templates, known: _Words) -> tuple[np.ndarr
     return np.concatenate(hashes), np.concatenate(places), np.concatenate(masks), kind, words
 
 
-def template_windows(rows: DataFrame, rule: Templates, bits: np.ndarray | None = None) -> DataFrame:
-    """``key``, ``hash``, ``at``, ``slots`` and ``n`` (usable windows) from ``key``, ``text``.
+def exact_windows(words: list, length: int, known: _Words) -> np.ndarray:
+    """Hash of each run of ``length`` words as they are (bare, lower-case), values kept."""
+    count = len(words) - length + 1
+    if count < 1:
+        return np.zeros(0, np.uint64)
+    token = np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) >> _U(4)
+    total = np.full(count, length, np.uint64) * _MIX
+    for k in range(length):
+        total = (total + token[k : k + count]) * _STEP
+        total ^= total >> _U(29)
+    total = total * _MIX
+    return total ^ (total >> _U(32))
 
-    With ``bits``, only windows that the filter lets through.
+
+def template_windows(
+    rows: DataFrame, rule: Templates, bits: np.ndarray | None = None, lengths: tuple[int, ...] | None = None
+) -> DataFrame:
+    """``key``, ``hash``, ``at``, ``slots``, ``n`` (usable windows) and ``exact`` from ``key``, ``text``.
+
+    With ``bits``, only windows that the filter lets through. ``exact`` is 0 or the length of
+    an exact window. Those are added for each of ``lengths``; without ``lengths``, only where
+    a text is shorter than a window or less than half of its windows are usable.
     """
     shift = np.uint64(64 - rule.filter_bits)
 
+    def passes(hashes: np.ndarray) -> np.ndarray:
+        bit = hashes >> shift
+        return (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for batch in batches:
-            which, hashes, places, slots, counts = [], [], [], [], []
+            which, hashes, places, slots, counts, kinds = [], [], [], [], [], []
             for row, value in enumerate(batch.column(1)):
                 found, at, masks, kind, words = readings(value.as_py(), rule, known)
                 n = len(np.unique(at))
                 if bits is not None and n:
-                    bit = found >> shift
-                    hit = (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-                    found, at, masks = found[hit == 1], at[hit == 1], masks[hit == 1]
+                    hit = passes(found)
+                    found, at, masks = found[hit], at[hit], masks[hit]
                 which.append(np.full(len(found), row))
                 hashes.append(found)
                 places.append(at)
                 counts.append(np.full(len(found), n))
+                kinds.append(np.zeros(len(found), np.int64))
                 for p, mask in zip(at.tolist(), masks.tolist()):
                     slots.append(
                         [
@@ -174,6 +197,22 @@ def template_windows(rows: DataFrame, rule: Templates, bits: np.ndarray | None =
                             if kind[i] or mask >> (i - p) & 1
                         ]
                     )
+                asked = lengths
+                if asked is None:
+                    few = len(words) < rule.words or 2 * n < len(words) - rule.words + 1
+                    asked = (min(len(words), rule.words),) if few and words else ()
+                for length in asked:
+                    found = exact_windows(words, length, known)
+                    at, n = np.arange(len(found)), len(found)
+                    if bits is not None and n:
+                        hit = passes(found)
+                        found, at = found[hit], at[hit]
+                    which.append(np.full(len(found), row))
+                    hashes.append(found)
+                    places.append(at)
+                    counts.append(np.full(len(found), n))
+                    kinds.append(np.full(len(found), length))
+                    slots += [[]] * len(found)
             join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -182,11 +221,12 @@ def template_windows(rows: DataFrame, rule: Templates, bits: np.ndarray | None =
                     pa.array(join(places, np.int64)),
                     pa.array(slots, pa.list_(pa.string())),
                     pa.array(join(counts, np.int64)),
+                    pa.array(join(kinds, np.int64)),
                 ],
-                ["key", "hash", "at", "slots", "n"],
+                ["key", "hash", "at", "slots", "n", "exact"],
             )
 
-    schema = rows.select("key").schema.add("hash", "long").add("at", "long").add("slots", ArrayType(StringType())).add("n", "long")
+    schema = rows.select("key").schema.add("hash", "long").add("at", "long").add("slots", ArrayType(StringType())).add("n", "long").add("exact", "long")
     return rows.select("key", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
@@ -215,7 +255,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rule: Templates = Templates())
     that the document uses most for the item's values (a slot value kept as it is
     counts like any other); ``n_changed`` values differ from the item's. The same is asked
     of each occurrence alone (windows as far apart as in the item), and the best counts:
-    so variants of one question in a document do not mix. Repeated documents with
+    so variants of one question in a document do not mix. Items with few usable windows
+    leak by their exact windows, too; an item shorter than a window stands where its words
+    do. Repeated documents with
     equal keys count once. Null and empty texts neither leak nor are leaked.
     """
     items = benchmark.groupBy("text").agg(F.min("item").alias("key"), F.count(F.lit(1)).alias("items"))
@@ -225,35 +267,39 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rule: Templates = Templates())
         .drop("_k"),
         "templates",
     )
-    found = template_windows(docs, rule, _filter(asked, rule)).drop("n")
+    lengths = tuple(sorted(r[0] for r in asked.where("exact > 0").select("exact").distinct().collect()))  # at most rule.words
+    found = template_windows(docs, rule, _filter(asked, rule), lengths).drop("n")
     b, d = asked.alias("b"), found.alias("d")
     hits = stored(
-        d.join(b, "hash")
+        d.join(b, ["hash", "exact"])
         .select(
             F.col("d.key").alias("key"),
             F.col("b.key").alias("item"),
             F.col("b.at").alias("at"),
             F.col("b.n").alias("n"),
             F.col("b.items").alias("items"),
-            (F.col("d.at") - F.col("b.at")).alias("occurrence"),
+            "exact",
+            F.when(F.col("exact") == 0, F.col("d.at") - F.col("b.at")).alias("occurrence"),
             F.arrays_zip(F.col("b.slots").alias("asked"), F.col("d.slots").alias("used")).alias("slots"),
         )
         .distinct(),
         "template-hits",
     )
-    hits = hits.withColumn("occurrence", F.explode(F.array(F.lit(None).cast("long"), "occurrence")))
-    by = ["key", "item", "occurrence"]
+    hits = hits.withColumn("occurrence", F.explode(F.array_distinct(F.array(F.lit(None).cast("long"), "occurrence"))))
+    by = ["key", "item", "exact", "occurrence"]
     pairs = hits.select(*by, "at", F.explode("slots").alias("s")).select(*by, "at", "s.*")
     used = pairs.groupBy(*by, "asked", "used").agg(F.count_distinct("at").alias("times"))
     chosen = used.groupBy(*by, "asked").agg(
         F.max_by("used", F.struct("times", F.col("asked") == F.col("used"), "used")).alias("used")
     )
-    per_item = chosen.groupBy(F.col("key").alias("k"), F.col("item").alias("i"), F.col("occurrence").alias("o")).agg(
+    per_item = chosen.groupBy(F.col("key").alias("k"), F.col("item").alias("i"), F.col("exact").alias("e"), F.col("occurrence").alias("o")).agg(
         F.map_from_entries(F.collect_list(F.struct("asked", "used"))).alias("chosen"),
         F.sum((F.col("asked") != F.col("used")).cast("long")).alias("n_changed"),
     )
     agrees = F.forall("slots", lambda s: F.try_element_at("chosen", s["asked"]) == s["used"])
-    same = F.col("key").eqNullSafe(F.col("k")) & F.col("item").eqNullSafe(F.col("i")) & F.col("occurrence").eqNullSafe(F.col("o"))
+    same = F.lit(True)
+    for name, other in zip(by, "kieo"):
+        same = same & F.col(name).eqNullSafe(F.col(other))
     counted = (
         hits.join(per_item, same, "left")
         .where(agrees)
@@ -264,7 +310,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rule: Templates = Templates())
             F.coalesce(F.max("n_changed"), F.lit(0)).cast("long").alias("n_changed"),
         )
     )
-    best = F.max(F.struct("n_found", F.col("occurrence").isNull().alias("whole"), (-F.col("n_changed")).alias("kept"), "n_windows"))
+    share = F.col("n_found") / F.col("n_windows")
+    best = F.max(F.struct(share.alias("share"), "n_found", F.col("occurrence").isNull().alias("whole"), (-F.col("n_changed")).alias("kept"), "n_windows"))
     return (
         counted.groupBy("key", "item", "items")
         .agg(best.alias("best"))
