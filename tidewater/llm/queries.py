@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, decontam, linededup, mixing, passages, quality, sharding, simhash, surrogates, urltree
+from tidewater.llm import bpe, decontam, htmltext, linededup, mixing, passages, quality, sharding, simhash, surrogates, urltree
 from tidewater.plans.registry import query
 from tidewater.sources.scans import table
 
@@ -297,4 +297,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("dropped", F.array_join("dropped", ","))
 
 
+@query("op13_main_text")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return htmltext.extracted(pages).select("row.page_id", "row.url", "text", "n_chars")
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
