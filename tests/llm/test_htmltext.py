@@ -130,7 +130,8 @@ def test_layout_names_and_wrapping_forms_do_not_cut_the_article():
     for page in (
         f"<div class='page with-sidebar'><article><p>{text}</p></article><div class=sidebar>no</div></div>",
         f"<form id=aspnet><div class=menu>no</div><div><p>{text}</p></div></form>",
-        f"<div class='comments-enabled'><main><p>{text}</p></main></div>",
+        f"<div class='menu-open'><main><p>{text}</p></main></div>",
+        f"<div><div><p>{text}</p></div></div><div class=sidebar><article class=comment><p>{text} no</p></article></div>",
     ):
         assert main_blocks(page) == [text]
 

@@ -56,6 +56,11 @@ CUT_NAMES = frozenset(
     " related recommended recommendations pagination pager toolbar copyright disclaimer skip search form forms widget"
     " widgets paywall toc".split()
 )
+#: those that also describe the layout of what is around an article (``has-sidebar``)
+LAYOUT_NAMES = frozenset(
+    "ads sidebar sidebars side nav navbar navigation menu menus masthead footer cookie cookies notice banner search widget"
+    " widgets toolbar toc skip share sharing social header".split()
+)
 GOOD_NAMES = frozenset("article body content entry main post story text".split())
 HOLDERS = frozenset(("article", "main"))
 CONTAINERS = frozenset("article body center div form main section table tbody td".split())
@@ -70,8 +75,8 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _COMMA = re.compile("[,،、，]")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 
-#: how an element is treated: kept, cut, cut by its name only, a header, named as content
-KEEP, CUT, CUT_BY_NAME, HEADER, GOOD = range(5)
+#: how an element is treated: kept, cut, cut by its name only, by a name of layouts, a header, named as content
+KEEP, CUT, CUT_BY_NAME, CUT_BY_LAYOUT, HEADER, GOOD = range(6)
 
 
 @dataclass(frozen=True)
@@ -100,13 +105,15 @@ class Scoring:
 def _treatment(tag: str, attributes: str) -> int:
     if tag in CUT_TAGS:
         return CUT
-    by_name = tag == "form"
+    by_name, by_layout = False, tag == "form"
     header, good = tag == "header", False
     for name, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), a or b or c
         if name == "class" or name == "id":
             words = {w.lower() for w in _NAME.findall(value)}
-            by_name = by_name or not words.isdisjoint(CUT_NAMES)
+            names = words & CUT_NAMES
+            by_name = by_name or not names <= LAYOUT_NAMES
+            by_layout = by_layout or bool(names)
             header = header or "header" in words
             good = good or not words.isdisjoint(GOOD_NAMES)
         elif name == "role":
@@ -114,7 +121,7 @@ def _treatment(tag: str, attributes: str) -> int:
             good = good or value.lower() in HOLDERS
         elif name == "hidden" or name == "style" and _HIDDEN.search(value) or name == "aria-hidden" and value.lower() == "true":
             return CUT
-    return CUT_BY_NAME if by_name else HEADER if header else GOOD if good else KEEP
+    return CUT_BY_NAME if by_name else CUT_BY_LAYOUT if by_layout else HEADER if header else GOOD if good else KEEP
 
 
 class _Page:
@@ -239,9 +246,9 @@ def _spread_up(page: _Page, values: list[int]) -> list[int]:
 def _cuts(page: _Page) -> list[bool]:
     """Which elements are furniture.
 
-    A name cuts, unless the page has articles and all of them lie in what names cut: then
-    such a name (``has-sidebar``) describes the layout. A form that holds most of the text
-    is a wrapper too. A header is cut but for headings in an article's own.
+    A name cuts; but where all articles of the page are, or lie in, what names of layouts
+    (``has-sidebar``) or a form cut, those do not. A form that holds most of the text is a
+    wrapper too. A header is cut but for headings in an article's own.
     """
     tags, parents, kinds = page.tags, page.parents, page.kinds
     n = len(tags)
@@ -255,7 +262,7 @@ def _cuts(page: _Page) -> list[bool]:
         for i in range(1, n):
             above, kind, tag = parents[i], kinds[i], tags[i]
             inside[i] = inside[above] or tag in HOLDERS
-            gone = kind == CUT or kind == CUT_BY_NAME and not spared[i]
+            gone = kind in (CUT, CUT_BY_NAME) or kind == CUT_BY_LAYOUT and not spared[i]
             if kind == HEADER and not spared[i]:
                 gone = gone or not inside[i]
                 header[i] = True
@@ -269,12 +276,12 @@ def _cuts(page: _Page) -> list[bool]:
     spared = [False] * n
     hard = [False] * n
     for i in range(1, n):
-        hard[i] = hard[parents[i]] or kinds[i] == CUT
+        hard[i] = hard[parents[i]] or kinds[i] in (CUT, CUT_BY_NAME)
     if "form" in tags:
         open_ = _spread_up(page, [0 if hard[i] else s for i, s in enumerate(sizes)])
         spared = [t == "form" and 2 * open_[i] > open_[0] for i, t in enumerate(tags)]
     cut = spread(spared)
-    holders = [i for i in range(n) if tags[i] in HOLDERS and not hard[i] and kinds[i] != CUT_BY_NAME]
+    holders = [i for i in range(n) if tags[i] in HOLDERS and not hard[i]]
     if holders and all(cut[i] for i in holders):
         for i in holders:
             while i > 0 and not spared[i]:
