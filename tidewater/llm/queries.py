@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, decontam, htmltext, linededup, mixing, passages, quality, sharding, simhash, surrogates, urltree
+from tidewater.llm import audit, bpe, decontam, htmltext, linededup, mixing, negatives, passages, quality, sharding, simhash, surrogates, urltree
 from tidewater.plans.registry import query
 from tidewater.sources.scans import table
 
@@ -297,6 +297,85 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("dropped", F.array_join("dropped", ","))
 
 
+NEGATIVES_SQL = """
+WITH named AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding FROM embeddings),
+usable AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM named
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: coalesce(NOT isfinite(x), true))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER o AS INT) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW o AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER o <= 10
+"""
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = given.where(negatives.usable(F.col("embedding"))).select(
+        F.col("vec_id").alias("id"), label.alias("label"), negatives.scaled(F.col("embedding")).alias("vector")
+    )
+    return negatives.mined(rows, is_anchor=F.col("id") % 100 == 0)
+
+
+AUDIT_SQL = r"""
+WITH RECURSIVE known AS (
+  SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         concat(CASE WHEN len(words) < 100 THEN 'A' ELSE '' END,
+                CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END,
+                CASE WHEN 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * len(text) THEN 'C' ELSE '' END,
+                CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END,
+                CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS fails
+  FROM docs d LEFT JOIN known k ON d.doc_id = k.doc_id),
+kinds AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, fails),
+orders AS (
+  SELECT '' AS o
+  UNION ALL SELECT o || f FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(f) WHERE strpos(o, f) = 0),
+steps AS (
+  SELECT o, CAST(s AS INT) AS step, o[s] AS f FROM orders, range(1, 6) r(s) WHERE len(o) = 5),
+gone AS (
+  SELECT part, o, fails, n, good, toxic,
+         (SELECT min(s) FROM range(1, 6) r(s) WHERE strpos(fails, o[s]) > 0) AS at_step
+  FROM kinds, orders WHERE len(o) = 5),
+told AS (
+  SELECT part, s.o AS filter_order, step, f,
+         sum(CASE WHEN at_step IS NULL OR at_step > step THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN at_step = step THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN strpos(fails, f) > 0 AND at_step < step THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN at_step = step THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN at_step = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM gone g JOIN steps s ON g.o = s.o GROUP BY part, s.o, step, f)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM told
+"""
+
+
+@query("op12_filter_audit", AUDIT_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audited(audit.mask_cells(table(spark, folder, "documents"), table(spark, folder, "labels")))
+
+
 @query("op13_main_text")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
