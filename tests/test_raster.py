@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.geo import mercator_x, mercator_y
 from tidewater.operators import raster as R
+from tidewater.operators import tiles as T
 from tidewater.sources import scans
 from tidewater.sources.schemas import RASTER_TILES
 
@@ -115,10 +116,45 @@ def test_ring_overlap(spark):
     assert out == {1: ["triangle"], 3: ["triangle"], 4: ["parts"], 5: ["sliver"]}
 
 
-def test_coverage_is_not_traffic(spark):
-    cells = spark.createDataFrame(
-        [(2024, 0, 0, 4), (2024, 9, 9, 6)], "year int, col long, row long, value long"
-    )
+def tile_rows(cells, size, scale=1000.0, keep_calm=()):
+    """Tiles of all cells that have a value, and calm ones where asked."""
+    places = {(year, c // size, r // size) for year, c, r, _ in cells} | set(keep_calm)
+    at = {}
+    for year, c, r, v in cells:
+        at[year, c, r] = max(v, at.get((year, c, r), 0))
+    return [
+        (year, i, tx * size * scale, -ty * size * scale, scale, size, size,
+         [at.get((year, tx * size + c, ty * size + r), 0) for r in range(size) for c in range(size)], 3857)
+        for i, (year, tx, ty) in enumerate(sorted(places))
+    ]
+
+
+@pytest.mark.parametrize("size, edges", [(16, (1, 4, 16)), (8, (1, 2)), (20, (1, 4))])
+def test_tiles_equal_brute_force(spark, cells_rows, size, edges):
+    rng = random.Random(size)
+    rows = [r for r in cells_rows if not (r[1] // size == 3 and r[2] // size == 2)]  # a hole of one tile
+    tiles = spark.createDataFrame(tile_rows(rows, size), RASTER_TILES)
+    twice = tiles.unionByName(tiles.where("rid % 3 = 0").withColumn("pixels", F.transform("pixels", lambda p: p - 1)))
+    images = T.tile_images(twice, GRID, size)
+    boxes = [(0, -40, 299, -40, 299), (1, 5, 5, 7, 7), (2, 9, 8, 0, 5), (3, 3 * size, 3 * size + 2, 2 * size, 2 * size + 2), (4, 9000, 9001, 0, 1)]
+    for i in range(5, 60):
+        a, b = sorted(rng.randrange(-60, 330) for _ in range(2))
+        c, d = sorted(rng.randrange(-60, 330) for _ in range(2))
+        boxes.append((i, a, b, c, d))
+    df = spark.createDataFrame([(i, 2024, *b) for i, *b in boxes], "request_id long, year int, c0 long, c1 long, r0 long, r1 long")
+    got = {r.request_id: (r.trafficked_cells, r.total_transits, r.busiest_cell) for r in T.box_sums(df, images, size, edges, part_rows=9).collect()}
+    busy = {(c // size, r // size) for _, c, r, v in rows if v}
+    want = {}
+    for i, a, b, c, d in boxes:
+        if any(a <= x * size + size - 1 and b >= x * size and c <= y * size + size - 1 and d >= y * size for x, y in busy) and a <= b and c <= d:
+            inside = [v for _, x, y, v in rows if v and a <= x <= b and c <= y <= d]
+            want[i] = (len(inside), sum(inside), max(inside, default=0))
+    assert got == want and 3 not in got and 4 not in got
+
+
+def test_outside_coverage_is_not_calm(spark):
+    cells = [(2024, 0, 0, 4), (2024, 9, 9, 6), (2023, 0, 0, 1)]
+    images = T.tile_images(spark.createDataFrame(tile_rows(cells, 4), RASTER_TILES), GRID, 4)
     zones = scans.zone_rings(
         spark.createDataFrame(
             [("a", 1, ring((0.0, -1.0), (1.0, -1.0), (1.0, 0.0), (0.0, 0.0)))],
@@ -130,18 +166,27 @@ def test_coverage_is_not_traffic(spark):
     requests = spark.createDataFrame(
         [
             box(1, 2024, 100.0, 900.0),  # one busy cell
-            box(2, 2024, 3100.0, 4900.0),  # covered, no traffic
+            box(2, 2024, 2100.0, 3900.0),  # a calm edge of a tile
             box(3, 2024, 50000.0, 60000.0),  # outside
             box(4, 1999, 100.0, 900.0),  # unknown year
+            box(5, 2024, 5100.0, 6900.0),  # between the tiles, where none is
         ],
         "request_id long, year int, lat_min double, lat_max double, lon_min double, lon_max double",
     )
-    out = {r.request_id: r for r in R.vessel_traffic(requests, cells, zones, GRID).collect()}
+    out = {r.request_id: r for r in T.vessel_traffic(requests, images, zones, GRID, 4).collect()}
     assert (out[1].ok, out[1].total_transits, out[1].zones) == (True, 4, ["a"])
     assert "4 vessel transits (2024) over 1 cells" in out[1].summary and "in zone(s): a" in out[1].summary
-    assert (out[2].ok, out[2].total_transits) == (True, 0)
-    assert (out[3].ok, out[3].summary) == (False, "Region outside AIS coverage")
-    assert out[4].ok is False and out[4].summary.startswith("No AIS data for year 1999")
+    assert out[1].citations[0].locator.startswith("bbox(0.000898, -0.008085, 0.008085, -0.000898")
+    assert (out[2].ok, out[2].total_transits, out[2].busiest_cell, out[2].mean_per_cell) == (True, 0, 0, 0.0)
+    for i in (3, 5):
+        assert (out[i].ok, out[i].summary, out[i].citations) == (False, "Region outside AIS coverage", [])
+    assert out[4].ok is False and out[4].summary == "No AIS data for year 1999 (have 2023, 2024)"
+
+
+def test_wrong_tile_size_is_an_error(spark):
+    tiles = spark.createDataFrame(tile_rows([(2024, 0, 0, 4)], 4), RASTER_TILES)
+    with pytest.raises(Exception, match="has not 8 x 8 pixels"):
+        T.tile_images(tiles, GRID, 8).collect()
 
 
 def test_mercator(spark):

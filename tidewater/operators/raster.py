@@ -4,14 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
-from tidewater.functions.contract import answer_all, citation
-from tidewater.functions.geo import mercator_x, mercator_y, point_box
+from tidewater.functions.geo import mercator_x, mercator_y
 
 # fixed values: years with a traffic raster, and the year used when none is given
 RASTER_YEARS = (2022, 2023, 2024, 2025)
@@ -49,7 +45,7 @@ def _code(start: Column, level: int | Column) -> Column:
     return start * 16 + level
 
 
-def _segments(low: Column, high: Column, edges: Sequence[int]) -> Column:
+def segments(low: Column, high: Column, edges: Sequence[int]) -> Column:
     """Cut the cells ``low .. high`` into aligned runs, as long as possible (run codes).
 
     At each edge length the loose ends up to the next longer edge are cut off on
@@ -85,21 +81,21 @@ def _segments(low: Column, high: Column, edges: Sequence[int]) -> Column:
     return F.aggregate(levels, start, cut, lambda acc: acc["runs"])
 
 
-def _pieces(boxes: DataFrame, edges: Sequence[int]) -> DataFrame:
+def pieces(boxes: DataFrame, edges: Sequence[int]) -> DataFrame:
     """Every box as a few disjoint rectangles: its column runs times its row runs."""
     flat = boxes.where("c0 <= c1 and r0 <= r1").select(
         "request_id",
         "year",
-        _segments(F.col("c0"), F.col("c1"), edges).alias("_x"),
-        _segments(F.col("r0"), F.col("r1"), edges).alias("_y"),
+        segments(F.col("c0"), F.col("c1"), edges).alias("_x"),
+        segments(F.col("r0"), F.col("r1"), edges).alias("_y"),
     )
     # the outer form keeps the optimizer from copying the cuts into a filter
     wide = flat.select("request_id", "year", "_y", F.explode_outer("_x").alias("x"))
     return wide.select("request_id", "year", "x", F.explode_outer("_y").alias("y"))
 
 
-def _summed_rectangles(cells: DataFrame, edges: Sequence[int]) -> DataFrame:
-    """Count, sum and maximum of every aligned rectangle that holds traffic.
+def rectangle_sums(values: DataFrame, edges: Sequence[int]) -> DataFrame:
+    """Count, sum and maximum of every aligned rectangle of ``year, col, row, n, total, peak``.
 
     Columns are summed first, rows after, each with partial aggregation; the
     coarse rectangles of a busy area are combined before the shuffle.
@@ -111,15 +107,19 @@ def _summed_rectangles(cells: DataFrame, edges: Sequence[int]) -> DataFrame:
             F.array(*[_code(_div(F.col(at), edge) * edge, i) for i, edge in enumerate(edges)])
         )
 
-    single = cells.where("value <> 0").select(
-        "year", codes("col").alias("x"), "row", F.lit(1).cast("long").alias("n"),
-        F.col("value").cast("long").alias("total"), F.col("value").cast("long").alias("peak"),
-    )
+    single = values.select("year", codes("col").alias("x"), "row", "n", "total", "peak")
     columns = single.groupBy("year", "x", "row").agg(*totals)
     both = columns.select("year", "x", codes("row").alias("y"), "n", "total", "peak")
     return both.groupBy("year", "x", "y").agg(*totals)
 
 
+def _single(cells: DataFrame) -> DataFrame:
+    value = F.col("value").cast("long")
+    return cells.where("value <> 0").select(
+        "year", "col", "row", F.lit(1).cast("long").alias("n"), value.alias("total"), value.alias("peak")
+    )
+
+
 def box_cell_sums(
     boxes: DataFrame, cells: DataFrame, edges: Sequence[int] = EDGES
 ) -> DataFrame:
@@ -131,8 +131,8 @@ def box_cell_sums(
     area costs about as much as a small one.
     """
     return (
-        _pieces(boxes, edges)
-        .join(_summed_rectangles(cells, edges), ["year", "x", "y"])
+        pieces(boxes, edges)
+        .join(rectangle_sums(_single(cells), edges), ["year", "x", "y"])
         .groupBy("request_id", "year")
         .agg(
             F.sum("n").alias("trafficked_cells"),
@@ -166,63 +166,35 @@ def merge_cells(cells: DataFrame) -> DataFrame:
     return cells.groupBy("year", "col", "row").agg(F.max("value").alias("value"))
 
 
-def raster_extent(cells: DataFrame) -> DataFrame:
-    """Outer bounds of the raster, one row per year."""
-    return cells.groupBy("year").agg(
-        F.min("col").alias("_c0"), F.max("col").alias("_c1"),
-        F.min("row").alias("_r0"), F.max("row").alias("_r1"),
+def ring_edges(ring: Column) -> Column:
+    """The edges of a ring, the closing one included."""
+    following = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    return F.zip_with(
+        ring,
+        following,
+        lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")),
     )
 
 
-def coverage(boxes: DataFrame, cells: DataFrame) -> DataFrame:
-    """``covered``: the box meets the raster extent of its year; no traffic is still covered.
-
-    The cell range of a covered box is cut to the extent.
-    """
-    extent = raster_extent(cells)
-    meets = (
-        (F.col("c0") <= F.col("_c1")) & (F.col("c1") >= F.col("_c0"))
-        & (F.col("r0") <= F.col("_r1")) & (F.col("r1") >= F.col("_r0"))
-    )
-    cut = {
-        "c0": F.greatest("c0", "_c0"), "c1": F.least("c1", "_c1"),
-        "r0": F.greatest("r0", "_r0"), "r1": F.least("r1", "_r1"),
-    }
-    judged = boxes.join(extent, "year", "left").withColumn("covered", F.coalesce(meets, F.lit(False)))
-    return judged.withColumns(cut).drop("_c0", "_c1", "_r0", "_r1")
-
-
-@F.pandas_udf(BooleanType())
-def _ring_meets_box(
-    ring: pd.Series, xmin: pd.Series, xmax: pd.Series, ymin: pd.Series, ymax: pd.Series
-) -> pd.Series:
-    """An edge of the ring passes through the box, or the box lies inside the ring."""
-
-    def meets(points, x0, x1, y0, y1) -> bool:
-        x = np.array([p["x"] for p in points])
-        y = np.array([p["y"] for p in points])
-        ex, ey = np.roll(x, -1) - x, np.roll(y, -1) - y
-        enter, leave = np.zeros(len(x)), np.ones(len(x))
-        possible = np.ones(len(x), dtype=bool)
-        for step, low, high in ((ex, x0 - x, x1 - x), (ey, y0 - y, y1 - y)):
-            flat = step == 0
-            possible &= ~flat | ((low <= 0) & (high >= 0))
-            safe = np.where(flat, 1.0, step)
-            a, b = low / safe, high / safe
-            enter = np.where(flat, enter, np.maximum(enter, np.minimum(a, b)))
-            leave = np.where(flat, leave, np.minimum(leave, np.maximum(a, b)))
-        if bool((possible & (enter <= leave)).any()):
-            return True
-        above = (y > y0) != (np.roll(y, -1) > y0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            crossing = x + (y0 - y) * ex / ey
-        return bool((above & (x0 < crossing)).sum() % 2)
-
-    return pd.Series(
-        [meets(*row) for row in zip(ring, xmin, xmax, ymin, ymax)], dtype="boolean"
+def edge_meets_box(e: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+    """The edge touches the box: their extents meet and the corners are not all on one side of it."""
+    side = lambda x, y: (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+    sides = [side(x, y) for x in (x0, x1) for y in (y0, y1)]
+    return (
+        (F.least(e["x1"], e["x2"]) <= x1) & (F.greatest(e["x1"], e["x2"]) >= x0)
+        & (F.least(e["y1"], e["y2"]) <= y1) & (F.greatest(e["y1"], e["y2"]) >= y0)
+        & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
     )
 
 
+def point_in_ring(edges: Column, x: Column, y: Column) -> Column:
+    """Even-odd test of a point that no edge touches."""
+    crosses = lambda e: F.when(
+        (e["y1"] > y) != (e["y2"] > y), x < e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])
+    ).otherwise(F.lit(False))
+    return F.aggregate(edges, F.lit(False), lambda odd, e: odd != crosses(e))
+
+
 def zone_overlap(boxes: DataFrame, zones: DataFrame, grid: int = 5) -> DataFrame:
     """Sorted names of the zones each box meets (``request_id, zones``), boxes with a hit only.
 
@@ -237,7 +209,15 @@ def zone_overlap(boxes: DataFrame, zones: DataFrame, grid: int = 5) -> DataFrame
         .withColumn("_gx", cells("lon_min", "lon_max"))
         .withColumn("_gy", cells("lat_min", "lat_max"))
     )
-    right = zones.withColumn("_gx", cells("xmin", "xmax")).withColumn("_gy", cells("ymin", "ymax"))
+    right = (
+        zones.withColumn("_edges", ring_edges(F.col("ring")))
+        .withColumn("_gx", cells("xmin", "xmax"))
+        .withColumn("_gy", cells("ymin", "ymax"))
+    )
+    corners = [F.col(c) for c in ("lon_min", "lon_max", "lat_min", "lat_max")]
+    meets = F.exists("_edges", lambda e: edge_meets_box(e, *corners)) | point_in_ring(
+        F.col("_edges"), F.col("lon_min"), F.col("lat_min")
+    )
     # a pair that shares several grid cells is tested in the first of them only
     first = (
         F.col("_gx") == F.floor(F.greatest("lon_min", "xmin") / grid)
@@ -249,87 +229,12 @@ def zone_overlap(boxes: DataFrame, zones: DataFrame, grid: int = 5) -> DataFrame
     return (
         left.join(right, ["_gx", "_gy"])
         .where(touching & first)
-        .where(_ring_meets_box("ring", "lon_min", "lon_max", "lat_min", "lat_max"))
+        .where(meets)
         .groupBy("request_id")
         .agg(F.array_sort(F.collect_set("name")).alias("zones"))
     )
 
 
-def vessel_traffic(
-    requests: DataFrame,
-    cells: DataFrame,
-    zones: DataFrame,
-    grid: tuple[float, float, float],
-    edges: Sequence[int] = EDGES,
-) -> DataFrame:
-    """Traffic and zones per requested box and year, one contract row per request.
-
-    requests: ``request_id, year, lat_min, lat_max, lon_min, lon_max``. The raster has
-    the years that its cells have; another year or a box outside the raster gives
-    ``ok = false``. Only cells of years that are asked for are summed.
-    """
-    have = cells.select("year").distinct()
-    known = F.sort_array(F.collect_list("year"))
-    listed = have.agg(F.array_join(known, ", ").alias("names"), known.alias("years")).alias("have")
-    ranged = coverage(cell_range(requests, *grid), cells)
-    usable = ranged.where(F.col("covered"))
-    asked = cells.join(requests.select("year").distinct(), "year", "left_semi")
-    sums = box_cell_sums(usable, asked, edges).drop("year")
-    overlap = zone_overlap(usable, zones)
-    zero = lambda c, v: F.coalesce(F.col(c), F.lit(v)).alias(c)
-    found = (
-        usable.select("request_id")
-        .join(sums, "request_id", "left")
-        .join(overlap, "request_id", "left")
-        .select(
-            "request_id",
-            zero("trafficked_cells", 0),
-            zero("total_transits", 0),
-            zero("mean_per_cell", 0.0),
-            zero("busiest_cell", 0),
-            F.coalesce("zones", F.array().cast("array<string>")).alias("zones"),
-        )
-        .withColumn("lane_overlap", F.size("zones") > 0)
-    )
-    answered = requests.select("request_id", "year").join(found, "request_id")
-    text = F.concat(
-        F.format_string(
-            "%s vessel transits (%d) over %s cells (mean %.1f/cell, busiest %s)",
-            F.format_number("total_transits", 0), F.col("year"),
-            F.format_number("trafficked_cells", 0), F.col("mean_per_cell"),
-            F.format_number("busiest_cell", 0),
-        ),
-        F.when(
-            F.col("lane_overlap"), F.concat(F.lit("; in zone(s): "), F.array_join("zones", ", "))
-        ).otherwise(""),
-    )
-    cites = F.array(
-        citation(
-            "ais", F.format_string("transit counts %d", "year"), F.lit(None), F.col("year")
-        )
-    )
-    results = answered.withColumn("summary", text).withColumn("citations", cites).drop("year")
-    out = answer_all(
-        requests.select("request_id", "year"),
-        results,
-        "request_id",
-        "vessel_traffic",
-        "Region outside AIS coverage",
-    )
-    names, years = listed.select("names").scalar(), listed.select("years").scalar()
-    unknown = ~F.coalesce(F.array_contains(years, F.col("year")), F.lit(False))
-    note = F.format_string("No AIS data for year %d (have %s)", "year", names)
-    return out.withColumn("summary", F.when(unknown, note).otherwise(F.col("summary")))
-
-
-def traffic_at_point(
-    points: DataFrame, cells: DataFrame, zones: DataFrame, grid: tuple[float, float, float], **kw
-) -> DataFrame:
-    """Traffic in a small box around each ``request_id, year, lat, lon``."""
-    boxes = points.select("request_id", "year", *point_box(F.col("lat"), F.col("lon")))
-    return vessel_traffic(boxes, cells, zones, grid, **kw)
-
-
 def busy_cells(cells: DataFrame, year: int, threshold: int = 100) -> DataFrame:
     """Cells of one year with at least ``threshold`` transits."""
     return cells.where((F.col("year") == year) & (F.col("value") >= threshold))

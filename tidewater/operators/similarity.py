@@ -31,6 +31,7 @@ TOP_INDIVIDUALS = 5
 
 SCORE_DIGITS = 9  # scores are rounded before ranking, so equal vectors tie exactly
 _CHUNK = 512  # query rows per product inside a task
+DIRECT_ROWS = 262_144  # galleries up to this size are scored pair by pair
 
 
 
@@ -153,9 +154,14 @@ def nearest(
     hide: str | None = None,
     block_rows: int = 4096,
     score_digits: int = SCORE_DIGITS,
+    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """``(query_id, image_id, individual_id, score, rank)`` of the best ``top`` per query.
 
+    A gallery of more than ``direct_rows`` vectors is searched by its pivot table
+    (:mod:`tidewater.operators.pivots`), which leaves out what cannot be in the result;
+    the rows are the same either way.
+
     queries: ``query_id, embedding`` plus the scope columns, and ``hide_id`` if
     ``hide`` is ``"image"`` (never return that image) or ``"individual"``.
     gallery: ``image_id, individual_id, embedding`` plus the scope columns.
@@ -163,6 +169,10 @@ def nearest(
     of a block that can reach the global top are in the top of that block, so
     the cut inside a block is exact. Ties go to the smaller id.
     """
+    if gallery.select("image_id").limit(direct_rows + 1).count() > direct_rows:
+        from tidewater.operators import pivots
+
+        return pivots.search(queries, gallery, top, by=by, scope=scope, hide=hide, score_digits=score_digits).found
     found = _block_join(queries, gallery, top, by, scope or [], hide, block_rows, score_digits)
     if by == "individual":
         best = Window.partitionBy("query_id", "individual_id").orderBy(

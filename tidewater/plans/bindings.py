@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators.raster import merge_cells
-from tidewater.sources.scans import table
+from tidewater.sources.scans import table, zone_rings
 
 BY = "https://creativecommons.org/licenses/by/4.0/"
 BY_ND = "https://creativecommons.org/licenses/by-nd/4.0/"
@@ -153,7 +153,9 @@ CELLS_SQL = """(
   SELECT CAST(year(l_shipdate) AS INT) AS year, l_partkey % 256 AS col, l_suppkey % 181 AS row,
          count(*) AS value
   FROM lineitem GROUP BY ALL)"""
-CELL_EDGES = (1, 4, 16, 64)  # the grid is 256 cells wide
+TILE = 16  # cells along a tile
+TILE_EDGES = (1, 4, 16)  # the grid is 16 tiles wide
+TILES_SQL = f"(SELECT DISTINCT year, col // {TILE} AS tx, row // {TILE} AS ty FROM {CELLS_SQL})"
 
 
 def cells(spark: SparkSession, folder: str) -> DataFrame:
@@ -165,20 +167,24 @@ def cells(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("year", "col", "row").agg(F.count(F.lit(1)).alias("value"))
 
 
-def tiles(spark: SparkSession, folder: str, size: int = 16) -> DataFrame:
+def tiles(spark: SparkSession, folder: str, size: int = TILE) -> DataFrame:
     """The cells packed into square tiles of ``size`` (at most size * size values each)."""
     x0, y0, scale = GRID
     at = (F.col("row") % size * size + F.col("col") % size).cast("int")
-    packed = (
-        merge_cells(cells(spark, folder))
-        .groupBy(
-            "year",
-            F.floor(F.col("col") / size).alias("tx"),
-            F.floor(F.col("row") / size).alias("ty"),
-        )
-        .agg(F.map_from_entries(F.collect_list(F.struct(at, F.col("value").cast("int")))).alias("m"))
+    placed = merge_cells(cells(spark, folder)).select(
+        "year",
+        F.floor(F.col("col") / size).alias("tx"),
+        F.floor(F.col("row") / size).alias("ty"),
+        at.alias("at"),
+        F.col("value").cast("int").alias("value"),
+    )
+    tile = ["year", "tx", "ty"]
+    calm = placed.select(*tile).distinct().select(
+        *tile, F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("at"), F.lit(0).alias("value")
     )
-    pixel = lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))
+    pixels = placed.unionByName(calm).groupBy(*tile, "at").agg(F.max("value").alias("value"))
+    listed = F.sort_array(F.collect_list(F.struct("at", "value")))
+    packed = pixels.groupBy(*tile).agg(F.transform(listed, lambda p: p["value"]).alias("pixels"))
     return packed.select(
         "year",
         (F.col("ty") * 1000 + F.col("tx")).cast("int").alias("rid"),
@@ -187,34 +193,45 @@ def tiles(spark: SparkSession, folder: str, size: int = 16) -> DataFrame:
         F.lit(scale).alias("scale"),
         F.lit(size).alias("width"),
         F.lit(size).alias("height"),
-        F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), pixel).alias("pixels"),
+        "pixels",
         F.lit(3857).alias("srid"),
     )
 
 
-# protected zones as rectangles (name, part, lon range, lat range); one zone has two parts
-ZONE_ROWS = (
-    ("Bank", 1, -124.0, -123.0, 37.5, 38.5),
-    ("Bay", 1, -123.1, -121.5, 35.5, 37.6),
-    ("Channel", 1, -120.6, -119.9, 33.8, 34.3),
-    ("Channel", 2, -119.6, -118.9, 33.2, 33.7),
-    ("Olympic", 1, -126.0, -124.4, 47.0, 48.6),
+# protected zones as slanted rings (name, part, corners); one zone has two parts, one is not convex
+ZONE_RINGS = (
+    ("Bank", 1, ((-124.2, 38.0), (-123.5, 38.6), (-122.9, 38.0), (-123.5, 37.3))),
+    ("Bay", 1, ((-123.1, 37.6), (-121.5, 36.9), (-122.6, 36.6), (-121.4, 35.5), (-122.9, 35.9))),
+    ("Channel", 1, ((-120.6, 33.8), (-119.9, 33.8), (-120.1, 34.35))),
+    ("Channel", 2, ((-119.6, 33.2), (-118.9, 33.3), (-119.0, 33.8), (-119.5, 33.7))),
+    ("Olympic", 1, ((-126.0, 47.0), (-124.4, 47.4), (-124.4, 48.6), (-125.6, 48.3))),
 )
-ZONES_SQL = "(SELECT * FROM (VALUES " + ", ".join(
-    f"('{n}', {p}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for n, p, a, b, c, d in ZONE_ROWS
-) + ") AS z(name, part_id, xmin, xmax, ymin, ymax))"
+ZONE_EDGES_SQL = "(SELECT * FROM (VALUES " + ", ".join(
+    f"('{n}', {p}, {a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)"
+    for n, p, ring in ZONE_RINGS
+    for a, b in zip(ring, (*ring[1:], ring[0]))
+) + ") AS z(name, part_id, x1, y1, x2, y2))"
+
+
+def zone_hits_sql(boxes_sql: str) -> str:
+    """Boxes and the zone parts that they meet, edge by edge."""
+    side = lambda x, y: f"(x2 - x1) * ({y} - y1) - (y2 - y1) * ({x} - x1)"
+    sides = ", ".join(side(x, y) for x in ("lon_min", "lon_max") for y in ("lat_min", "lat_max"))
+    return f"""(
+      SELECT request_id, name FROM (
+        SELECT request_id, name, part_id,
+               bool_or(least(x1, x2) <= lon_max AND greatest(x1, x2) >= lon_min AND least(y1, y2) <= lat_max
+                       AND greatest(y1, y2) >= lat_min AND least({sides}) <= 0 AND greatest({sides}) >= 0) AS touched,
+               count(*) FILTER ((y1 > lat_min) <> (y2 > lat_min)
+                                AND lon_min < x1 + (lat_min - y1) * (x2 - x1) / (y2 - y1)) % 2 = 1 AS inside
+        FROM {boxes_sql} CROSS JOIN {ZONE_EDGES_SQL} GROUP BY ALL) WHERE touched OR inside)"""
 
 
 def zones(spark: SparkSession) -> DataFrame:
-    base = spark.createDataFrame(
-        list(ZONE_ROWS),
-        "name string, part_id int, xmin double, xmax double, ymin double, ymax double",
+    rows = [(n, p, [{"x": x, "y": y} for x, y in ring]) for n, p, ring in ZONE_RINGS]
+    return zone_rings(
+        spark.createDataFrame(rows, "name string, part_id int, ring array<struct<x:double,y:double>>")
     )
-    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    ring = F.array(
-        corner("xmin", "ymin"), corner("xmax", "ymin"), corner("xmax", "ymax"), corner("xmin", "ymax")
-    )
-    return base.withColumn("ring", ring)
 
 
 # named regions as boxes (ours), and which feeding region goes with which breeding region
@@ -275,3 +292,9 @@ def plain_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 def rounded(column: str | Column, digits: int = 6) -> Column:
     return F.round(F.col(column) if isinstance(column, str) else column, digits)
+
+
+def cited(citations: str) -> Column:
+    """What a row cites, as one text: kind, source, locator and reference of each, in order."""
+    one = lambda c: F.concat_ws("|", c["kind"], c["source"], c["locator"], c["ref"])
+    return F.array_join(F.transform(citations, one), ";")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.geo import point_box
 from tidewater.operators import habitat as H
 from tidewater.operators import raster as R
+from tidewater.operators import tiles as T
 from tidewater.operators.catalog import hub_derive
 from tidewater.operators.corpus import zone_to_chunks
 from tidewater.plans import bindings as B
@@ -31,8 +32,8 @@ def boxes(spark, d):
 
 
 def raster(spark, d):
-    """The traffic raster as the stored table it is; extent and sums both read it."""
-    return stored(B.cells(spark, d), "cells")
+    """The summed-area tables of all tiles, stored as they are at ingest."""
+    return stored(T.tile_images(B.tiles(spark, d), B.GRID, B.TILE), "tiles")
 
 
 BOXES_SQL = f"""(
@@ -68,8 +69,7 @@ def sums_sql(boxes_sql: str) -> str:
 def zones_sql(boxes_sql: str) -> str:
     return f"""(
       SELECT request_id, array_to_string(list_sort(list(DISTINCT name)), '|') AS zones
-      FROM {boxes_sql} JOIN {B.ZONES_SQL} ON lon_min <= xmax AND lon_max >= xmin AND lat_min <= ymax AND lat_max >= ymin
-      GROUP BY 1)"""
+      FROM {B.zone_hits_sql(boxes_sql)} GROUP BY 1)"""
 
 
 @query(
@@ -78,9 +78,8 @@ def zones_sql(boxes_sql: str) -> str:
                round(mean_per_cell, 6) AS mean_per_cell FROM {sums_sql(BOXES_SQL)}""",
 )
 def _(spark, d):
-    out = R.box_cell_sums(
-        R.cell_range(boxes(spark, d), *B.GRID), B.cells(spark, d), B.CELL_EDGES
-    )
+    ranges = R.cell_range(boxes(spark, d), *B.GRID)
+    out = T.box_sums(ranges, raster(spark, d), B.TILE, B.TILE_EDGES).where("trafficked_cells > 0")
     return out.withColumn("mean_per_cell", B.rounded("mean_per_cell"))
 
 
@@ -114,11 +113,13 @@ YEARS_SQL = f"(SELECT year FROM {B.CELLS_SQL})"
 def traffic_sql(boxes_sql: str) -> str:
     return f"""(
       SELECT b.request_id, b.year,
-             b.year IN {YEARS_SQL} AND coalesce(c0 <= ec1 AND c1 >= ec0 AND r0 <= er1 AND r1 >= er0, false) AS ok,
-             s.trafficked_cells, s.total_transits, s.mean_per_cell, s.busiest_cell, z.zones
+             e.request_id IS NOT NULL AS ok,
+             s.trafficked_cells, s.total_transits, s.mean_per_cell, s.busiest_cell, z.zones,
+             printf('bbox(%.6f, %.6f, %.6f, %.6f)', round(b.lon_min, 6), round(b.lat_min, 6), round(b.lon_max, 6), round(b.lat_max, 6)) AS place
       FROM {ranged_sql(boxes_sql)} b
-      LEFT JOIN (SELECT year, min(col) AS ec0, max(col) AS ec1, min(row) AS er0, max(row) AS er1
-                 FROM {B.CELLS_SQL} GROUP BY year) e USING (year)
+      LEFT JOIN (SELECT DISTINCT request_id FROM {ranged_sql(boxes_sql)} r JOIN {B.TILES_SQL} t
+                 ON r.year = t.year AND c0 <= c1 AND r0 <= r1 AND c0 <= tx * {B.TILE} + {B.TILE - 1} AND c1 >= tx * {B.TILE}
+                    AND r0 <= ty * {B.TILE} + {B.TILE - 1} AND r1 >= ty * {B.TILE}) e ON e.request_id = b.request_id
       LEFT JOIN {sums_sql(boxes_sql)} s ON s.request_id = b.request_id
       LEFT JOIN {zones_sql(boxes_sql)} z ON z.request_id = b.request_id)"""
 
@@ -140,7 +141,9 @@ def answers_sql(boxes_sql: str) -> str:
                        || printf('%.1f', coalesce(mean_per_cell, 0)) || '/cell, busiest '
                        || format('{{:,}}', coalesce(busiest_cell, 0)) || ')'
                        || CASE WHEN zones IS NULL THEN '' ELSE '; in zone(s): ' || replace(zones, '|', ', ') END
-             END AS summary
+             END AS summary,
+             CASE WHEN ok THEN 'ais|transit counts ' || CAST(year AS VARCHAR) || '|' || place || '|' || CAST(year AS VARCHAR)
+                  ELSE '' END AS cited
       FROM {traffic_sql(boxes_sql)}"""
 
 
@@ -149,15 +152,14 @@ def _answers(out):
         "request_id", "year", "ok", "trafficked_cells", "total_transits", "busiest_cell",
         B.rounded("mean_per_cell").alias("mean_per_cell"),
         F.array_join("zones", "|").alias("zones"), "lane_overlap", "summary",
+        B.cited("citations").alias("cited"),
     )
 
 
 @query("vessel_traffic", answers_sql(BOXES_SQL))
 def _(spark, d):
     return _answers(
-        R.vessel_traffic(
-            boxes(spark, d), raster(spark, d), B.zones(spark), B.GRID, edges=B.CELL_EDGES
-        )
+        T.vessel_traffic(boxes(spark, d), raster(spark, d), B.zones(spark), B.GRID, B.TILE, B.TILE_EDGES)
     )
 
 
@@ -173,9 +175,7 @@ def _(spark, d):
         F.col("sighting_id").alias("request_id"), F.year("obs_date").alias("year"), "lat", "lon"
     )
     return _answers(
-        R.traffic_at_point(
-            points, raster(spark, d), B.zones(spark), B.GRID, edges=B.CELL_EDGES
-        )
+        T.traffic_at_point(points, raster(spark, d), B.zones(spark), B.GRID, B.TILE, edges=B.TILE_EDGES)
     )
 
 
@@ -184,33 +184,25 @@ def _(spark, d):
     return R.busy_cells(B.cells(spark, d), 1998, 2)
 
 
-RANGE_BOXES_SQL = BOXES_SQL.replace(YEAR_SQL, "1998")
 EXPOSURE_SQL = f"""(
-  SELECT request_id AS individual_id, ok, total_transits, busiest_cell, mean_per_cell, zones FROM {traffic_sql(RANGE_BOXES_SQL)})"""
+  SELECT request_id AS individual_id, year, ok, total_transits, busiest_cell, mean_per_cell, zones FROM {traffic_sql(BOXES_SQL)})"""
 
 
-def range_exposure(spark, d, year=1998):
-    """Core range, traffic and zones of every individual in one plan."""
-    ranges = stored(
-        H.core_bbox(B.sightings(spark, d)).select(
-            F.col("individual_id").alias("request_id"), F.lit(year).alias("year"), *H.BOX
-        ),
-        "ranges",
-    )
-    return R.vessel_traffic(
-        ranges, raster(spark, d), B.zones(spark), B.GRID, edges=B.CELL_EDGES
-    ).withColumnRenamed("request_id", "individual_id")
+def range_exposure(spark, d):
+    """Core range, traffic and zones of every individual, each in its own year, in one plan."""
+    answers = T.vessel_traffic(boxes(spark, d), raster(spark, d), B.zones(spark), B.GRID, B.TILE, B.TILE_EDGES)
+    return answers.withColumnRenamed("request_id", "individual_id")
 
 
 @query(
     "range_exposure",
-    f"""SELECT individual_id, CASE WHEN ok THEN coalesce(total_transits, 0) END AS total_transits,
+    f"""SELECT individual_id, year, CASE WHEN ok THEN coalesce(total_transits, 0) END AS total_transits,
                CASE WHEN ok THEN coalesce(busiest_cell, 0) END AS busiest_cell,
                CASE WHEN ok THEN coalesce(zones, '') END AS zones, ok FROM {EXPOSURE_SQL}""",
 )
 def _(spark, d):
     return range_exposure(spark, d).select(
-        "individual_id", "total_transits", "busiest_cell", F.array_join("zones", "|").alias("zones"), "ok"
+        "individual_id", "year", "total_transits", "busiest_cell", F.array_join("zones", "|").alias("zones"), "ok"
     )
 
 
@@ -256,8 +248,7 @@ ZONE_NAMES = ("Bank", "Bay", "Channel", "Olympic")
 @query(
     "zone_to_chunks",
     f"""SELECT request_id, z.name AS sanctuary, count(*) AS n_chunks, CAST(sum(doc_id) AS BIGINT) AS chunk_sum
-        FROM (SELECT DISTINCT request_id, name FROM {BOXES_SQL} JOIN {B.ZONES_SQL}
-              ON lon_min <= xmax AND lon_max >= xmin AND lat_min <= ymax AND lat_max >= ymin) z
+        FROM (SELECT DISTINCT request_id, name FROM {B.zone_hits_sql(BOXES_SQL)}) z
         JOIN (SELECT doc_id, {list(ZONE_NAMES)!r}[CAST(substr(source, 4) AS INT) % {len(ZONE_NAMES)} + 1] AS s
               FROM documents) ON s = z.name
         GROUP BY ALL""",

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewater.operators import pivots, splits
 from tidewater.operators import similarity as S
-from tidewater.operators import splits
 from tidewater.operators.habitat import region_label
 from tidewater.plans import bindings as B
 from tidewater.plans.registry import query
@@ -76,6 +76,18 @@ def _(spark, d):
     return found.withColumn("score", B.rounded("score"))
 
 
+@query(
+    "knn_pruned",
+    f"""SELECT query_id, image_id, individual_id, round(score, 6) AS score, rank
+        FROM {IMAGES_50_SQL} WHERE rank <= 10""",
+)
+def _(spark, d):
+    """The same search through the pivot table, as large galleries take it; small cells, so that these tables have many."""
+    sizes = pivots.Sizes(cell_rows=64, block_rows=256)
+    found = pivots.search(B.image_queries(spark, d), B.images(spark, d), 10, hide="image", sizes=sizes).found
+    return found.withColumn("score", B.rounded("score"))
+
+
 @query(
     "knn_leave_one_out",
     f"SELECT query_id, image_id, individual_id, round(score, 6) AS score, rank FROM {IMAGES_50_SQL} WHERE rank <= 10",
