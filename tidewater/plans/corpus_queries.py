@@ -13,6 +13,7 @@ from tidewater.operators import corpus as K
 from tidewater.operators import search as Q
 from tidewater.operators.embedders import WORDS_64, embed_column
 from tidewater.plans import bindings as B
+from tidewater.plans.chunk_sql import SPACES, chunks_sql
 from tidewater.plans.registry import query
 from tidewater.sources.scans import table
 from tidewater.sources.sinks import upsert_latest
@@ -103,7 +104,12 @@ def _(spark, d):
     return out.withColumn("missing", F.array_join("missing", "|"))
 
 
-@query("chunk_text")
+CHUNK_TEXT_SQL = f"""
+  SELECT key AS doc_id, CAST(row_number() OVER (PARTITION BY key ORDER BY start) AS INT) AS chunk_no, pos, text
+  FROM {chunks_sql(f"(SELECT doc_id AS key, 0 AS part, text AS body FROM {CLEAN_SQL})")}"""
+
+
+@query("chunk_text", CHUNK_TEXT_SQL)
 def _(spark, d):
     return K.chunk_text(cleaned(spark, d))
 
@@ -126,18 +132,44 @@ def corpus_chunks(spark, d):
     return K.chunk_annotate(_corpus_documents(spark, d), _metadata(spark, d), HEADINGS)
 
 
-@query("chunk_annotate")
+def _title(text: str) -> str:
+    return f"array_to_string(list_transform(string_split(lower({text}), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+
+
+BODIES_SQL = f"""(
+  SELECT doc_id AS key, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start, ordinal) AS INT) AS part,
+         heading AS section, subject,
+         trim(substring(text, start + width, greatest(stop - start - width, 0)), {SPACES}) AS body
+  FROM {SECTIONS_SQL} WHERE subject IS NOT NULL)"""
+ANNOTATED_SQL = f"""(
+  SELECT 'doc-' || CAST(key AS VARCHAR) || '.'
+           || CAST(row_number() OVER (PARTITION BY key ORDER BY part, c.start) AS VARCHAR) AS chunk_id,
+         c.text, '[' || concat_ws(' - ', d.lang, {_title('subject')}, d.source) || ' — ' || {_title('section')} || ']' AS header,
+         d.lang AS species, CAST(NULL AS VARCHAR) AS sanctuary, 'SAR' AS doc_type, section, d.source AS stock,
+         'doc-' || CAST(key AS VARCHAR) || '.pdf' AS source, CAST(2024 AS INT) AS year
+  FROM {chunks_sql(BODIES_SQL)} c JOIN {BODIES_SQL} b USING (key, part) JOIN documents d ON d.doc_id = key)"""
+
+
+@query("chunk_annotate", f"SELECT * FROM {ANNOTATED_SQL}")
 def _(spark, d):
     out = corpus_chunks(spark, d)
     return out.withColumn("species", F.array_join("species", "|"))
 
 
-@query("chunk_peek")
+@query(
+    "chunk_peek",
+    f"""SELECT chunk_id, section, CAST(len(text) AS INT) AS n_chars, left(text, 80) AS head, right(text, 80) AS tail
+        FROM {ANNOTATED_SQL}""",
+)
 def _(spark, d):
     return K.chunk_peek(corpus_chunks(spark, d))
 
 
-@query("corpus_ingest")
+@query(
+    "corpus_ingest",
+    f"""SELECT chunk_id, header, section, text, CAST(CASE WHEN species = 'en' THEN 2 ELSE 1 END AS INT) AS batch,
+               {WORDS_64.width} AS width, '{WORDS_64.version}' AS embedder_ver FROM {ANNOTATED_SQL}""",
+)
 def _(spark, d):
     """Clean, split, chunk, embed, upsert: a second version of the English chunks replaces the first."""
     chunks = corpus_chunks(spark, d)
