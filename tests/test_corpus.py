@@ -139,6 +139,19 @@ def test_keyword_search_forms(spark, chunks):
     assert ask(spark, chunks, "entanglement or lanes") == [4, 3, 1]
     assert ask(spark, chunks, "the of and") == []
     assert ask(spark, chunks, "unseen whales") == []
+    assert ask(spark, chunks, '"shipping of lane"') == [] and ask(spark, chunks, '"lane for ship"') == [4]
+
+
+def test_keyword_search_finds_all_forms_of_a_stem(spark, chunks):
+    assert ask(spark, chunks, "ship strike") == ask(spark, chunks, "ships striking") == [1]
+    assert ask(spark, chunks, "harming whaling") == [3]
+    assert ask(spark, chunks, '"ship strike" -entangled') == [1] and ask(spark, chunks, "whale -killed -entangling") == [2]
+    index = Q.index_tokens(chunks)
+    table = {r.word: (r.df, r.stem) for r in Q.word_table(index).collect()}
+    assert table["whales"] == (3, "whale") and table["shipping"] == (2, "ship")
+    query = spark.createDataFrame([(1, "whale")], "query_id long, text string")
+    stored = Q.keyword_search(query, index, vocabulary=Q.word_table(index))
+    assert [r.chunk_id for r in stored.orderBy("rank").collect()] == [2, 3, 1]
 
 
 def test_keyword_search_equals_brute_force_on_a_hot_term(spark):

@@ -135,7 +135,9 @@ def with_stem(words: DataFrame, word: str = "word", out: str = "stem") -> DataFr
     held = words.select(F.struct(*[F.col(f"`{c}`") for c in names], F.lit(0).alias("_")).alias("_row"), F.col(f"`{word}`").alias("word"))
     for step in steps("({0} RLIKE {1})", "regexp_replace({0}, {1}, {2})"):
         held = held.withColumns({name: F.expr(text.replace("{1}", "$1")) for name, text in step.items()})
-    return held.select(*[F.col(f"_row.`{c}`") for c in names], F.col("word").alias(word), F.col("stem").alias(out))
+    # the outer form of a generator: a filter on the stem is not copied into all steps before it
+    once = F.explode_outer(F.array("stem")).alias(out)
+    return held.select(*[F.col(f"_row.`{c}`") for c in names], F.col("word").alias(word), once)
 
 
 def stems_sql(words_sql: str) -> str:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.ordered import keep_top
+from tidewater.functions.stems import with_stem
 from tidewater.functions.text import words
 from tidewater.operators.similarity import nearest
 from tidewater.session import stored
@@ -102,48 +105,98 @@ def parse_queries(queries: DataFrame, stop_words: list[str] = STOP_WORDS) -> Dat
     )
 
 
-def keyword_search(
-    queries: DataFrame, chunks: DataFrame, cand: int = CANDIDATES, salt: int = 16
-) -> DataFrame:
-    """``query_id, chunk_id, score, rank``: chunks with all required terms of a query.
+def word_table(index: DataFrame) -> DataFrame:
+    """``word, df, stem`` of every term of an index: what ingest writes next to it, once.
 
-    Each alternative is driven by its rarest term: only the postings of that
-    term are joined, and the remaining terms are tested inside the chunk's own
-    token list. Postings are salted, so a term found in a third of all chunks
-    is spread over ``salt`` tasks. Score: term frequency over text length.
-    Chunks without token columns are indexed into the shared folder first.
+    Stems are computed per different word, not per occurrence.
     """
-    index = chunks if "terms" in chunks.columns else stored(index_tokens(chunks), "tokens")
-    asked = parse_queries(queries)
-    terms = asked.select("query_id", "alt_no", F.explode_outer("required").alias("term"))
-    postings = index.select("chunk_id", F.explode_outer("terms").alias("term")).where(
-        "term is not null"
+    terms = index.select(F.explode_outer("terms").alias("word")).where("word is not null")
+    return with_stem(terms.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+
+
+_ANY_WORD = "[^ ]+"
+
+
+def _asked(queries: DataFrame, vocabulary: DataFrame, stop_words: list[str]) -> DataFrame:
+    """Alternatives of all queries with the words of the index that their stems stand for.
+
+    ``needs``: for each required term its document frequency and its words; ``excluded``:
+    words that must not occur; ``phrases``: patterns over a line of words, in which a stop
+    word is any word. Alternatives with a term that no text holds are left out.
+    """
+    kind = lambda name, listed: F.transform(
+        listed, lambda w, i: F.struct(F.lit(name).alias("kind"), i.alias("no"), F.lit(0).alias("at"), w.alias("word"))
+    )
+    in_phrase = lambda p, i: F.transform(
+        F.split(p, " "), lambda w, j: F.struct(F.lit("phrase").alias("kind"), i.alias("no"), j.alias("at"), w.alias("word"))
     )
-    frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rarest = (
-        terms.join(frequency, "term", "left")
-        .groupBy("query_id", "alt_no")
-        .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r"))
-        .where("r.df > 0")
-        .select("query_id", "alt_no", F.col("r.term").alias("term"))
+    listed = F.concat(kind("need", F.col("required")), kind("not", F.col("excluded")), F.flatten(F.transform("phrases", in_phrase)))
+    parts = parse_queries(queries, stop_words).select("query_id", "alt_no", F.explode(listed).alias("p")).select("query_id", "alt_no", "p.*")
+    stems = with_stem(parts.select("word").distinct())
+    known = (
+        vocabulary.join(stems.select("stem").distinct(), "stem")
+        .groupBy("stem")
+        .agg(F.array_sort(F.collect_list("word")).alias("variants"), F.sum("df").alias("df"))
     )
-    asked_by = (
-        asked.join(rarest, ["query_id", "alt_no"])
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    found = parts.join(stems.join(known, "stem", "left").drop("stem"), "word", "left")
+    stop = F.col("word").isin(list(stop_words))
+    pattern = F.when(stop, F.lit(_ANY_WORD)).otherwise(F.concat(F.lit("(?:"), F.array_join("variants", "|"), F.lit(")")))
+    is_kind = lambda name, value: F.when(F.col("kind") == name, value)
+    by_part = found.groupBy("query_id", "alt_no", "kind", "no").agg(
+        F.first("variants").alias("variants"),
+        F.first("df").alias("df"),
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("at", pattern.alias("pattern")))), lambda x: x["pattern"]), " "
+        ).alias("pattern"),
     )
+    ends = rf"^(?:{re.escape(_ANY_WORD)} )+|(?: {re.escape(_ANY_WORD)})+$"
+    line = F.concat(F.lit(" "), F.regexp_replace("pattern", ends, ""), F.lit(" "))
+    return (
+        by_part.groupBy("query_id", "alt_no")
+        .agg(
+            F.collect_list(is_kind("need", F.struct("df", "variants"))).alias("needs"),
+            F.flatten(F.collect_list(is_kind("not", F.col("variants")))).alias("excluded"),
+            F.collect_list(is_kind("phrase", line)).alias("phrases"),
+        )
+        .where(F.forall("needs", lambda n: n["variants"].isNotNull()))
+    )
+
+
+def keyword_search(
+    queries: DataFrame,
+    chunks: DataFrame,
+    cand: int = CANDIDATES,
+    salt: int = 16,
+    vocabulary: DataFrame | None = None,
+    stop_words: list[str] = STOP_WORDS,
+) -> DataFrame:
+    """``query_id, chunk_id, score, rank``: chunks with all required terms of a query.
+
+    A term is found in every form of its English stem. Each alternative is driven by its
+    rarest term: only the postings of that term's words are joined, and the remaining
+    terms are tested inside the chunk's own token list. Postings are salted, so a term
+    found in a third of all chunks is spread over ``salt`` tasks. Score: term frequency
+    over text length. Chunks without token columns are indexed into the shared folder
+    first; ``vocabulary`` is their :func:`word_table`, if it is stored.
+    """
+    index = chunks if "terms" in chunks.columns else stored(index_tokens(chunks, stop_words), "tokens")
+    asked = _asked(queries, word_table(index) if vocabulary is None else vocabulary, stop_words)
+    rarest = asked.withColumn("term", F.explode(F.array_min("needs")["variants"]))
+    asked_by = rarest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    postings = index.select("chunk_id", F.explode_outer("terms").alias("term")).where("term is not null")
     salted = postings.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salt)).cast("int"))
     candidates = salted.join(asked_by, ["term", "salt"]).drop("salt", "term")
-    full = candidates.join(
-        index.select("chunk_id", "terms", "kept", "words", "n_words"), "chunk_id"
-    )
+    full = candidates.join(index.select("chunk_id", "terms", "kept", "words", "n_words"), "chunk_id")
     every = (
-        (F.size(F.array_except("required", "terms")) == 0)
+        F.forall("needs", lambda n: F.arrays_overlap(n["variants"], F.col("terms")))
         & ~F.arrays_overlap("excluded", "terms")
-        & F.forall("phrases", lambda p: F.col("words").contains(F.concat(F.lit(" "), p, F.lit(" "))))
+        & F.forall("phrases", lambda p: F.rlike("words", p))
     )
-    hits = F.size(F.filter("kept", lambda w: F.array_contains("required", w)))
+    wanted = F.flatten(F.transform("needs", lambda n: n["variants"]))
+    hits = F.size(F.filter("kept", lambda w: F.array_contains(F.col("wanted"), w)))
     scored = (
         full.where(every)
+        .withColumn("wanted", wanted)
         .withColumn("score", hits / F.col("n_words"))
         .groupBy("query_id", "chunk_id")
         .agg(F.max("score").alias("score"))
@@ -166,17 +219,22 @@ def rrf_fusion(vector: DataFrame, keyword: DataFrame, k: int = TOP_K, rrf_k: int
 
 
 def hybrid_search(
-    queries: DataFrame, chunks: DataFrame, k: int = TOP_K, cand: int = CANDIDATES, **blocks
+    queries: DataFrame,
+    chunks: DataFrame,
+    k: int = TOP_K,
+    cand: int = CANDIDATES,
+    vocabulary: DataFrame | None = None,
+    **blocks,
 ) -> DataFrame:
     """Vector and keyword candidates over the same filtered chunks, fused by rank.
 
     queries: ``query_id, text, embedding``; chunks: ``chunk_id, text, embedding``,
-    with the token columns if they are stored. Stemming is left out, which moves
-    keyword ranks only.
+    with the token columns if they are stored. ``vocabulary`` may be that of all
+    chunks, filtered or not: it finds the forms of a term, the chunks decide.
     """
     vector = vector_search(queries.select("query_id", "embedding"), chunks, cand, **blocks)
     plain = chunks.drop("embedding")
-    keyword = keyword_search(queries.select("query_id", "text"), plain, cand)
+    keyword = keyword_search(queries.select("query_id", "text"), plain, cand, vocabulary=vocabulary)
     return rrf_fusion(vector, keyword, k)
 
 

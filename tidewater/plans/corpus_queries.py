@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewater.functions.stems import stems_sql
 from tidewater.functions.text import clean_lines, heading_pattern
 from tidewater.operators import corpus as K
 from tidewater.operators import search as Q
@@ -15,6 +16,7 @@ from tidewater.operators.embedders import WORDS_64, embed_column
 from tidewater.plans import bindings as B
 from tidewater.plans.chunk_sql import SPACES, chunks_sql
 from tidewater.plans.registry import query
+from tidewater.session import stored
 from tidewater.sources.scans import table
 from tidewater.sources.sinks import upsert_latest
 
@@ -257,15 +259,23 @@ def _(spark, d):
 
 
 STOPS_SQL = f"{list(Q.STOP_WORDS)!r}"
-TOKENS_SQL = f"""(
-  SELECT doc_id, w, greatest(len(w), 1) AS n FROM (
-    SELECT doc_id, list_filter({WORDS_SQL}, lambda x: NOT list_contains({STOPS_SQL}, x)) AS w FROM documents))"""
+def word_stems_sql(rows: str) -> str:
+    """``word, stem`` of all words in ``rows``."""
+    return stems_sql(f"(SELECT DISTINCT unnest({WORDS_SQL}) AS word FROM {rows})")
 
 
-def keyword_sql(terms: str, cand: int) -> str:
-    """``terms``: ``query_id, t`` with the list of required terms."""
+def tokens_sql(docs: str) -> str:
+    """``doc_id, w, n``: the stems of the words that are no stop words, and their number."""
     return f"""(
-      WITH d AS (SELECT * FROM {TOKENS_SQL}), q AS (SELECT * FROM {terms} WHERE len(t) > 0),
+      SELECT doc_id, list(stem) AS w, count(*) AS n
+      FROM (SELECT doc_id, unnest({WORDS_SQL}) AS word FROM {docs}) JOIN {word_stems_sql(docs)} USING (word)
+      WHERE NOT list_contains({STOPS_SQL}, word) GROUP BY doc_id)"""
+
+
+def keyword_sql(terms: str, cand: int, docs: str = "documents") -> str:
+    """``terms``: ``query_id, t`` with the list of required stems."""
+    return f"""(
+      WITH d AS (SELECT * FROM {tokens_sql(docs)}), q AS (SELECT * FROM {terms} WHERE len(t) > 0),
       s AS (SELECT query_id, doc_id AS chunk_id,
                    len(list_filter(w, lambda x: list_contains(t, x))) / n::DOUBLE AS score
             FROM q JOIN d ON list_has_all(w, t))
@@ -274,24 +284,24 @@ def keyword_sql(terms: str, cand: int) -> str:
 
 
 TERMS_SQL = f"""(
-  SELECT query_id, list_distinct(list_filter({WORDS_SQL}, lambda x: NOT list_contains({STOPS_SQL}, x))) AS t
-  FROM SOURCE)"""
+  SELECT query_id, list_distinct(list(stem)) AS t
+  FROM (SELECT query_id, unnest({WORDS_SQL}) AS word FROM SOURCE) JOIN {word_stems_sql('SOURCE')} USING (word)
+  WHERE NOT list_contains({STOPS_SQL}, word) GROUP BY query_id)"""
 SENTENCES_SQL = f"""(
   SELECT CAST(item_id AS VARCHAR) || '-' || CAST(i AS VARCHAR) AS query_id, s AS text
   FROM (SELECT item_id, unnest(string_split(text, '.')) AS s,
                generate_subscripts(string_split(text, '.'), 1) - 1 AS i FROM benchmark)
-  WHERE len(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}]+')) BETWEEN 3 AND 5)"""
+  WHERE regexp_matches(s, '[\\p{{L}}\\p{{N}}]'))"""
 FULL_TERMS_SQL = TERMS_SQL.replace("SOURCE", "(SELECT item_id AS query_id, text FROM benchmark)")
 SENTENCE_TERMS_SQL = TERMS_SQL.replace("SOURCE", SENTENCES_SQL)
 
 
 def sentence_queries(spark, d):
-    """Every sentence of three to five words in the benchmark texts: short queries."""
+    """Every sentence of the benchmark texts, as queries of all lengths."""
     sentences = table(spark, d, "benchmark").select(
         "item_id", F.posexplode(F.split("text", "[.]", -1)).alias("i", "text")
     )
-    words = F.size(F.regexp_extract_all(F.lower("text"), F.lit("([\\p{L}\\p{N}]+)"), 1))
-    return sentences.where(words.between(3, 5)).select(
+    return sentences.where(F.col("text").rlike("[\\p{L}\\p{N}]")).select(
         F.concat_ws("-", "item_id", "i").alias("query_id"), "text"
     )
 
@@ -335,7 +345,7 @@ def _(spark, d):
     return Q.rrf_fusion(vector, keyword, k=10).withColumn("score", B.rounded("score"))
 
 
-ENGLISH_KEYWORD_SQL = keyword_sql(FULL_TERMS_SQL, 20).replace("FROM documents))", f"FROM {ENGLISH_SQL} AS e))")
+ENGLISH_KEYWORD_SQL = keyword_sql(FULL_TERMS_SQL, 20, ENGLISH_SQL)
 
 
 @query(
@@ -369,3 +379,46 @@ def _(spark, d):
     return out.withColumns(
         {c: F.array_join(c, "|") for c in ("free_species", "scoped_species")}
     )
+
+
+CATALOG_DOCS_SQL = "(SELECT * FROM documents WHERE source = 'src1')"
+
+
+@query(
+    "catalog_search",
+    f"""SELECT query_id, chunk_id, vrank, krank, round(score, 6) AS score, rank
+        FROM {fusion_sql(vector_sql(CATALOG_DOCS_SQL, 20), keyword_sql(FULL_TERMS_SQL, 20, CATALOG_DOCS_SQL), 5)}""",
+)
+def _(spark, d):
+    """Fused search in one kind of documents."""
+    queries, rows = embedded(search_queries(spark, d)), embedded(chunks(spark, d))
+    found = Q.catalog_search(queries, rows, "src1", score_digits=6, block_rows=4096)
+    return found.withColumn("score", B.rounded("score"))
+
+
+def ingested(spark, d):
+    """What ingest leaves for search: chunks with vectors and tokens, and the words of all of them."""
+    done = K.embed_chunks(corpus_chunks(spark, d), WORDS_64)
+    index = stored(Q.index_tokens(done), "corpus")
+    return index, stored(Q.word_table(index), "words")
+
+
+INGESTED_SQL = f"(SELECT chunk_id AS doc_id, text FROM {ANNOTATED_SQL})"
+EMBEDDED_SQL = f"(SELECT chunk_id AS doc_id, header || chr(10) || text AS text FROM {ANNOTATED_SQL})"
+
+
+@query(
+    "corpus_search",
+    f"""SELECT query_id, f.chunk_id, vrank, krank, round(f.score, 6) AS score, rank, section, source, left(text, 100) AS snippet
+        FROM {fusion_sql(vector_sql(EMBEDDED_SQL, 20), keyword_sql(FULL_TERMS_SQL, 20, INGESTED_SQL), 5)} f
+        JOIN {ANNOTATED_SQL} c ON c.chunk_id = f.chunk_id""",
+)
+def _(spark, d):
+    """From cleaned documents to answers: ingest writes vectors, tokens and words once, search reads them."""
+    index, words = ingested(spark, d)
+    asked = embedded(search_queries(spark, d))
+    found = Q.hybrid_search(asked, index, vocabulary=words, score_digits=6, block_rows=4096)
+    out = Q.with_snippets(found, index)
+    return out.select(
+        "query_id", "chunk_id", "vrank", "krank", B.rounded("score").alias("score"), "rank", "section", "source", "snippet"
+    )
