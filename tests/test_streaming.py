@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,83 +20,96 @@ def put(spark, folder, rows, schema):
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
 
 
-LOG = "conv_id long, turn long, role string, content string"
+LOG = "conv_id long, turn long, role string, content string, ts timestamp"
+START = datetime(2024, 1, 1)
 
 
-def test_segments_over_batches_and_replays(spark, tmp_path):
-    source, out = tmp_path / "log", str(tmp_path / "out")
-    first = [(1, t, "human", "x" * 10) for t in range(4)]
+def turns(*numbers, conv=1, role="human", size=10):
+    """Messages a minute apart."""
+    return [(conv, t, role, "x" * size, START + timedelta(minutes=t)) for t in numbers]
+
 
-    def run():
+def sliced(spark, source, out, *batches, tail=0, **given):
+    """The slices after each batch was read by a query of its own."""
+    for rows in batches:
+        put(spark, source, rows, LOG)
         log = jobs.read_stream(spark, str(source))
-        jobs.run_to_end(jobs.stream_segments(log, 15, 1, chars), out)
-        rows = spark.read.parquet(out).collect()
-        return sorted((r.segment, r.start_turn, r.end_turn, r.n_messages, r.prose_tokens) for r in rows)
+        jobs.run_to_end(jobs.stream_segments(log, 15, tail, chars, **given), str(out))
+    rows = spark.read.parquet(str(out)).collect()
+    return sorted((r.segment, r.start_turn, r.end_turn, r.n_messages, r.prose_tokens) for r in rows)
 
-    put(spark, source, first, LOG)
-    assert run() == [(0, 0, 1, 2, 20)]
-    put(spark, source, first, LOG)  # the same messages again
-    assert run() == [(0, 0, 1, 2, 20)]
-    put(spark, source, [(1, t, "human", "x" * 10) for t in range(3, 6)], LOG)
-    assert run() == [(0, 0, 1, 2, 20), (1, 2, 3, 2, 20)]
+
+def test_segments_over_batches_and_replays(spark, tmp_path):
+    source, out = tmp_path / "log", tmp_path / "out"
+    assert sliced(spark, source, out, turns(0, 1, 2, 3), tail=1) == [(0, 0, 1, 2, 20)]
+    assert sliced(spark, source, out, turns(0, 1, 2, 3), tail=1) == [(0, 0, 1, 2, 20)]  # the same messages again
+    assert sliced(spark, source, out, turns(3, 4, 5), tail=1) == [(0, 0, 1, 2, 20), (1, 2, 3, 2, 20)]
 
 
 def test_segments_wait_for_late_turns(spark, tmp_path):
     """Turns that arrive out of order give the slices of the ordered log."""
-    source, out = tmp_path / "log", str(tmp_path / "out")
-    for turns in ((2, 3), (0, 1), (1, 4), (5, 4)):
-        put(spark, source, [(1, t, "human", "x" * 10) for t in turns], LOG)
-        jobs.run_to_end(jobs.stream_segments(jobs.read_stream(spark, str(source)), 15, 0, chars), out)
-    rows = spark.read.parquet(out).collect()
-    assert sorted((r.segment, r.start_turn, r.end_turn, r.n_messages) for r in rows) == [(0, 0, 1, 2), (1, 2, 3, 2), (2, 4, 5, 2)]
+    got = sliced(spark, tmp_path / "log", tmp_path / "out", turns(2, 3), turns(0, 1), turns(1, 4), turns(5, 4))
+    assert got == [(0, 0, 1, 2, 20), (1, 2, 3, 2, 20), (2, 4, 5, 2, 20)]
 
 
-def test_a_gap_is_taken_as_real_when_too_many_turns_wait(spark, tmp_path):
-    source, out = tmp_path / "log", str(tmp_path / "out")
-    put(spark, source, [(1, t, "human", "x" * 10) for t in (5, 6, 9, 10)], LOG)
-    log = jobs.read_stream(spark, str(source))
-    jobs.run_to_end(jobs.stream_segments(log, 15, 0, chars, patience=2), out)
-    rows = spark.read.parquet(out).collect()
-    assert [(r.segment, r.start_turn, r.end_turn) for r in rows] == [(0, 5, 6)]
+@pytest.mark.parametrize("missing", [{0}, {3}, {0, 1, 7, 8}])
+def test_a_gap_is_real_once_later_messages_have_passed(spark, tmp_path, missing):
+    numbers = [t for t in range(21) if t not in missing]
+    first = sliced(spark, tmp_path / "log", tmp_path / "out", turns(*numbers[:4]), late_by="2 minutes")
+    assert len(first) <= 2
+    got = sliced(spark, tmp_path / "log", tmp_path / "out", turns(*numbers[4:]), turns(0, conv=2), late_by="2 minutes")
+    want = [(i, a, b, 2, 20) for i, (a, b) in enumerate(zip(numbers[::2], numbers[1::2]))]
+    assert got == want
+
+
+def test_turns_behind_a_gap_wait_while_the_missing_one_may_come(spark, tmp_path):
+    source, out = tmp_path / "log", tmp_path / "out"
+    assert sliced(spark, source, out, turns(1, 2, 3)) == []
+    assert sliced(spark, source, out, turns(0)) == [(0, 0, 1, 2, 20), (1, 2, 3, 2, 20)]
 
 
 def test_tool_rows_do_not_fill_a_slice(spark, tmp_path):
-    source, out = tmp_path / "log", str(tmp_path / "out")
-    put(spark, source, [(1, 0, "human", "x" * 10), (1, 1, "tool", "x" * 99), (1, 2, "human", "x")], LOG)
-    jobs.run_to_end(jobs.stream_segments(jobs.read_stream(spark, str(source)), 15, 0, chars), out)
-    assert spark.read.parquet(out).count() == 0
+    rows = turns(0) + turns(1, role="tool", size=99) + turns(2, size=1)
+    assert sliced(spark, tmp_path / "log", tmp_path / "out", rows) == []
 
 
 RUNS = "run_id string, phase string, ts timestamp, tool string"
 
 
+def timed(spark, source, out, *batches, **given):
+    """Elapsed times after each batch of ``run, phase, second, tool`` was read by a query of its own."""
+    for rows in batches:
+        put(spark, source, [(r, p, START + timedelta(seconds=s), t) for r, p, s, t in rows], RUNS)
+        jobs.run_to_end(jobs.stream_tool_elapsed(jobs.read_stream(spark, str(source)), **given), str(out))
+    return {r.run_id: (r.elapsed_ms, r.tool) for r in spark.read.parquet(str(out)).collect()}
+
+
 def test_tool_elapsed_keeps_starts_between_batches(spark, tmp_path):
-    source, out = tmp_path / "runs", str(tmp_path / "out")
-    at = lambda s: spark.sql(f"select timestamp'2024-01-01 00:00:00' + interval {s} seconds").first()[0]
-
-    def run():
-        jobs.run_to_end(jobs.stream_tool_elapsed(jobs.read_stream(spark, str(source))), out)
-        return {r.run_id: (r.elapsed_ms, r.tool) for r in spark.read.parquet(out).collect()}
-
-    put(spark, source, [("a", "start", at(0), "t"), ("b", "end", at(1), "t"), ("c", "start", at(2), "u")], RUNS)
-    assert run() == {"b": (-1, None)}
-    put(spark, source, [("a", "end", at(5), "t"), ("c", "end", at(4), "u")], RUNS)
-    assert run() == {"b": (-1, None), "a": (5000, "t"), "c": (2000, "u")}
-
-
-def test_a_long_run_keeps_its_start(spark, tmp_path):
-    source, out = tmp_path / "runs", str(tmp_path / "out")
-    at = lambda s: spark.sql(f"select timestamp'2024-01-01 00:00:00' + interval {s} seconds").first()[0]
-    for rows in (
-        [("a", "start", at(0), "t")],
-        [("b", "start", at(10_000), "t")],
-        [("b", "end", at(20_000), "t")],
-        [("a", "end", at(20_001), "t")],
-    ):
-        put(spark, source, rows, RUNS)
-        jobs.run_to_end(jobs.stream_tool_elapsed(jobs.read_stream(spark, str(source))), out)
-    got = {r.run_id: r.elapsed_ms for r in spark.read.parquet(out).collect()}
-    assert got == {"a": 20_001_000, "b": 10_000_000}
+    source, out = tmp_path / "runs", tmp_path / "out"
+    first = [("a", "start", 0, "t"), ("b", "end", 1, "t"), ("c", "start", 2, "u")]
+    assert timed(spark, source, out, first, late_by="0 seconds") == {"b": (-1, None)}
+    then = [("a", "end", 5, "t"), ("c", "end", 4, "u")]
+    assert timed(spark, source, out, then, late_by="0 seconds") == {"b": (-1, None), "a": (5000, "t"), "c": (2000, "u")}
+
+
+def test_an_end_may_come_before_its_start(spark, tmp_path):
+    source, out = tmp_path / "runs", tmp_path / "out"
+    assert timed(spark, source, out, [("a", "end", 5, "t"), ("b", "end", 6, "t")]) == {}
+    assert timed(spark, source, out, [("a", "start", 1, "t")]) == {"a": (4000, "t")}
+    assert timed(spark, source, out, [(None, "tick", 3600, None)]) == {"a": (4000, "t"), "b": (-1, None)}
+
+
+def test_a_long_run_keeps_its_start_until_it_is_given_up(spark, tmp_path):
+    batches = (
+        [("a", "start", 0, "t"), ("z", "start", 0, "t")],
+        [("b", "start", 10_000, "t")],
+        [("b", "end", 20_000, "t")],
+        [("a", "end", 20_001, "t")],
+        [(None, "tick", 200_000, None)],
+        [("z", "end", 200_001, "t"), (None, "tick", 300_000, None)],
+    )
+    got = timed(spark, tmp_path / "runs", tmp_path / "out", *batches, open_for="1 day", buckets=2)
+    assert got == {"a": (20_001_000, "t"), "b": (10_000_000, "t"), "z": (-1, None)}
 
 
 def test_usage_over_batches(spark, tmp_path):

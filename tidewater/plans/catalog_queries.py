@@ -15,7 +15,7 @@ from tidewater.operators.conversation import map_merge
 from tidewater.operators.ingest import download_reconcile, pending
 from tidewater.plans import bindings as B
 from tidewater.plans.registry import query
-from tidewater.session import shared_path
+from tidewater.session import scratch_path
 from tidewater.sources import scans, sinks
 from tidewater.sources.scans import table
 
@@ -511,7 +511,7 @@ def _(spark, d):
        FROM lineitem GROUP BY 1""",
 )
 def _(spark, d):
-    path = shared_path(spark, "years")
+    path = scratch_path(spark, "years")
     rows = table(spark, d, "lineitem").select(F.year("l_shipdate").alias("year"), "l_quantity")
     rows.write.partitionBy("year").parquet(path)
     return scans.year_union(spark, path).groupBy("year").agg(

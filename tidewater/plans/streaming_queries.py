@@ -17,7 +17,7 @@ from tidewater.plans.usage_queries import (
     text_licenses,
     tool_events,
 )
-from tidewater.session import shared_path
+from tidewater.session import scratch_path
 from tidewater.sources.scans import table
 from tidewater.streaming import jobs
 
@@ -29,6 +29,32 @@ def _stream(spark, d, name):
     return jobs.read_stream(spark, f"{d}/{name}.parquet")
 
 
+BATCHES = 3
+
+
+def _shuffled(spark, log, order, purpose):
+    """The log as a stream of a few batches: in ``order`` as a whole, in none inside a batch.
+
+    ``order`` is a number that rises with time; a few rows of each batch come with the
+    next one, as late messages do. A last row far ahead moves the clock past the end.
+    """
+    path = scratch_path(spark, purpose)
+    late = F.pmod(F.xxhash64(*log.columns), F.lit(5)) == 0
+    ends = log.agg(F.expr(f"percentile_approx({order}, array({', '.join(str(i / BATCHES) for i in range(1, BATCHES))}))").alias("e")).first().e
+    number = sum((F.expr(order) > end).cast("int") for end in ends)
+    dealt = log.withColumn("_batch", F.least(number + late.cast("int"), F.lit(BATCHES - 1)))
+    for i in range(BATCHES):
+        dealt.where(F.col("_batch") == i).drop("_batch").repartition(1, F.xxhash64(*log.columns)).write.mode("append").parquet(path)
+    return path
+
+
+def _with_tick(spark, path, log, tick):
+    """Appends the row that ends a stream: its columns as given, the others null."""
+    columns = [(F.expr(tick[f.name]) if f.name in tick else F.lit(None)).cast(f.dataType).alias(f.name) for f in log.schema]
+    log.agg(F.max("ts").alias("last")).select(*columns).write.mode("append").parquet(path)
+    return jobs.read_stream(spark, path, files_per_batch=1)
+
+
 @query(
     "stream_frames",
     """SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS name,
@@ -53,22 +79,26 @@ def _(spark, d):
         F.col("event_id").alias("name"),
         F.when(listed, blocks).otherwise(F.col("props")).alias("data"),
     )
-    out = shared_path(spark, "frames")
+    out = scratch_path(spark, "frames")
     jobs.run_to_end(jobs.frames(events), out)
     return spark.read.parquet(out).select("session_id", "name", "frame", "body")
 
 
 @query("stream_usage", USAGE_SQL)
 def _(spark, d):
-    out = shared_path(spark, "usage")
+    out = scratch_path(spark, "usage")
     jobs.running_usage(calls(_stream(spark, d, "events")), prices(spark), out)
     return spark.read.parquet(out).withColumn("estimated_cost", B.rounded("estimated_cost"))
 
 
 @query("stream_tool_elapsed", f"SELECT * FROM {ELAPSED_SQL}")
 def _(spark, d):
-    out = shared_path(spark, "elapsed")
-    jobs.run_to_end(jobs.stream_tool_elapsed(tool_events(_stream(spark, d, "events"))), out)
+    """Batches in time order, their rows in none; ends come before their starts as well."""
+    out = scratch_path(spark, "elapsed")
+    log = tool_events(table(spark, d, "events"))
+    path = _shuffled(spark, log, "cast(run_id as bigint)", "runs")
+    events = _with_tick(spark, path, log, {"ts": "last + interval 100 days", "phase": "'tick'"})
+    jobs.run_to_end(jobs.stream_tool_elapsed(events, late_by="60 days", open_for="90 days"), out)
     return spark.read.parquet(out)
 
 
@@ -79,9 +109,13 @@ PLAIN_LOG_SQL = f"""(
 
 @query("stream_segments", segments_sql(fold_sql(PLAIN_LOG_SQL, BUDGET, TAIL)))
 def _(spark, d):
-    out = shared_path(spark, "segments")
-    messages = _stream(spark, d, "conversations").withColumnRenamed("text", "content")
-    jobs.run_to_end(jobs.stream_segments(messages, BUDGET, TAIL), out)
+    """A turn a minute, in a few batches with late turns; whatever turn a conversation starts with."""
+    out = scratch_path(spark, "segments")
+    at = F.timestamp_seconds(F.col("turn") * 60)
+    log = table(spark, d, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content"), at.alias("ts"))
+    path = _shuffled(spark, log, "turn", "log")
+    messages = _with_tick(spark, path, log, {"conv_id": "-1", "turn": "0", "role": "'human'", "content": "''", "ts": "last + interval 1 day"})
+    jobs.run_to_end(jobs.stream_segments(messages, BUDGET, TAIL, late_by="12 hours"), out)
     return spark.read.parquet(out)
 
 
@@ -91,7 +125,7 @@ def _(spark, d):
        WHERE n_chars > 20 AND lang IN ('en', 'fr') AND len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) > 0""",
 )
 def _(spark, d):
-    out = shared_path(spark, "embedded")
+    out = scratch_path(spark, "embedded")
     manifest = _stream(spark, d, "documents").select(
         F.col("doc_id").alias("sighting_id"), F.col("doc_id").alias("individual_id"),
         F.when(F.col("n_chars") > 20, "ok").otherwise("failed").alias("status"), "text",

@@ -105,6 +105,14 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def scratch_path(spark: SparkSession, purpose: str) -> str:
+    """A :func:`shared_path` that is removed, with its checkpoint, when the driver ends."""
+    path = shared_path(spark, purpose)
+    for folder in (path, f"{path}.checkpoint"):
+        atexit.register(_remove_quietly, spark, folder)
+    return path
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table that several branches of a plan read, and read it back.
 
