@@ -10,8 +10,9 @@ Items that are short or mostly placeholders are also looked up word by word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,7 @@ _MARKS = np.array([0] + [xxhash.xxh64_intdigest(f"<{s}>", 7) for s in _SLOTS[1:]
 _U = np.uint64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+_STEPS = np.array([xxhash.xxh64_intdigest(f"place {k}", 7) | 1 for k in range(64)], np.uint64)
 
 
 @dataclass(frozen=True)
@@ -91,72 +93,110 @@ class _Words(dict):
         return value
 
 
-def windows(text: str | None, rule: Templates, known: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-    """Hash and first word of each usable window, with the slot kinds and words of the text.
+class _Read:
+    """The words of some texts one after the other: what each is, and where each text starts."""
+
+    def __init__(self, texts: Sequence[str | None], known: _Words):
+        lists = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        self.lengths = np.array([len(x) for x in lists], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.text = np.repeat(np.arange(len(lists)), self.lengths)
+        self.words = list(chain.from_iterable(lists))
+        known_as = np.fromiter(map(known.__getitem__, self.words), np.uint64, len(self.words))
+        self.bare = known_as >> _U(4)
+        self.kind, marks = (known_as & _U(3)).astype(np.uint8), known_as & _U(12)
+        first = np.ones(len(self.words), bool)  # of a sentence
+        first[1:] = marks[:-1] >= 8
+        first[self.starts[self.lengths > 0]] = True
+        named = (self.kind == _LITERAL) & (marks & _U(4) != 0)
+        self.kind[named & ~first] = _NAME
+        self.maybe = named & first
+        self.token = np.where(self.kind == _LITERAL, self.bare, _MARKS[self.kind])
+
+    def runs(self, length: int, exactly: bool = False) -> np.ndarray:
+        """First words of the runs of ``length`` words of one text; ``exactly``: of texts that are no longer."""
+        at = np.arange(max(0, len(self.words) - length + 1))
+        at = at[self.text[at] == self.text[at + length - 1]]
+        return at[self.lengths[self.text[at]] == length] if exactly else at
+
+    def place(self, at: np.ndarray) -> np.ndarray:
+        return at - self.starts[self.text[at]]
+
+
+def _summed(token: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A hash that is linear in the tokens, before its last mix: one of them changes it by a fixed step."""
+    total = np.full(len(at), length, np.uint64) * _MIX
+    for k in range(length):
+        total += token[at + k] * _STEPS[k]
+    return total
 
-    A text shorter than a window is one window; a text without words has none. A word that
-    starts a sentence is no name here.
-    """
-    total, at, _, kind, words = readings(text, rule, known)
-    plain = len(np.unique(at))  # they come first
-    return total[:plain], at[:plain], kind, words
+
+def _mixed(total: np.ndarray) -> np.ndarray:
+    total = (total ^ (total >> _U(33))) * _MIX
+    total = (total ^ (total >> _U(29))) * _STEP
+    return total ^ (total >> _U(32))
 
 
-def readings(text: str | None, rule: Templates, known: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
-    """:func:`windows`, then the same windows with first words of sentences as names.
+def readings(read: _Read, rule: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and first word of each usable window, then of the same with first words of sentences as names.
 
-    Adds the bits of the places in the window that are read so. Such a reading keeps at
-    least one plain word less than a usable window.
+    Adds the bits of the places in the window that are read so; a text shorter than a
+    window is one window. Such a reading keeps at least one plain word less than a usable
+    window. All subsets of a window's possible names are sums of the steps of its members.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").split()
-    n = min(rule.words, len(words))
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8), words
-    known_as = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    kind, marks = (known_as & _U(3)).astype(np.uint8), known_as & _U(12)
-    first = np.concatenate(([True], marks[:-1] >= 8))  # of a sentence
-    named = (kind == _LITERAL) & (marks & _U(4) != 0)
-    kind[named & ~first] = _NAME
-    token = np.where(kind == _LITERAL, known_as >> _U(4), _MARKS[kind])
-    count = len(words) - n + 1
-    least, plain, maybe = min(rule.literals, n), np.zeros(count, np.int64), np.zeros(count, np.int64)
-    for k in range(n):
-        plain += kind[k : k + count] == _LITERAL
-        maybe |= (named & first)[k : k + count].astype(np.int64) << k
-
-    def hashed(at: np.ndarray, as_names: int) -> np.ndarray:
-        total = np.zeros(len(at), np.uint64)
+    hashes, places, masks = [], [], []
+    for n in range(1, rule.words + 1):
+        at = read.runs(n, exactly=n < rule.words)
+        plain, maybe = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         for k in range(n):
-            total = (total + (_MARKS[_NAME] if as_names >> k & 1 else token[at + k])) * _STEP
-            total ^= total >> _U(29)
-        total = total * _MIX
-        return total ^ (total >> _U(32))
-
-    usable = np.nonzero(plain >= least)[0]
-    hashes, places, masks = [hashed(usable, 0)], [usable], [np.zeros(len(usable), np.int64)]
-    both = usable[maybe[usable] != 0]
-    seen = set(np.unique(maybe[both]).tolist())
-    for mask in range(1, 1 << n if seen else 1):
-        if any(mask & m == mask for m in seen):
-            at = both[(maybe[both] & mask == mask) & (plain[both] - mask.bit_count() >= least - 1)]
-            hashes.append(hashed(at, mask))
-            places.append(at)
-            masks.append(np.full(len(at), mask))
-    return np.concatenate(hashes), np.concatenate(places), np.concatenate(masks), kind, words
-
-
-def exact_windows(words: list, length: int, known: _Words) -> np.ndarray:
-    """Hash of each run of ``length`` words as they are (bare, lower-case), values kept."""
-    count = len(words) - length + 1
-    if count < 1:
-        return np.zeros(0, np.uint64)
-    token = np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) >> _U(4)
-    total = np.full(count, length, np.uint64) * _MIX
-    for k in range(length):
-        total = (total + token[k : k + count]) * _STEP
-        total ^= total >> _U(29)
-    total = total * _MIX
-    return total ^ (total >> _U(32))
+            plain += read.kind[at + k] == _LITERAL
+            maybe |= read.maybe[at + k].astype(np.int64) << k
+        least = min(rule.literals, n)
+        usable = plain >= least
+        at, plain, maybe = at[usable], plain[usable], maybe[usable]
+        total = _summed(read.token, at, n)
+        hashes.append(_mixed(total))
+        places.append(at)
+        masks.append(np.zeros(len(at), np.int64))
+        also = maybe != 0
+        at, plain, maybe, subset = at[also], plain[also], maybe[also], total[also][:, None]
+        if not len(at):
+            continue
+        for k in range(n):
+            step = (_MARKS[_NAME] - read.token[at + k]) * _STEPS[k]
+            subset = np.concatenate([subset, subset + step[:, None]], axis=1)
+        mask = np.arange(1 << n)
+        names = np.array([m.bit_count() for m in mask.tolist()])
+        fits = (maybe[:, None] & mask == mask) & (plain[:, None] - names >= least - 1) & (mask > 0)
+        window, chosen = np.nonzero(fits)
+        hashes.append(_mixed(subset[window, chosen]))
+        places.append(at[window])
+        masks.append(chosen)
+    return np.concatenate(hashes), np.concatenate(places), np.concatenate(masks)
+
+
+def windows(text: str | None, rule: Templates, known: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """Hash and first word of each usable window of one text, with its slot kinds and words.
+
+    A text without words has none. A word that starts a sentence is no name here.
+    """
+    read = _Read([text], known)
+    total, at, mask = readings(read, rule)
+    return total[mask == 0], at[mask == 0], read.kind, read.words
+
+
+_GROUP_WORDS = 100_000  # words of the texts that are read together: bounds the arrays, not the texts
+
+
+def _groups(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "") // 4
+        if size >= _GROUP_WORDS:
+            yield start, texts[start : i + 1]
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, texts[start:]
 
 
 def template_windows(
@@ -174,57 +214,55 @@ def template_windows(
         bit = hashes >> shift
         return (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
+    def found(texts: list[str | None], known: _Words) -> Iterator[tuple]:
+        """Text, hash, place, slots, windows of the text and exact length of what passes."""
+        read = _Read(texts, known)
+        hashes, at, masks = readings(read, rule)
+        usable = np.bincount(read.text[at[masks == 0]], minlength=len(texts))
+        if bits is not None:
+            hit = passes(hashes)
+            hashes, at, masks = hashes[hit], at[hit], masks[hit]
+        text = read.text[at]
+        slots = []
+        for p, end, mask in zip(at.tolist(), (read.starts + read.lengths)[text].tolist(), masks.tolist()):
+            slots.append(
+                [
+                    f"{_SLOTS[read.kind[i] or _NAME]}:{read.words[i].decode('utf-8', 'replace').strip(_EDGE).lower()}"
+                    for i in range(p, min(p + rule.words, end))
+                    if read.kind[i] or mask >> (i - p) & 1
+                ]
+            )
+        yield text, hashes, read.place(at), slots, usable[text], np.zeros(len(at), np.int64)
+        few = (read.lengths < rule.words) | (2 * usable < read.lengths - rule.words + 1)
+        asked_length = np.where(few, np.minimum(read.lengths, rule.words), 0)
+        for length in lengths if lengths is not None else set(asked_length.tolist()) - {0}:
+            at = read.runs(length)
+            if lengths is None:
+                at = at[asked_length[read.text[at]] == length]
+            hashes = _mixed(_summed(read.bare, at, length) ^ _STEP)
+            if bits is not None:
+                hit = passes(hashes)
+                hashes, at = hashes[hit], at[hit]
+            text = read.text[at]
+            count = np.maximum(read.lengths[text] - length + 1, 0)
+            yield text, hashes, read.place(at), [[]] * len(at), count, np.full(len(at), length)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for batch in batches:
-            which, hashes, places, slots, counts, kinds = [], [], [], [], [], []
-            for row, value in enumerate(batch.column(1)):
-                found, at, masks, kind, words = readings(value.as_py(), rule, known)
-                n = len(np.unique(at))
-                if bits is not None and n:
-                    hit = passes(found)
-                    found, at, masks = found[hit], at[hit], masks[hit]
-                which.append(np.full(len(found), row))
-                hashes.append(found)
-                places.append(at)
-                counts.append(np.full(len(found), n))
-                kinds.append(np.zeros(len(found), np.int64))
-                for p, mask in zip(at.tolist(), masks.tolist()):
-                    slots.append(
+            for start, texts in _groups(batch.column(1).to_pylist()):
+                for text, hashes, at, slots, n, exact in found(texts, known):
+                    yield pa.RecordBatch.from_arrays(
                         [
-                            f"{_SLOTS[kind[i] or _NAME]}:{words[i].decode('utf-8', 'replace').strip(_EDGE).lower()}"
-                            for i in range(p, min(p + rule.words, len(words)))
-                            if kind[i] or mask >> (i - p) & 1
-                        ]
+                            batch.column(0).take(pa.array(text + start)),
+                            pa.array(hashes.view(np.int64)),
+                            pa.array(at),
+                            pa.array(slots, pa.list_(pa.string())),
+                            pa.array(n.astype(np.int64)),
+                            pa.array(exact.astype(np.int64)),
+                        ],
+                        ["key", "hash", "at", "slots", "n", "exact"],
                     )
-                asked = lengths
-                if asked is None:
-                    few = len(words) < rule.words or 2 * n < len(words) - rule.words + 1
-                    asked = (min(len(words), rule.words),) if few and words else ()
-                for length in asked:
-                    found = exact_windows(words, length, known)
-                    at, n = np.arange(len(found)), len(found)
-                    if bits is not None and n:
-                        hit = passes(found)
-                        found, at = found[hit], at[hit]
-                    which.append(np.full(len(found), row))
-                    hashes.append(found)
-                    places.append(at)
-                    counts.append(np.full(len(found), n))
-                    kinds.append(np.full(len(found), length))
-                    slots += [[]] * len(found)
-            join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(join(which, np.int64))),
-                    pa.array(join(hashes, np.uint64).view(np.int64)),
-                    pa.array(join(places, np.int64)),
-                    pa.array(slots, pa.list_(pa.string())),
-                    pa.array(join(counts, np.int64)),
-                    pa.array(join(kinds, np.int64)),
-                ],
-                ["key", "hash", "at", "slots", "n", "exact"],
-            )
 
     schema = rows.select("key").schema.add("hash", "long").add("at", "long").add("slots", ArrayType(StringType())).add("n", "long").add("exact", "long")
     return rows.select("key", F.col("text").cast("string")).mapInArrow(run, schema)
