@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +85,35 @@ def test_tolerance_and_keywords(spark):
     assert out == {1: (0.5, False), 2: (0.0, None), 3: (0.0, None)}
 
 
+def test_keywords_equal_a_search_in_the_joined_texts(spark):
+    rng = random.Random(6)
+    words = ["a", "b a", "ab", "A  B", " ", "", "ba b", "a b a b", None, "zz", "b "]
+    cases = [(i, rng.choices(words, k=rng.randrange(0, 9)) + (["x"] * 70 if i == 7 else [])) for i in range(60)]
+    texts = [(i, n, rng.choice([None, "", "a", "b", "A", "ab a", "ba ba", "b  a", "x y"])) for i, _ in cases for n in range(rng.randrange(0, 7))]
+    got = E.keyword_presence(
+        spark.createDataFrame(cases, "case_id long, required array<string>"),
+        spark.createDataFrame(texts, "case_id long, sample_no int, text string").repartition(5),
+        "k",
+    ).collect()
+    assert len(got) == len(cases)
+    for r in got:
+        required = dict(cases)[r.case_id]
+        sampled = [x for x in texts if x[0] == r.case_id]
+        joined = " ".join(t.lower() for _, _, t in sampled if t is not None)
+        hits = sum(w is not None and w.lower() in joined for w in required)
+        if required and sampled:
+            assert (r.value, r.passed) == (hits / len(required), hits == len(required)), (required, sampled)
+        else:
+            assert (r.value, r.passed) == (0.0, None)
+
+
+def test_a_word_with_too_many_spaces_is_an_error(spark):
+    cases = spark.createDataFrame([(1, ["a" + " a" * 65])], "case_id long, required array<string>")
+    texts = spark.createDataFrame([(1, 0, "a")], "case_id long, sample_no int, text string")
+    with pytest.raises(Exception, match="too many spaces"):
+        E.keyword_presence(cases, texts, "k").collect()
+
+
 def test_judge(spark):
     cases = spark.createDataFrame([(1, "r"), (2, ""), (3, "r")], "case_id long, reference string")
     graded = spark.createDataFrame(

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from functools import lru_cache
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewater.functions.ordered import quantiles, running_sum
 from tidewater.functions.text import path_suffix_match
@@ -156,30 +162,86 @@ def numeric_tolerance(cases: DataFrame, samples: DataFrame, name: str, tolerance
     return joined.select("case_id", F.explode(rows).alias("s")).select("case_id", "s.*")
 
 
+MOST_SPACES = 64  # samples before a text that a required word can reach into
+_MASK_BITS = 62
+
+
+@lru_cache(maxsize=4096)
+def _automaton(words: tuple[str, ...]) -> ahocorasick.Automaton:
+    """All words at once, each with its place in the list."""
+    out = ahocorasick.Automaton()
+    for i, word in enumerate(words):
+        if word:
+            out.add_word(word, (*out.get(word, ()), i))
+    if len(out):
+        out.make_automaton()
+    return out
+
+
+def _found_masks(rows: DataFrame) -> DataFrame:
+    """``case_id, block, mask``: bits of the words of ``required`` that each ``text`` holds."""
+    schema = StructType([rows.schema["case_id"]]).add("block", "integer").add("mask", "long")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, blocks, masks = [], [], []
+            for i, (required, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                words = tuple(w if w is not None else "\0" for w in required)
+                automaton = _automaton(words)
+                found: set[int] = set()
+                for _, places in automaton.iter(text) if len(automaton) else ():
+                    found.update(places)
+                held: dict[int, int] = {}
+                for place in found:
+                    held[place // _MASK_BITS] = held.get(place // _MASK_BITS, 0) | 1 << place % _MASK_BITS
+                row += [i] * len(held)
+                blocks += held
+                masks += held.values()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(blocks, pa.int32()), pa.array(masks, pa.int64())],
+                ["case_id", "block", "mask"],
+            )
+
+    return rows.select("case_id", "required", "text").mapInArrow(search, schema)
+
+
 def keyword_presence(cases: DataFrame, samples: DataFrame, name: str) -> DataFrame:
     """Share of the required words found in the joined sample texts of a case.
 
     cases: ``case_id, required ARRAY<STRING>``; samples: ``case_id, sample_no,
     text`` (the repeats of one case). Nothing required or no samples: 0, no gate.
+
+    Texts are never joined: each is searched for all words of its case in one pass, and
+    the bits of what was found are merged. A word with spaces can begin in the samples
+    before, one more for each space (``MOST_SPACES`` at most, else an error), so their
+    ends stand in front of the text.
     """
-    texts = samples.groupBy("case_id").agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("sample_no", F.lower("text").alias("t")))),
-                lambda s: s["t"],
-            ),
-            " ",
-        ).alias("_hay")
-    )
-    joined = cases.join(texts, "case_id", "left")
-    hits = F.size(F.filter("required", lambda w: F.col("_hay").contains(F.lower(w))))
+    wanted = cases.select(
+        "case_id", F.transform(F.coalesce("required", F.array().cast("array<string>")), lambda w: F.lower(w)).alias("required")
+    )
+    long = F.coalesce(F.array_max(F.transform("required", lambda w: F.length(w))), F.lit(0))
+    spaces = F.array_max(F.transform("required", lambda w: F.length(w) - F.length(F.replace(w, F.lit(" "), F.lit("")))))
+    checked = F.when(spaces > MOST_SPACES, F.raise_error(F.lit("a required word has too many spaces")).cast("int")).otherwise(spaces)
+    asked = wanted.where(F.size("required") > 0).withColumns({"_long": long, "_spaces": F.coalesce(checked, F.lit(0))})
+    texts = samples.where("text is not null").select("case_id", "sample_no", F.lower("text").alias("text")).join(asked, "case_id")
+    # the start of a text that was cut is marked, so that nothing seems to follow the sample before it
+    cut = F.when(F.length("text") > F.col("_long"), F.concat(F.lit("\0"), F.right("text", F.col("_long")))).otherwise(F.col("text"))
+    before = Window.partitionBy("case_id").orderBy("sample_no", "text").rowsBetween(-MOST_SPACES, -1)
+    ends = F.when(F.col("_spaces") > 0, F.array_join(F.collect_list(cut).over(before), " "))
+    reach = F.when(F.row_number().over(Window.partitionBy("case_id").orderBy("sample_no", "text")) > 1, F.concat(ends, F.lit(" "), "text"))
+    found = _found_masks(texts.withColumn("text", F.coalesce(reach, F.col("text"))).select("case_id", "required", "text"))
+    merged = found.groupBy("case_id", "block").agg(F.bit_or("mask").alias("mask"))
+    hits = merged.groupBy("case_id").agg(F.sum(F.bit_count("mask")).alias("_hits"))
+    sampled = samples.groupBy("case_id").agg(F.lit(True).alias("_sampled"))
+    joined = cases.join(sampled, "case_id", "left").join(hits, "case_id", "left")
     n = F.size(F.coalesce("required", F.array().cast("array<string>")))
-    scored = (n > 0) & F.col("_hay").isNotNull()
+    always = F.size(F.filter(F.coalesce("required", F.array().cast("array<string>")), lambda w: w == ""))
+    scored, share = (n > 0) & F.col("_sampled"), F.coalesce("_hits", F.lit(0)) + always
     return joined.select(
         "case_id",
         F.lit(name).alias("metric"),
-        F.when(scored, hits / n).otherwise(0.0).alias("value"),
-        F.when(scored, hits == n).alias("passed"),
+        F.when(scored, share / n).otherwise(0.0).alias("value"),
+        F.when(scored, share == n).alias("passed"),
     )
 
 
