@@ -110,6 +110,20 @@ def test_empty_gallery_abstains(images):
         assert (row.ok, row.abstain, row.margin, row.citations) == (False, True, None, [])
 
 
+def test_answers_tell_candidates_margin_and_thumbnails(spark):
+    ranked = spark.createDataFrame(
+        [(1, 9, 0.81, 1, 3, 70), (1, 8, 0.6, 2, 1, 71), (2, 9, 0.3, 1, 1, 70), (3, 7, 0.9, 1, 1, 72)],
+        "query_id long, individual_id long, score double, rank long, n_images long, image_id long",
+    )
+    cards = spark.createDataFrame([(70, "east", "t/70.jpg"), (71, "west", None)], "image_id long, catalog string, thumb_ref string")
+    out = {r.query_id: r for r in S.photo_answers(ranked.select("query_id").distinct(), ranked, cards).collect()}
+    assert out[1].summary == "Top match individual 9 (score=0.810, margin=0.210)" and out[1].threshold == 0.54
+    assert [tuple(c) for c in out[1].citations] == [("catalog_image", "east", "t/70.jpg", "9"), ("catalog_image", "west", None, "8")]
+    assert [(c.individual_id, c.n_images, c.image_id) for c in out[1].candidates] == [(9, 3, 70), (8, 1, 71)]
+    assert out[2].abstain and out[2].summary == "No confident match (top=0.300 < 0.54) → likely NOVEL"
+    assert out[3].summary == "Top match individual 7 (score=0.900, margin=n/a)" and out[3].candidates[0].catalog == "catalog"
+
+
 def test_margin_is_null_with_one_individual(spark):
     ranked = spark.createDataFrame([(1, 9, 0.7, 1), (2, 9, 0.54, 1), (2, 8, 0.5, 2)],
                                    "query_id long, individual_id long, score double, rank int")

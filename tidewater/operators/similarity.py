@@ -292,39 +292,52 @@ def margin_abstain(ranked: DataFrame, threshold: float = ABSTAIN_THRESHOLD) -> D
 def photo_answers(
     requests: DataFrame,
     ranked: DataFrame,
+    cards: DataFrame | None = None,
     catalog: str = "catalog",
     threshold: float = ABSTAIN_THRESHOLD,
 ) -> DataFrame:
     """One contract row per requested ``query_id``; no neighbours means abstain, not ok.
 
-    ``ranked`` has a handful of candidates per query, taken as one sorted list.
+    ``ranked`` has a handful of candidates per query, taken as one sorted list: the
+    ``candidates`` of the answer (individual, score, support, image, its catalog and
+    thumbnail). ``cards`` gives ``image_id, catalog, thumb_ref`` of gallery images; an image
+    without a card belongs to ``catalog`` and has no thumbnail. Each candidate is cited by
+    its thumbnail. A low score is told as a likely new individual, a match with its margin
+    over the second (``n/a`` without one).
     """
-    one = F.struct("rank", "individual_id", "score", "image_id")
-    lists = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("_c"))
+    support = F.col("n_images") if "n_images" in ranked.columns else F.lit(None).cast("long")
+    if cards is None:
+        shown = ranked.withColumns({"catalog": F.lit(catalog), "thumb_ref": F.lit(None).cast("string")})
+    else:
+        known = cards.select("image_id", F.col("catalog").alias("_catalog"), "thumb_ref")
+        shown = ranked.join(known, "image_id", "left").withColumn("catalog", F.coalesce("_catalog", F.lit(catalog)))
+    one = F.struct("rank", "individual_id", "score", support.cast("long").alias("n_images"), "image_id", "catalog", "thumb_ref")
+    lists = shown.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("candidates"))
     signals = lists.select(
         "query_id",
-        "_c",
-        F.col("_c")[0]["individual_id"].alias("top_individual"),
-        F.col("_c")[0]["score"].alias("top_score"),
-        (F.col("_c")[0]["score"] - F.try_element_at("_c", F.lit(2))["score"]).alias("margin"),
+        "candidates",
+        F.col("candidates")[0]["individual_id"].alias("top_individual"),
+        F.col("candidates")[0]["score"].alias("top_score"),
+        (F.col("candidates")[0]["score"] - F.try_element_at("candidates", F.lit(2))["score"]).alias("margin"),
     ).withColumn("abstain", F.col("top_score") < F.lit(threshold))
-    matched = F.format_string("Top match individual %s (score=%.3f)", "top_individual", "top_score")
-    unsure = F.format_string("No confident match (top=%.3f < %s)", "top_score", F.lit(threshold))
-    cited = lambda c: citation("catalog_image", F.lit(catalog), c["image_id"], c["individual_id"])
+    lead = F.when(F.col("margin").isNull(), F.lit("n/a")).otherwise(F.format_string("%.3f", "margin"))
+    matched = F.concat(F.format_string("Top match individual %s (score=%.3f, margin=", "top_individual", "top_score"), lead, F.lit(")"))
+    unsure = F.format_string("No confident match (top=%.3f < %s) → likely NOVEL", "top_score", F.lit(threshold))
+    cited = lambda c: citation("catalog_image", c["catalog"], c["thumb_ref"], c["individual_id"])
     signals = signals.withColumns(
         {
             "summary": F.when(F.col("abstain"), unsure).otherwise(matched),
-            "citations": F.transform("_c", cited),
+            "citations": F.transform("candidates", cited),
         }
     )
     out = answer_all(
         requests.select("query_id"),
-        signals.drop("_c"),
+        signals,
         "query_id",
         "photo_id",
         "Empty catalog / no neighbors found",
     )
-    return out.withColumn("abstain", F.coalesce("abstain", F.lit(True)))
+    return out.withColumns({"abstain": F.coalesce("abstain", F.lit(True)), "threshold": F.lit(threshold)})
 
 
 def region_prior(

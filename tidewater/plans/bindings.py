@@ -109,6 +109,22 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# catalog cards of the images: where they come from and their thumbnails (some have none)
+CARDS_SQL = """(
+  SELECT vec_id AS image_id, 'catalog-' || CAST(label % 3 AS VARCHAR) AS catalog,
+         CASE WHEN vec_id % 5 <> 0 THEN 'thumbs/' || CAST(vec_id AS VARCHAR) || '.jpg' END AS thumb_ref
+  FROM embeddings WHERE vec_id % 7 <> 0)"""
+
+
+def cards(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").where("vec_id % 7 <> 0")
+    return rows.select(
+        F.col("vec_id").alias("image_id"),
+        F.concat(F.lit("catalog-"), (F.col("label") % 3).cast("string")).alias("catalog"),
+        F.when(F.col("vec_id") % 5 != 0, F.concat(F.lit("thumbs/"), F.col("vec_id").cast("string"), F.lit(".jpg"))).alias("thumb_ref"),
+    )
+
+
 def image_queries(spark: SparkSession, folder: str) -> DataFrame:
     """Every stored vector as a query that must not find itself."""
     return images(spark, folder).select(

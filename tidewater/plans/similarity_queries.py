@@ -115,25 +115,37 @@ def _(spark, d):
     return out.withColumns({c: B.rounded(c) for c in ("top_score", "margin")})
 
 
+CANDIDATES_SQL = f"""(
+  SELECT query_id,
+         string_agg(CAST(individual_id AS VARCHAR) || ' ' || printf('%.4f', score) || ' ' || CAST(n_images AS VARCHAR) || ' '
+                    || CAST(image_id AS VARCHAR), ';' ORDER BY rank) AS candidates,
+         string_agg(concat_ws('|', 'catalog_image', coalesce(catalog, 'catalog'), thumb_ref, CAST(individual_id AS VARCHAR)), ';'
+                    ORDER BY rank) AS cited
+  FROM {PEOPLE_SQL} LEFT JOIN {B.CARDS_SQL} c USING (image_id) GROUP BY 1)"""
+
+
 @query(
     "photo_id",
     f"""SELECT s.query_id, 'photo_id' AS tool, true AS ok, top_individual, round(top_score, 6) AS top_score,
-               round(margin, 6) AS margin, abstain,
-               CASE WHEN abstain THEN 'No confident match (top=' || printf('%.3f', top_score) || ' < 0.4)'
+               round(margin, 6) AS margin, abstain, 0.4::DOUBLE AS threshold,
+               CASE WHEN abstain THEN 'No confident match (top=' || printf('%.3f', top_score) || ' < 0.4) → likely NOVEL'
                     ELSE 'Top match individual ' || CAST(top_individual AS VARCHAR) || ' (score='
-                         || printf('%.3f', top_score) || ')' END AS summary,
-               n_citations
-        FROM {signals_sql(PEOPLE_SQL, 0.4)} s
-        JOIN (SELECT query_id, count(*) AS n_citations FROM {PEOPLE_SQL} GROUP BY 1) USING (query_id)""",
+                         || printf('%.3f', top_score) || ', margin=' || coalesce(printf('%.3f', margin), 'n/a') || ')' END AS summary,
+               candidates, cited
+        FROM {signals_sql(PEOPLE_SQL, 0.4)} s JOIN {CANDIDATES_SQL} USING (query_id)""",
 )
 def _(spark, d):
     """All stored vectors identified leave-one-out, one contract row each (flagship)."""
     ranked = candidates(spark, d)
-    out = S.photo_answers(B.image_queries(spark, d), ranked, threshold=0.4)
+    out = S.photo_answers(B.image_queries(spark, d), ranked, B.cards(spark, d), threshold=0.4)
+    told = F.transform(
+        "candidates",
+        lambda c: F.format_string("%s %.4f %d %s", c["individual_id"], c["score"], c["n_images"], c["image_id"]),
+    )
     return out.select(
         "query_id", "tool", "ok", "top_individual", B.rounded("top_score").alias("top_score"),
-        B.rounded("margin").alias("margin"), "abstain", "summary",
-        F.size("citations").cast("long").alias("n_citations"),
+        B.rounded("margin").alias("margin"), "abstain", "threshold", "summary",
+        F.array_join(told, ";").alias("candidates"), B.cited("citations").alias("cited"),
     )
 
 
