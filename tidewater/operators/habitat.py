@@ -273,16 +273,16 @@ def habitat_answers(requests: DataFrame, habitat: DataFrame) -> DataFrame:
         F.when(
             F.col("depth_median").isNotNull(),
             F.concat(
-                F.format_string("median depth %.0f m", "depth_median"),
+                F.format_string("median depth %.0f m", F.round("depth_median", 0)),
                 F.when(
                     F.col("shelf_fraction").isNotNull(),
                     F.format_string(
-                        " (%.0f%% over continental shelf)", F.col("shelf_fraction") * 100
+                        " (%.0f%% over continental shelf)", F.round(F.round("shelf_fraction", 6) * 100, 0)
                     ),
                 ).otherwise(""),
             ),
         ),
-        F.when(F.col("sst_median").isNotNull(), F.format_string("SST ~%.1f°C", "sst_median")),
+        F.when(F.col("sst_median").isNotNull(), F.format_string("SST ~%.1f°C", F.round(F.round("sst_median", 6), 1))),
         F.when(F.size("regions") > 0, F.concat(F.lit("regions: "), F.array_join("regions", ", "))),
         F.when(
             F.size("sanctuaries") > 0,

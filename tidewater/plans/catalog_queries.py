@@ -345,7 +345,7 @@ def _(spark, d):
     "result_contract",
     """SELECT c_custkey AS individual_id, n IS NOT NULL AS ok,
               coalesce(CAST(n AS VARCHAR) || ' sightings', 'No sightings') AS summary,
-              CASE WHEN n IS NULL THEN 0 ELSE 1 END AS n_citations, 'count' AS tool
+              CASE WHEN n IS NULL THEN '' ELSE 'count|orders|' || CAST(c_custkey AS VARCHAR) END AS cited, 'count' AS tool
        FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders
                                 WHERE o_orderstatus = 'P' GROUP BY 1) ON o_custkey = c_custkey""",
 )
@@ -366,7 +366,7 @@ def _(spark, d):
     out = answer_all(
         B.individuals(spark, d).select("individual_id"), found, "individual_id", "count", "No sightings"
     )
-    return out.select("individual_id", "ok", "summary", F.size("citations").alias("n_citations"), "tool")
+    return out.select("individual_id", "ok", "summary", B.cited("citations").alias("cited"), "tool")
 
 
 @query(

@@ -80,7 +80,11 @@ def _(spark, d):
               FROM {LOCATED_SQL} JOIN b USING (individual_id) GROUP BY 1),
         s AS (SELECT individual_id, coalesce(max(i.first_seen), min(obs_date)) AS first_seen,
                      coalesce(max(i.last_seen), max(obs_date)) AS last_seen
-              FROM {LOCATED_SQL} LEFT JOIN {B.INDIVIDUALS_SQL} i USING (individual_id) GROUP BY 1)
+              FROM {LOCATED_SQL} LEFT JOIN {B.INDIVIDUALS_SQL} i USING (individual_id) GROUP BY 1),
+        c AS (SELECT individual_id, string_agg('sighting|' || provider || '|' || thumb_url || '|' || CAST(individual_id AS VARCHAR), ';'
+                                               ORDER BY r) AS cited
+              FROM (SELECT *, row_number() OVER (PARTITION BY individual_id ORDER BY obs_date NULLS LAST, sighting_id) AS r
+                    FROM {LOCATED_SQL}) WHERE r <= 10 GROUP BY 1)
         SELECT i.individual_id, b.individual_id IS NOT NULL AS ok,
                CASE WHEN b.individual_id IS NULL THEN 'No sightings for this individual'
                     ELSE CAST(n_sightings AS VARCHAR) || ' sightings of ' || coalesce(i.common_name, i.name)
@@ -89,15 +93,15 @@ def _(spark, d):
                       || ', lon ' || printf('%.2f–%.2f', lon_min, lon_max)
                       || CASE WHEN n_outside > 0 THEN '; ' || CAST(n_outside AS VARCHAR)
                               || ' outlying sightings trimmed from range' ELSE '' END END AS summary,
-               CAST(coalesce(least(n_sightings, 10), 0) AS BIGINT) AS n_citations
+               coalesce(cited, '') AS cited
         FROM {B.INDIVIDUALS_SQL} i LEFT JOIN b USING (individual_id) LEFT JOIN o USING (individual_id)
-        LEFT JOIN s USING (individual_id)""",
+        LEFT JOIN s USING (individual_id) LEFT JOIN c USING (individual_id)""",
 )
 def _(spark, d):
     people = B.individuals(spark, d)
     out = H.sighting_lookup(people.select("individual_id"), B.sightings(spark, d), people)
     return out.select(
-        "individual_id", "ok", "summary", F.size("citations").cast("long").alias("n_citations")
+        "individual_id", "ok", "summary", B.cited("citations").alias("cited")
     )
 
 
@@ -179,20 +183,20 @@ def _(spark, d):
     "habitat_answers",
     f"""SELECT i.individual_id, h.individual_id IS NOT NULL AS ok,
                CASE WHEN h.individual_id IS NULL THEN 'No oceano context for this individual'
-               ELSE CAST(n AS VARCHAR) || ' sightings; regions: ' || replace(regions, '|', ', ')
+               ELSE CAST(n AS VARCHAR) || ' sightings; median depth ' || printf('%.0f', round(depth_median)) || ' m ('
+                 || printf('%.0f', round(shelf_fraction * 100)) || '% over continental shelf); SST ~'
+                 || printf('%.1f', round(sst_median, 1)) || '°C; regions: ' || replace(regions, '|', ', ')
                  || CASE WHEN sanctuaries <> '' THEN '; sanctuaries: ' || replace(sanctuaries, '|', ', ') ELSE '' END
-               END AS summary
+               END AS summary,
+               CASE WHEN h.individual_id IS NULL THEN '' ELSE 'sighting|encounter enrichment|' || CAST(i.individual_id AS VARCHAR) END AS cited
         FROM {B.INDIVIDUALS_SQL} i LEFT JOIN {HABITAT_STATS_SQL} h USING (individual_id)""",
 )
 def _(spark, d):
-    """Contract rows of every individual; the rounded numbers of the sentence are left out here."""
+    """Contract rows of every individual."""
     answers = H.habitat_answers(
         B.individuals(spark, d).select("individual_id"), H.habitat_context(habitat_rows(spark, d))
     )
-    numbers = r"median depth -?[0-9]+ m( \([0-9]+% over continental shelf\))?; SST ~-?[0-9.]+°C; "
-    return answers.select(
-        "individual_id", "ok", F.regexp_replace("summary", numbers, "").alias("summary")
-    )
+    return answers.select("individual_id", "ok", "summary", B.cited("citations").alias("cited"))
 
 
 @query(
