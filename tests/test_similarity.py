@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tidewater.functions.ordered import keep_top
 from tidewater.functions.vectors import cosine
 from tidewater.operators import similarity as S
+from tidewater.sources.scans import gallery
+from tidewater.sources.sinks import write_gallery
 
 
 @pytest.fixture(scope="module")
@@ -170,3 +172,18 @@ def test_region_prior_never_demotes_observed_or_other_species(spark):
     out = {r.individual_id: r for r in S.region_prior(ranked, seen, asked, links, "humpback").collect()}
     assert [out[i].demote for i in (10, 11, 12)] == [False, True, False]
     assert out[10].observed_here and out[10].separable
+
+
+def test_only_versions_in_use_are_read(spark, images, tmp_path):
+    """The settings decide while the job runs; folders of other versions are left out of the scan."""
+    path, settings = str(tmp_path / "gallery"), str(tmp_path / "settings")
+    for version, width in (("old", 2), ("new", 3)):
+        rows = images.withColumns({"embedding": F.slice("embedding", 1, width), "embedder_ver": F.lit(version)})
+        write_gallery(rows, path)
+    spark.createDataFrame([("old", "retired"), ("new", "active")], "embedder_ver string, state string").write.parquet(settings)
+    held = gallery(spark, path, spark.read.parquet(settings).where("state = 'active'"))
+    assert "dynamicpruning" in held._jdf.queryExecution().executedPlan().toString()
+    assert {(r.embedder_ver, len(r.embedding)) for r in held.collect()} == {("new", 3)}
+    found = S.nearest(as_queries(held), held, 2, hide="image")
+    plain = images.withColumn("embedding", F.slice("embedding", 1, 3))
+    assert sorted(found.collect()) == sorted(S.nearest(as_queries(plain), plain, 2, hide="image").collect())

@@ -56,10 +56,15 @@ def loo_split(images: DataFrame, floor: int = MIN_CLOSED_SET) -> DataFrame:
     )
 
 
-def reid_split(images: DataFrame) -> DataFrame:
-    """Train, validation and test split, disjoint by individual, in one aggregation."""
+def reid_split(images: DataFrame, embedder_ver: str | None = None) -> DataFrame:
+    """Train, validation and test split, disjoint by individual, in one aggregation.
+
+    With ``embedder_ver`` only images stored at that version count: others have no vector
+    to be asked with.
+    """
+    counted = images if embedder_ver is None else images.where(F.col("embedder_ver") == embedder_ver)
     per = (
-        images.groupBy("individual_id")
+        counted.groupBy("individual_id")
         .agg(F.count(F.lit(1)).alias("n_photos"), _held_out().alias("_q"))
         .where(F.col("n_photos") >= MIN_PAIR)
     )

@@ -16,7 +16,7 @@ from tidewater.operators.ingest import download_reconcile, pending
 from tidewater.plans import bindings as B
 from tidewater.plans.registry import query
 from tidewater.session import scratch_path
-from tidewater.sources import scans, sinks
+from tidewater.sources import scans, schemas, sinks
 from tidewater.sources.scans import table
 
 
@@ -608,3 +608,41 @@ def _(spark, d):
         ((F.length(number) > 0) & path_suffix_match(F.col("url"), site)).alias("plain"),
         path_suffix_match(F.col("url"), tail).alias("english"),
     )
+
+
+@query("manifest_csv", f"SELECT sighting_id, individual_id, asset_ref, source_url, status FROM {B.MANIFEST_SQL}")
+def _(spark, d):
+    """The manifest as a CSV file with a header, read back by its header."""
+    path = scratch_path(spark, "manifest")
+    sinks.write_manifest(B.manifest(spark, d), path)
+    return spark.read.schema(schemas.MANIFEST).csv(path, header=True)
+
+
+@query(
+    "download_task_scan",
+    """SELECT CAST(o_custkey AS VARCHAR) AS individual_id, CAST(o_orderkey AS VARCHAR) AS sighting_id,
+              'https://img.example/' || CAST(o_orderkey AS VARCHAR) AS url FROM orders""",
+)
+def _(spark, d):
+    """Task lists without a header, written with spaces around the fields."""
+    path = scratch_path(spark, "tasks")
+    padded = [F.concat(F.lit("  "), c, F.lit(" ")) for c in (F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"))]
+    url = F.concat(F.lit(" https://img.example/"), F.col("o_orderkey").cast("string"))
+    line = F.concat_ws(",", *padded, url)
+    table(spark, d, "orders").select(line.alias("value")).write.text(path)
+    return scans.download_tasks(spark, path)
+
+
+@query(
+    "frozen_split",
+    f"""SELECT status, count(*) AS n, CAST(sum(sighting_id) AS BIGINT) AS ids FROM {B.MANIFEST_SQL} WHERE status <> 'found' GROUP BY 1""",
+)
+def _(spark, d):
+    """A frozen table is replaced as a whole; a dataset that exists is not seeded again."""
+    frozen, seeded = scratch_path(spark, "frozen"), scratch_path(spark, "seed")
+    rows = B.manifest(spark, d)
+    sinks.write_frozen(rows, frozen, ["status"])
+    sinks.write_frozen(rows.where("status <> 'found'"), frozen, ["status"])
+    sinks.seed_once(spark.read.parquet(frozen), seeded)
+    sinks.seed_once(rows, seeded)
+    return spark.read.parquet(seeded).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("sighting_id").alias("ids"))

@@ -9,7 +9,9 @@ from tidewater.operators import similarity as S
 from tidewater.operators.habitat import region_label
 from tidewater.plans import bindings as B
 from tidewater.plans.registry import query
-from tidewater.sources.scans import table
+from tidewater.session import scratch_path, stored
+from tidewater.sources.scans import gallery, table
+from tidewater.sources.sinks import write_gallery
 
 COS = "list_cosine_similarity(q.embedding::DOUBLE[], g.embedding::DOUBLE[])"
 PAIRS_SQL = f"""(
@@ -250,6 +252,37 @@ def _(spark, d):
     )
 
 
+def versioned(spark, d):
+    """Vectors of three widths in one gallery, and the settings that say which versions are in use."""
+    path, settings = scratch_path(spark, "gallery"), scratch_path(spark, "settings")
+    for version, width, state in (("v1", 16, "retired"), ("v2", 32, "active"), ("v3", 64, "active")):
+        rows = B.images(spark, d).where(F.lit(version != "v2") | (F.col("image_id") % 2 == 0))
+        write_gallery(rows.withColumns({"embedding": F.slice("embedding", 1, width), "embedder_ver": F.lit(version)}), path)
+        spark.range(1).select(F.lit(version).alias("embedder_ver"), F.lit(state).alias("state")).write.mode("append").parquet(settings)
+    return gallery(spark, path, spark.read.parquet(settings).where("state = 'active'"))
+
+
+EVEN_SQL = HALF_PAIRS_SQL.replace("ON q.vec_id <> g.vec_id", "ON q.vec_id <> g.vec_id AND q.vec_id % 2 = 0 AND g.vec_id % 2 = 0")
+
+
+@query(
+    "knn_versions",
+    f"""SELECT embedder_ver, query_id, image_id, round(score, 6) AS score, rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY embedder_ver, query_id ORDER BY score DESC, image_id) AS rank
+          FROM (SELECT 'v2' AS embedder_ver, * FROM {EVEN_SQL} UNION ALL SELECT 'v3', * FROM {PAIRS_SQL})) WHERE rank <= 5""",
+)
+def _(spark, d):
+    """Every stored vector of a version in use against those of its own version; others are not read."""
+    rows = stored(versioned(spark, d), "versions")
+    name = F.concat_ws(":", "embedder_ver", "image_id")
+    asked = rows.select("embedder_ver", name.alias("query_id"), F.col("image_id").alias("hide_id"), "embedding")
+    found = S.nearest(asked, rows, 5, scope=["embedder_ver"], hide="image")
+    parts = F.split("query_id", ":")
+    return found.select(
+        parts[0].alias("embedder_ver"), parts[1].cast("long").alias("query_id"), "image_id", B.rounded("score").alias("score"), "rank"
+    )
+
+
 @query(
     "cosine_separation",
     f"""SELECT count(*) FILTER (true_id = individual_id) AS same_pairs,

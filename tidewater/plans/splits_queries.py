@@ -46,6 +46,16 @@ def _(spark, d):
     return split(spark, d)
 
 
+V2_SQL = "(SELECT * FROM orders WHERE o_orderkey % 4 <> 0)"
+
+
+@query("reid_split_version", f"SELECT * FROM {SPLIT_SQL.replace('FROM orders', f'FROM {V2_SQL}')}")
+def _(spark, d):
+    """The split over the images that one embedding version has stored."""
+    version = F.when(F.col("sighting_id") % 4 == 0, "v1").otherwise("v2")
+    return P.reid_split(B.sightings(spark, d).withColumn("embedder_ver", version), "v2")
+
+
 @query(
     "split_summary",
     f"""SELECT split, count(*) AS individuals, CAST(sum(n_photos) AS BIGINT) AS images,

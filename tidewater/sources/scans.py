@@ -42,6 +42,16 @@ def image_listing(spark: SparkSession, root: str, with_content: bool = False) ->
     return files.select(*cols, *(["content"] if with_content else []))
 
 
+def gallery(spark: SparkSession, path: str, versions: DataFrame) -> DataFrame:
+    """Stored vectors of the versions in ``versions`` (``embedder_ver``) only.
+
+    The versions are found while the job runs, and folders of others are not read: the
+    table of versions is a settings table of a row per version, filtered by a comparison
+    (a bare flag does not make Spark prune).
+    """
+    return spark.read.parquet(path).join(versions.select("embedder_ver"), "embedder_ver", "left_semi")
+
+
 def page_concat(pages: DataFrame, doc: str, page_no: str, text: str) -> DataFrame:
     """Document text: its pages joined by newlines in page order (one row per document)."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(page_no), F.coalesce(text, F.lit("")).alias("t"))))

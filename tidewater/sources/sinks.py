@@ -57,6 +57,11 @@ def write_frozen(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def write_gallery(vectors: DataFrame, path: str) -> None:
+    """Append stored vectors, a folder per ``embedder_ver``: versions may differ in width."""
+    vectors.write.mode("append").partitionBy("embedder_ver").parquet(path)
+
+
 def seed_once(df: DataFrame, path: str) -> None:
     """Write a dataset only if the target does not exist yet."""
     df.write.mode("ignore").parquet(path)
