@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.operators.embedders import WORDS_64
+from tidewater.operators.embedders import WORDS_64, WORDS_256
 from tidewater.streaming import jobs
 
 
@@ -116,11 +117,12 @@ def test_usage_over_batches(spark, tmp_path):
     source, out = tmp_path / "calls", str(tmp_path / "out")
     schema = "role string, input_tokens long, output_tokens long"
     prices = spark.createDataFrame([("a", 1.0, 1.0)], "role string, price_in double, price_out double")
-    for n in (1, 2):
+    for n in (1, 2, 3, 4):
         put(spark, source, [("a", 10, 5)], schema)
         jobs.running_usage(jobs.read_stream(spark, str(source)), prices, out)
-        row = spark.read.parquet(out).first()
+        row = jobs.latest(spark, out).first()
         assert (row.calls, row.total_tokens) == (n, 15 * n)
+    assert len([x for x in Path(out).iterdir() if x.name.startswith("version=")]) <= 2
 
 
 def test_embed_once(spark, tmp_path):
@@ -131,6 +133,9 @@ def test_embed_once(spark, tmp_path):
         put(spark, source, rows, schema)
         jobs.stream_embed(jobs.read_stream(spark, str(source)), licenses, WORDS_64, "text", out)
     assert sorted(r.sighting_id for r in spark.read.parquet(out).collect()) == [1, 2]
+    jobs.stream_embed(jobs.read_stream(spark, str(source)), licenses, WORDS_256, "text", out)  # another version starts anew
+    got = sorted((r.sighting_id, r.embedder_ver) for r in spark.read.parquet(out).collect())
+    assert got == [(i, e.version) for i in (1, 2) for e in (WORDS_256, WORDS_64)]
 
 
 @pytest.mark.parametrize(

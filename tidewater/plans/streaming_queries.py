@@ -88,7 +88,7 @@ def _(spark, d):
 def _(spark, d):
     out = scratch_path(spark, "usage")
     jobs.running_usage(calls(_stream(spark, d, "events")), prices(spark), out)
-    return spark.read.parquet(out).withColumn("estimated_cost", B.rounded("estimated_cost"))
+    return jobs.latest(spark, out).withColumn("estimated_cost", B.rounded("estimated_cost"))
 
 
 @query("stream_tool_elapsed", f"SELECT * FROM {ELAPSED_SQL}")
@@ -125,8 +125,12 @@ def _(spark, d):
        WHERE n_chars > 20 AND lang IN ('en', 'fr') AND len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) > 0""",
 )
 def _(spark, d):
-    out = scratch_path(spark, "embedded")
-    manifest = _stream(spark, d, "documents").select(
+    """Two batches, of which the second repeats rows of the first."""
+    out, again = scratch_path(spark, "embedded"), scratch_path(spark, "manifest")
+    docs = table(spark, d, "documents")
+    for part in (docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 3 <> 1")):
+        part.write.mode("append").parquet(again)
+    manifest = jobs.read_stream(spark, again, files_per_batch=1).select(
         F.col("doc_id").alias("sighting_id"), F.col("doc_id").alias("individual_id"),
         F.when(F.col("n_chars") > 20, "ok").otherwise("failed").alias("status"), "text",
     )

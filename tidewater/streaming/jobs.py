@@ -19,6 +19,7 @@ from tidewater.operators.conversation import prose_flag
 from tidewater.operators.embedders import Embedder
 from tidewater.operators.ingest import embed_pending
 from tidewater.operators.usage import usage_rollup
+from tidewater.session import discard
 
 # fixed values: event kinds of a turn that reach the reader
 MODEL_TEXT, TOOL_START, TOOL_END = "on_chat_model_stream", "on_tool_start", "on_tool_end"
@@ -74,10 +75,17 @@ def run_to_end(stream: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def running_usage(calls: DataFrame, prices: DataFrame, path: str) -> None:
-    """Tokens and cost per role, kept up to date in ``path`` (one row per role)."""
+    """Tokens and cost per role after each batch, a new ``version`` of the table each time.
+
+    :func:`latest` reads the last whole one. The one before it stays for readers that have
+    begun, older ones are removed.
+    """
+    spark = calls.sparkSession
 
     def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        if batch_id > 1:
+            discard(spark, f"{path}/version={batch_id - 2}")
 
     query = (
         usage_rollup(calls, prices)
@@ -90,6 +98,12 @@ def running_usage(calls: DataFrame, prices: DataFrame, path: str) -> None:
     query.awaitTermination()
 
 
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a table that :func:`running_usage` keeps."""
+    versions = spark.read.parquet(path)
+    return versions.where(F.col("version") == versions.agg(F.max("version").alias("v")).scalar()).drop("version")
+
+
 def use_keyed_state(spark: SparkSession) -> None:
     """Keep state in the store that has timers and maps; it spills to disk and is checkpointed by difference."""
     spark.conf.set(
@@ -302,26 +316,25 @@ def stream_segments(
 def stream_embed(
     manifest: DataFrame, sightings: DataFrame, embedder: Embedder, value: str, path: str
 ) -> None:
-    """Embed new manifest rows once and append them to ``path``; replays add nothing."""
+    """Embed readable manifest rows once and append them to ``path``; replays add nothing.
+
+    The ids that were taken are keys of the state, of which a batch looks up its own: what
+    it reads does not grow with the life of the stream. Another embedder version has its
+    own state. A batch that is run again replaces what it wrote before.
+    """
     spark = manifest.sparkSession
-    schema = "sighting_id long, embedder_ver string"
+    use_keyed_state(spark)
+    fresh = manifest.where((F.col("status") == "ok") & F.col("sighting_id").isNotNull()).dropDuplicates(["sighting_id"])
+    nothing = spark.createDataFrame([], "sighting_id long, embedder_ver string")
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        try:
-            stored = spark.read.parquet(path).select("sighting_id", "embedder_ver")
-        except Exception as missing:  # noqa: BLE001 - the first batch finds no folder yet
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            stored = spark.createDataFrame([], schema)
-        new = embed_pending(batch, sightings, stored, embedder, value)
-        new.write.mode("append").parquet(path)
+        new = embed_pending(batch, sightings, nothing, embedder, value)
+        new.write.mode("overwrite").parquet(f"{path}/run={embedder.version}-{batch_id}")
 
     query = (
-        manifest.writeStream.foreachBatch(append)
-        .option("checkpointLocation", f"{path}.checkpoint")
+        fresh.writeStream.foreachBatch(append)
+        .option("checkpointLocation", f"{path}.checkpoint/{embedder.version}")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-
-
