@@ -68,20 +68,19 @@ def plain_tree(urls, tree):
         r[2] += bad or 0
     template = {k: () for k in rows}
     for level in range(tree.depth):
-        kids, parents = Counter(), defaultdict(set)
-        total = Counter()
+        kids, known, parents = Counter(), Counter(), defaultdict(set)
         for k, r in rows.items():
             if len(k[1]) > level:
                 kids[k[0], template[k], k[1][level]] += r[0]
                 parents[k[0], template[k]].add(k[1][level])
-                total[k[0], template[k]] += r[0]
+                known[k[0], template[k], k[1][level]] += r[1]
         new = {}
         for k in rows:
             new[k] = template[k]
             if len(k[1]) > level:
                 p, c = (k[0], template[k]), k[1][level]
                 n = kids[(*p, c)]
-                keep = len(parents[p]) <= tree.fanout or (n >= tree.support and n >= tree.share * total[p]) or c.startswith("<") or c == "**"
+                keep = len(parents[p]) <= tree.fanout or n >= tree.support or known[(*p, c)] >= tree.min_labels or c.startswith("<") or c == "**"
                 new[k] += (c if keep else "*",)
         template = new
     template = {k: t + (("**",) if len(k[1]) > tree.depth else ()) for k, t in template.items()}
@@ -152,6 +151,13 @@ def test_tree_matches_plain_version(spark, depth):
     assert all(r.verdict == {"org/": "block", "b.org/en/spam": "allow"}.get(r.rule, r.verdict) for r in ruled)
 
 
+def test_a_bad_section_among_many_equal_ones_is_blocked(spark):
+    """60 sections of a host, each a small share of it: the one whose labels are all bad does not hide among them."""
+    urls = [(s * 100 + k, f"http://host.com/sec{chr(97 + s // 26)}{chr(97 + s % 26)}/page-{k}", int(s == 31) if k < 40 else None) for s in range(60) for k in range(60)]
+    rows = urltree.judged_urls(spark.createDataFrame(urls, "id long, url string, bad int")).collect()
+    assert {r.id // 100 for r in rows if r.verdict == "block"} == {31} and sum(r.verdict == "block" for r in rows) == 60
+
+
 def test_no_rows_no_labels(spark):
     df = spark.createDataFrame([(1, "http://a.com/x", None)], "id long, url string, bad int")
     assert [r.verdict for r in urltree.judged_urls(df).collect()] == ["allow"]

@@ -72,10 +72,10 @@ t0 AS (
         before = f"t{k - 1}" if k > 1 else "(SELECT host, shaped, n, labels, bad, CAST(template AS VARCHAR[]) AS template FROM t0)"
         out += f""",
 c{k} AS (SELECT *, CASE WHEN len(shaped) >= {k} THEN shaped[{k}] END AS child FROM {before} b),
-k{k} AS (SELECT host, template, child, sum(n) AS n FROM c{k} WHERE child IS NOT NULL GROUP BY host, template, child),
-p{k} AS (SELECT host, template, count(*) AS children, sum(n) AS total FROM k{k} GROUP BY host, template),
+k{k} AS (SELECT host, template, child, sum(n) AS n, sum(labels) AS labels FROM c{k} WHERE child IS NOT NULL GROUP BY host, template, child),
+p{k} AS (SELECT host, template, count(*) AS children FROM k{k} GROUP BY host, template),
 l{k} AS (SELECT k{k}.host, k{k}.template, child FROM k{k} JOIN p{k} ON k{k}.host = p{k}.host AND k{k}.template = p{k}.template
-  WHERE children <= {tree.fanout} OR (n >= {tree.support} AND n >= {tree.share}::DOUBLE * total) OR child LIKE '<%' OR child = '**'),
+  WHERE children <= {tree.fanout} OR n >= {tree.support} OR labels >= {tree.min_labels} OR child LIKE '<%' OR child = '**'),
 t{k} AS (SELECT c.host, shaped, n, labels, bad,
   CASE WHEN c.child IS NULL THEN c.template ELSE list_concat(c.template, [CASE WHEN l.child IS NULL THEN '*' ELSE c.child END]) END AS template
   FROM c{k} c LEFT JOIN l{k} l ON c.host = l.host AND c.template = l.template AND c.child = l.child)"""

@@ -44,8 +44,8 @@ class Tree:
     """Limits of the tree.
 
     Levels below ``depth`` are one segment. Of more than ``fanout`` children of a branch,
-    those with fewer than ``support`` urls or less than ``share`` of the branch are one
-    wildcard. Branches merge while their bad rates differ by less than ``z`` standard
+    those with fewer than ``support`` urls and fewer than ``min_labels`` labels are one
+    wildcard, whatever their share of the branch; the others are left to the merge. Branches merge while their bad rates differ by less than ``z`` standard
     errors. Rates are smoothed by ``prior`` labels of the level above; from ``max_bad`` on,
     and with ``min_labels`` labels at least, a template is blocked.
     """
@@ -53,7 +53,6 @@ class Tree:
     depth: int = 6
     fanout: int = 20
     support: int = 20
-    share: float = 0.02
     z: float = 1.96
     prior: float = 10.0
     max_bad: float = 0.3
@@ -104,13 +103,16 @@ def _generalised(paths: DataFrame, rule: Tree) -> DataFrame:
     rows = paths.withColumn("template", F.array().cast("array<string>"))
     for level in range(1, rule.depth + 1):
         rows = rows.withColumn("child", F.try_element_at("shaped", F.lit(level)))
-        kids = rows.where("child IS NOT NULL").groupBy("host", "template", "child").agg(F.sum("n").alias("rows"))
-        parents = kids.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("rows").alias("all"))
+        kids = rows.where("child IS NOT NULL").groupBy("host", "template", "child").agg(
+            F.sum("n").alias("rows"), F.sum("labels").alias("known")
+        )
+        parents = kids.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"))
         kept = (
             kids.join(parents, ["host", "template"])
             .where(
                 (F.col("children") <= rule.fanout)
-                | ((F.col("rows") >= rule.support) & (F.col("rows") >= rule.share * F.col("all")))
+                | (F.col("rows") >= rule.support)
+                | (F.col("known") >= rule.min_labels)
                 | F.col("child").startswith("<")
                 | (F.col("child") == REST)
             )
