@@ -105,6 +105,15 @@ def test_brute_force_on_random_windows(spark):
     assert set(got) == want and len(want) > 20
 
 
+def test_short_items_drop_only_whole_lines_and_sentences(spark):
+    texts = ["the cat sat on the mat", "What now? The. It ends", "a line\n the \nanother", "the", "5 km is far", "How far? 5 km", "see\n5 km!\nok", "so 5 km"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, "the"), (2, "5 km")], "item_id long, text string")
+    kept = {r.doc_id for r in decontam.drop_contaminated(docs, benchmark).collect()}
+    assert kept == {0, 4, 7}
+    assert {r.doc_id for r in decontam.contaminated(docs, benchmark).collect()} == set(range(8))
+
+
 def test_filter_lets_every_asked_hash_through(spark):
     rule = decontam.Templates(filter_bits=15)
     hashes = [0, -1, 5, 1 << 49, -(1 << 60)] + [random.Random(9).getrandbits(63) for _ in range(200)]

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,13 +51,16 @@ class Templates:
 
     An item leaks if ``coverage`` of its windows is found, slots agreeing. The filter in
     front of the join has ``2 ** filter_bits`` bits whatever the size of the benchmark;
-    what it lets through is joined exactly.
+    what it lets through is joined exactly. An item shorter than a window is found
+    wherever its words stand or, with ``short_alone``, only where a whole line or
+    sentence (or several) is the item.
     """
 
     words: int = 5
     literals: int = 3
     coverage: float = 0.8
     filter_bits: int = 24
+    short_alone: bool = False
 
 
 class _Words(dict):
@@ -111,6 +114,7 @@ class _Read:
         named = (self.kind == _LITERAL) & (marks & _U(4) != 0)
         self.kind[named & ~first] = _NAME
         self.maybe = named & first
+        self.first = first
         self.token = np.where(self.kind == _LITERAL, self.bare, _MARKS[self.kind])
 
     def runs(self, length: int, exactly: bool = False) -> np.ndarray:
@@ -185,6 +189,19 @@ def windows(text: str | None, rule: Templates, known: _Words) -> tuple[np.ndarra
     return total[mask == 0], at[mask == 0], read.kind, read.words
 
 
+def _alone(read: _Read, texts: Sequence[str | None], at: np.ndarray, length: int) -> np.ndarray:
+    """Which runs of ``length`` words start and end with a line or a sentence."""
+    known: dict[int, set[int]] = {}
+    out = []
+    for p, text in zip(at.tolist(), read.text[at].tolist()):
+        if text not in known:  # places where lines start; the one after the last word counts
+            sizes = [len(line.split()) for line in (texts[text] or "").encode("utf-8", "surrogatepass").split(b"\n")]
+            known[text] = set(accumulate(sizes, initial=int(read.starts[text])))
+        starts = lambda q: q in known[text] or q < len(read.first) and bool(read.first[q])  # noqa: E731, B023
+        out.append(starts(p) and starts(p + length))
+    return np.array(out, bool)
+
+
 _GROUP_WORDS = 100_000  # words of the texts that are read together: bounds the arrays, not the texts
 
 
@@ -243,6 +260,9 @@ def template_windows(
             if bits is not None:
                 hit = passes(hashes)
                 hashes, at = hashes[hit], at[hit]
+                if rule.short_alone and length < rule.words:
+                    alone = _alone(read, texts, at, length)
+                    hashes, at = hashes[alone], at[alone]
             text = read.text[at]
             count = np.maximum(read.lengths[text] - length + 1, 0)
             yield text, hashes, read.place(at), [[]] * len(at), count, np.full(len(at), length)
@@ -375,9 +395,14 @@ def contaminated(
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", rule: Templates = Templates()) -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", rule: Templates = Templates(short_alone=True)
+) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark text, with their own columns.
 
+    A benchmark text shorter than a window drops only rows of which it is a whole line
+    or sentence: a single word stands in many clean texts.
+
     The list of rows to drop is written first, so that Spark knows its size and sends it
     to the texts only if it is small; otherwise both sides are shuffled.
     """
