@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater.functions.hashing import permuted
 from tidewater.operators import evaluation as E
 from tidewater.operators import splits as P
 
@@ -179,6 +180,20 @@ def test_test_split_is_sealed(sightings):
     assert P.eval_cases(split, people, "test", allow_test=True).count() == split.where("split = 'test'").count()
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 10, 99, 101, 1000])
+def test_keyed_permutations_meet_every_place_once(spark, n):
+    rows = spark.range(n).select("id", *[permuted(F.col("id"), F.lit(n), seed, F.lit("k")).alias(f"p{seed}") for seed in (1, 2)]).collect()
+    for name in ("p1", "p2"):
+        assert sorted(r[name] for r in rows) == list(range(n))
+    if n > 50:
+        assert sum(r.p1 == r.p2 for r in rows) < 10 and sum(r.p1 == r.id for r in rows) < 10
+        assert abs(sum(r.p1 * r.id for r in rows) / sum(r.id**2 for r in rows) - 0.75) < 0.1  # no order is left
+
+
+def test_no_places_no_permutation(spark):
+    assert spark.range(1).select(permuted(F.lit(0), F.lit(0).cast("long"), 1).alias("p")).first().p is None
+
+
 def test_pk_batches(sightings):
     pool = sightings.join(P.eligible(sightings, 2).select("individual_id"), "individual_id")
     rows = P.pk_batches(pool, 20, 6, 4, seed=3).collect()

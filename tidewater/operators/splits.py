@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.hashing import draw, hash_bucket, md5_hex, seeded, seeded_cell, stratum
+from tidewater.functions.hashing import draw, hash_bucket, md5_hex, permuted, seeded, stratum
 from tidewater.functions.ordered import keep_top, ordinal
 
 # fixed values: eligibility floors and bucket limits of the splits
@@ -162,35 +162,48 @@ def label_index(pool: DataFrame) -> DataFrame:
     return pool.join(index, "individual_id").select("asset_ref", "individual_id", "class_index")
 
 
-def _hash_order(df: DataFrame, keys: list[str], id_col: str, seed: int, out: str) -> DataFrame:
-    """Zero-based position in a seeded random order, cut into cells of the hash."""
-    numbered = ordinal(
-        df.withColumn("_h", seeded(seed, F.col(id_col))), keys, seeded_cell(F.col("_h")),
-        [F.col("_h"), F.col(id_col)], out,
-    )
-    return numbered.withColumn(out, F.col(out) - 1).drop("_h")
+ID_RANGE = 10_000  # ids that are numbered in one task
+
+
+def _numbered(df: DataFrame, keys: list[str], id_col: str, out: str) -> DataFrame:
+    """Zero-based position in id order; ranges of ids are numbered apart, so there are as many as the data needs."""
+    numbered = ordinal(df, keys, F.floor(F.col(id_col) / ID_RANGE), [F.col(id_col)], out)
+    return numbered.withColumn(out, F.col(out) - 1)
 
 
-def pk_batches(pool: DataFrame, batches: int, p: int, k: int, seed: int = 0) -> DataFrame:
+def _range(counts: DataFrame, out: str, step: int = 10_000) -> DataFrame:
+    """``0 .. n-1`` for the one row of ``counts`` (``n``), which is known only when the job runs."""
+    blocks = counts.select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / step))).alias("_b"))
+    first = F.col("_b") * step
+    last = F.least(first + step, F.col("n")) - 1
+    return blocks.where("n > 0").repartition("_b").select(F.explode(F.sequence(first, last)).alias(out))
+
+
+def pk_batches(pool: DataFrame, batches: int | None, p: int, k: int, seed: int = 0) -> DataFrame:
     """``batches`` batches of ``p`` individuals with ``k`` images each.
 
     Individuals of a batch are distinct; images are distinct if the individual
-    has at least ``k``, else drawn with replacement. Draws address positions in
-    a fixed random order, so the work is the size of the output plus one pass.
+    has at least ``k``, else drawn with replacement. A draw names a place in a keyed
+    permutation of the individuals, or of an individual's images, which are numbered by
+    id: nothing is put in random order. Without ``batches`` there are as many as the pool
+    has images for (one at least), counted when the job runs.
     """
-    images = _hash_order(pool, ["individual_id"], "sighting_id", seed, "_slot")
-    people = _hash_order(
-        pool.groupBy("individual_id").agg(F.count(F.lit(1)).alias("n_photos")),
-        [], "individual_id", seed, "_who",
+    images = _numbered(pool, ["individual_id"], "sighting_id", "_slot")
+    people = _numbered(
+        pool.groupBy("individual_id").agg(F.count(F.lit(1)).alias("n_photos")), [], "individual_id", "_who"
     )
     total = people.agg(F.count(F.lit(1)).alias("n")).scalar()
+    if batches is None:
+        enough = pool.agg(F.greatest(F.floor(F.count(F.lit(1)) / (p * k)), F.lit(1).cast("long")).alias("n"))
+        numbers = _range(enough, "batch")
+    else:
+        numbers = pool.sparkSession.range(batches).select(F.col("id").alias("batch"))
     draws = (
-        pool.sparkSession.range(batches)
-        .select(F.col("id").alias("batch"))
-        .withColumn("n", total)
+        numbers.withColumn("n", total)
         .withColumn("p_slot", F.explode(F.sequence(F.lit(0), F.lit(p - 1))))
-        .withColumn("_who", stratum(F.col("p_slot"), p, F.col("n"), seed, F.col("batch")))
-        .drop("n")
+        .withColumn("_place", stratum(F.col("p_slot"), p, F.col("n"), seed, F.col("batch")))
+        .withColumn("_who", permuted(F.col("_place"), F.col("n"), seed, F.lit("people")))
+        .drop("n", "_place")
     )
     seats = draws.join(people, "_who").withColumn(
         "k_slot", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
@@ -198,7 +211,9 @@ def pk_batches(pool: DataFrame, batches: int, p: int, k: int, seed: int = 0) ->
     parts = (F.col("batch"), F.col("individual_id"))
     distinct = stratum(F.col("k_slot"), k, F.col("n_photos"), seed, *parts)
     repeated = draw(F.col("n_photos"), seed, *parts, F.col("k_slot"))
-    seats = seats.withColumn("_slot", F.when(F.col("n_photos") >= k, distinct).otherwise(repeated))
+    seats = seats.withColumn("_place", F.when(F.col("n_photos") >= k, distinct).otherwise(repeated)).withColumn(
+        "_slot", permuted(F.col("_place"), F.col("n_photos"), seed, F.col("individual_id"))
+    )
     return seats.join(images, ["individual_id", "_slot"]).select(
         "batch", "p_slot", "k_slot", "individual_id", "sighting_id"
     )
@@ -254,7 +269,7 @@ def sample_with_replacement(
     Without ``n`` there are as many draws as rows, one epoch; nothing is counted before
     the plan runs.
     """
-    ordered = _hash_order(rows, [], id_col, seed, "_at")
+    ordered = _numbered(rows, [], id_col, "_at")
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
     if n is None:
         draws = ordered.select(F.col("_at").alias("draw")).withColumn("_n", total)

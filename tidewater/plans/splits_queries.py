@@ -143,29 +143,50 @@ def _stratum(slot: str, slots: int, n: str, *parts: str) -> str:
     return f"({low} + {_draw(f'greatest({high} - {low}, 1)', *parts, slot)})"
 
 
+def _permuted(table: str, at: str, n: str, *parts: str) -> str:
+    """``table`` with ``place``: where ``at`` stands in the keyed permutation of ``0 .. n-1``."""
+    spread = lambda i, v: f"CAST('0x' || left({_hash(*parts, str(i), v)}, 8) AS BIGINT)"
+    rounds = "(SELECT *, x % cols AS c0, x // cols AS r0 FROM walk WHERE x < 0 OR x >= n_)"
+    rounds = rounds.replace("x % cols", "(CASE WHEN x < 0 THEN -1 - x ELSE x END) % cols")
+    rounds = rounds.replace("x // cols", "(CASE WHEN x < 0 THEN -1 - x ELSE x END) // cols")
+    for i in range(4):
+        if i % 2 == 0:
+            new = f"(c{i} + {spread(i, f'r{i}')}) % cols AS c{i + 1}, r{i} AS r{i + 1}"
+        else:
+            new = f"c{i} AS c{i + 1}, (r{i} + {spread(i, f'c{i}')}) % rows_ AS r{i + 1}"
+        rounds = f"(SELECT *, {new} FROM {rounds})"
+    return f"""(
+      WITH RECURSIVE start AS (
+        SELECT *, {n} AS n_, CAST(ceil(sqrt(CAST({n} AS DOUBLE))) AS BIGINT) AS cols, -1 - ({at}) AS x FROM {table}),
+      sized AS (SELECT *, CAST(ceil(n_ / CAST(cols AS DOUBLE)) AS BIGINT) AS rows_ FROM start),
+      walk AS (
+        SELECT * FROM sized
+        UNION ALL
+        SELECT * EXCLUDE (c0, r0, c1, r1, c2, r2, c3, r3, c4, r4) REPLACE (r4 * cols + c4 AS x) FROM {rounds})
+      SELECT * EXCLUDE (n_, cols, x, rows_), x AS place FROM walk WHERE x >= 0 AND x < n_)"""
+
+
 @query(
     "pk_batches",
     f"""WITH pool AS (SELECT * FROM {POOL_SQL}),
-        img AS (SELECT individual_id, sighting_id, row_number() OVER (PARTITION BY individual_id
-                       ORDER BY {_hash('sighting_id')}, sighting_id) - 1 AS slot FROM pool),
-        ppl AS (SELECT individual_id, n_photos, row_number() OVER (ORDER BY {_hash('individual_id')}, individual_id) - 1 AS who
+        img AS (SELECT individual_id, sighting_id, row_number() OVER (PARTITION BY individual_id ORDER BY sighting_id) - 1 AS place FROM pool),
+        ppl AS (SELECT individual_id, n_photos, row_number() OVER (ORDER BY individual_id) - 1 AS place
                 FROM (SELECT individual_id, count(*) AS n_photos FROM pool GROUP BY 1)),
-        seat AS (SELECT batch, p_slot, {_stratum('p_slot', 8, 'n', 'batch')} AS who
+        drawn AS (SELECT batch, p_slot, n, {_stratum('p_slot', 8, 'n', 'batch')} AS at_
                  FROM (SELECT unnest(generate_series(0, greatest(1, (SELECT count(*) FROM pool) // 32) - 1)) AS batch)
                  CROSS JOIN (SELECT unnest(generate_series(0, 7)) AS p_slot)
                  CROSS JOIN (SELECT count(*) AS n FROM ppl)),
-        pick AS (SELECT batch, p_slot, k_slot, individual_id,
+        seat AS (SELECT batch, p_slot, individual_id, n_photos FROM {_permuted('drawn', 'at_', 'n', "'people'")} s JOIN ppl USING (place)),
+        pick AS (SELECT batch, p_slot, k_slot, individual_id, n_photos,
                         CASE WHEN n_photos >= 4 THEN {_stratum('k_slot', 4, 'n_photos', 'batch', 'individual_id')}
-                             ELSE {_draw('n_photos', 'batch', 'individual_id', 'k_slot')} END AS slot
-                 FROM seat JOIN ppl USING (who) CROSS JOIN (SELECT unnest(generate_series(0, 3)) AS k_slot))
+                             ELSE {_draw('n_photos', 'batch', 'individual_id', 'k_slot')} END AS at_
+                 FROM seat CROSS JOIN (SELECT unnest(generate_series(0, 3)) AS k_slot))
         SELECT batch, CAST(p_slot AS INT) AS p_slot, CAST(k_slot AS INT) AS k_slot, individual_id, sighting_id
-        FROM pick JOIN img USING (individual_id, slot)""",
+        FROM {_permuted('pick', 'at_', 'n_photos', 'individual_id')} s JOIN img USING (individual_id, place)""",
 )
 def _(spark, d):
     """As many batches of 8 x 4 as the pool has images / 32, so the work grows with the data."""
-    rows = pool(spark, d)
-    batches = max(1, rows.count() // 32)
-    return P.pk_batches(rows, batches, 8, 4, seed=SEED)
+    return P.pk_batches(pool(spark, d), None, 8, 4, seed=SEED)
 
 
 @query(
@@ -199,7 +220,7 @@ def _(spark, d):
 
 @query(
     "sample_with_replacement",
-    f"""WITH p AS (SELECT individual_id, sighting_id, row_number() OVER (ORDER BY {_hash('sighting_id')}, sighting_id) - 1 AS at_,
+    f"""WITH p AS (SELECT individual_id, sighting_id, row_number() OVER (ORDER BY sighting_id) - 1 AS at_,
                           count(*) OVER () AS n FROM {POOL_SQL}),
         w AS (SELECT draw, {_draw('n', 'draw')} AS at_
               FROM (SELECT unnest(generate_series(0, (SELECT count(*) FROM {POOL_SQL}) - 1)) AS draw)
