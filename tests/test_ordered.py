@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.functions.ordered import order_statistics, ordinal, quantile, running_sum
+from tidewater.functions.ordered import order_statistics, ordinal, quantile, range_cells, running_sum
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +77,20 @@ def test_quantile_ignores_nulls(spark):
     some = spark.createDataFrame([("a", None), ("a", 2.0), ("b", None)], "k string, v double")
     out = quantile(some, ["k"], F.col("v"), 0.5, "m", 1.0).collect()
     assert [(r.k, r.m) for r in out] == [("a", 2.0)]
+
+
+def test_cells_from_the_data_number_a_hot_key(spark):
+    rows = [("hot", None if i % 3 else i // 50, i) for i in range(900)] + [(f"c{i % 7}", i, i) for i in range(90)]
+    df = spark.createDataFrame(rows, "k string, day int, i long").repartition(5)
+    order = [F.col("day").asc_nulls_last(), F.col("i")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranged = range_cells(df, [F.col("k"), *order], "cell", "cells")
+        cells = ranged.where("k = 'hot'").select("cell").distinct().count()
+        out = ordinal(ranged, ["k"], F.col("cell"), order, "n").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert cells > 2
+    for key in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is None, r[1] or 0, r[2]))
+        assert [r.i for r in sorted((x for x in out if x.k == key), key=lambda r: r.n)] == [r[2] for r in own]

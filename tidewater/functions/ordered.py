@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from tidewater.session import stored
+
 
 def keep_top(df: DataFrame, window: WindowSpec, k: int, out: str = "rank") -> DataFrame:
     """First ``k`` rows per partition of ``window``, numbered from 1.
@@ -64,6 +66,16 @@ def running_sum(
     )
 
 
+def range_cells(df: DataFrame, order: Sequence[Column], out: str, purpose: str) -> DataFrame:
+    """The rows, written, with cells taken from the data: ranges of about equal size in ``order``.
+
+    ``order`` starts with the keys. The borders come from a sample of the rows, so a key, or
+    a stretch of it, that holds most rows is cut as often as its rows need; written, so that
+    all that is computed from the cells reads the same ones.
+    """
+    return stored(df.repartitionByRange(*order).withColumn(out, F.spark_partition_id()), purpose)
+
+
 def ordinal(
     df: DataFrame, keys: Sequence[str], cell: Column, order: Sequence[Column], out: str, **kw
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.contract import answer_all, citation
 from tidewater.functions.geo import in_box
-from tidewater.functions.ordered import keep_top, order_statistics, ordinal, quantile
+from tidewater.functions.ordered import keep_top, order_statistics, ordinal, quantile, range_cells
 
 # fixed values: shelf depth in metres, central share of the core range, citation cap
 SHELF_DEPTH_M = -200
@@ -24,18 +24,12 @@ def located(sightings: DataFrame) -> DataFrame:
 def sighting_history(sightings: DataFrame) -> DataFrame:
     """Located sightings with their chronological number per individual.
 
-    Unknown dates come last. Numbering is cut by month, so an individual with
-    very many sightings is not sorted in one task.
+    Unknown dates come last. Numbering is cut into ranges of rows, so an individual
+    with very many sightings, dated or not, is not sorted in one task.
     """
-    late = F.to_date(F.lit("9999-12-31"))
-    date = F.coalesce(F.col("obs_date"), late)
-    return ordinal(
-        located(sightings),
-        ["individual_id"],
-        F.trunc(date, "month"),
-        [F.col("obs_date").asc_nulls_last(), F.col("sighting_id")],
-        "seq",
-    )
+    order = [F.col("obs_date").asc_nulls_last(), F.col("sighting_id")]
+    ranged = range_cells(located(sightings), [F.col("individual_id"), *order], "_range", "history")
+    return ordinal(ranged, ["individual_id"], F.col("_range"), order, "seq").drop("_range")
 
 
 def core_bbox(sightings: DataFrame, core_pct: float = CORE_PCT, step: float = 0.25) -> DataFrame:
