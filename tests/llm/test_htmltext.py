@@ -136,6 +136,14 @@ def test_layout_names_and_wrapping_forms_do_not_cut_the_article():
         assert main_blocks(page) == [text]
 
 
+def test_names_in_one_word_and_names_that_only_sound_alike():
+    text = "A sentence, with a comma, of some length to be read."
+    for name in ("commentlist", "rightsidebar", "cookieBar", "adsbygoogle", "topnav", "site-footer", "newsletterbox"):
+        assert main_blocks(f"<div><div class=entry><p>{text}</p></div><div class='{name}'><p>{text} no, no, no</p></div></div>") == [text], name
+    assert main_blocks(f"<div class=commentary><p>{text}</p></div>") == [text]
+    assert main_blocks(f"<body class='comments-open'><article class='post comments-open'><p>{text}</p></article>") == [text]
+
+
 def test_headings_of_an_own_header_stay():
     page = "<header><h1>Site</h1></header><article><header><h1>Title</h1><p>by x</p></header><p>Body text.</p><footer>f</footer></article>"
     assert main_blocks(page) == ["Title", "Body text."]

@@ -71,6 +71,12 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?>[^>=]++|=\s*+(?>"[^"]*+"|'[^']
 _TAG_START = re.compile(r"</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: written in one word with others (``commentlist``, ``rightsidebar``); a commentary is no comment
+_CUT_PARTS = re.compile(
+    "advert|^ad(?:s|box|unit|slot|wrap|container|space)|breadcrumb|comment(?!ar)|cookie|disqus|footer|masthead|navbar"
+    "|(?:top|main|side|sub|site|foot)nav|newsletter|paywall|popup|sidebar|sponsor|subscri(?:be|ption)|pagination|navigation"
+)
+_LAYOUT_PARTS = re.compile("sidebar|nav|footer|cookie")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _COMMA = re.compile("[,،、，]")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
@@ -111,8 +117,8 @@ def _treatment(tag: str, attributes: str) -> int:
         name, value = name.lower(), a or b or c
         if name == "class" or name == "id":
             words = {w.lower() for w in _NAME.findall(value)}
-            names = words & CUT_NAMES
-            by_name = by_name or not names <= LAYOUT_NAMES
+            names = {w for w in words if w in CUT_NAMES or _CUT_PARTS.search(w)}
+            by_name = by_name or any(w not in LAYOUT_NAMES and not _LAYOUT_PARTS.search(w) for w in names)
             by_layout = by_layout or bool(names)
             header = header or "header" in words
             good = good or not words.isdisjoint(GOOD_NAMES)
@@ -248,7 +254,8 @@ def _cuts(page: _Page) -> list[bool]:
 
     A name cuts; but where all articles of the page are, or lie in, what names of layouts
     (``has-sidebar``) or a form cut, those do not. A form that holds most of the text is a
-    wrapper too. A header is cut but for headings in an article's own.
+    wrapper too. If nothing else is left, articles are kept whatever their names. A header
+    is cut but for headings in an article's own.
     """
     tags, parents, kinds = page.tags, page.parents, page.kinds
     n = len(tags)
@@ -262,7 +269,7 @@ def _cuts(page: _Page) -> list[bool]:
         for i in range(1, n):
             above, kind, tag = parents[i], kinds[i], tags[i]
             inside[i] = inside[above] or tag in HOLDERS
-            gone = kind in (CUT, CUT_BY_NAME) or kind == CUT_BY_LAYOUT and not spared[i]
+            gone = kind == CUT or kind in (CUT_BY_NAME, CUT_BY_LAYOUT) and not spared[i]
             if kind == HEADER and not spared[i]:
                 gone = gone or not inside[i]
                 header[i] = True
@@ -281,9 +288,11 @@ def _cuts(page: _Page) -> list[bool]:
         open_ = _spread_up(page, [0 if hard[i] else s for i, s in enumerate(sizes)])
         spared = [t == "form" and 2 * open_[i] > open_[0] for i, t in enumerate(tags)]
     cut = spread(spared)
-    holders = [i for i in range(n) if tags[i] in HOLDERS and not hard[i]]
-    if holders and all(cut[i] for i in holders):
-        for i in holders:
+    holders = [i for i in range(n) if tags[i] in HOLDERS]
+    for spare in ([i for i in holders if not hard[i]], holders):
+        if not spare or not all(cut[i] for i in holders) or spare is holders and any(s and not c for s, c in zip(sizes, cut)):
+            continue
+        for i in spare:
             while i > 0 and not spared[i]:
                 spared[i] = True
                 i = parents[i]
