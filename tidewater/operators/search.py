@@ -120,7 +120,7 @@ _ANY_WORD = "[^ ]+"
 def _asked(queries: DataFrame, vocabulary: DataFrame, stop_words: list[str]) -> DataFrame:
     """Alternatives of all queries with the words of the index that their stems stand for.
 
-    ``needs``: for each required term its document frequency and its words; ``excluded``:
+    ``needs``: for each required term its document frequency and its words, rarest first; ``excluded``:
     words that must not occur; ``phrases``: patterns over a line of words, in which a stop
     word is any word. Alternatives with a term that no text holds are left out.
     """
@@ -154,7 +154,7 @@ def _asked(queries: DataFrame, vocabulary: DataFrame, stop_words: list[str]) ->
     return (
         by_part.groupBy("query_id", "alt_no")
         .agg(
-            F.collect_list(is_kind("need", F.struct("df", "variants"))).alias("needs"),
+            F.array_sort(F.collect_list(is_kind("need", F.struct("df", "variants")))).alias("needs"),
             F.flatten(F.collect_list(is_kind("not", F.col("variants")))).alias("excluded"),
             F.collect_list(is_kind("phrase", line)).alias("phrases"),
         )
@@ -180,15 +180,16 @@ def keyword_search(
     first; ``vocabulary`` is their :func:`word_table`, if it is stored.
     """
     index = chunks if "terms" in chunks.columns else stored(index_tokens(chunks, stop_words), "tokens")
-    asked = _asked(queries, word_table(index) if vocabulary is None else vocabulary, stop_words)
-    rarest = asked.withColumn("term", F.explode(F.array_min("needs")["variants"]))
+    asked = stored(_asked(queries, word_table(index) if vocabulary is None else vocabulary, stop_words), "asked")
+    rarest = asked.select("query_id", "alt_no", F.explode(F.col("needs")[0]["variants"]).alias("term"))
     asked_by = rarest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     postings = index.select("chunk_id", F.explode_outer("terms").alias("term")).where("term is not null")
     salted = postings.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salt)).cast("int"))
     candidates = salted.join(asked_by, ["term", "salt"]).drop("salt", "term")
-    full = candidates.join(index.select("chunk_id", "terms", "kept", "words", "n_words"), "chunk_id")
+    full = candidates.join(index.select("chunk_id", "terms", "kept", "words", "n_words"), "chunk_id").join(asked, ["query_id", "alt_no"])
+    others = F.slice("needs", 2, F.greatest(F.size("needs") - 1, F.lit(0)))  # the next rarest fails first
     every = (
-        F.forall("needs", lambda n: F.arrays_overlap(n["variants"], F.col("terms")))
+        F.forall(others, lambda n: F.arrays_overlap(n["variants"], F.col("terms")))
         & ~F.arrays_overlap("excluded", "terms")
         & F.forall("phrases", lambda p: F.rlike("words", p))
     )
