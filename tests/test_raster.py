@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.geo import mercator_x, mercator_y
 from tidewater.operators import raster as R
 from tidewater.operators import tiles as T
+from tidewater.session import stored
 from tidewater.sources import scans
 from tidewater.sources.schemas import RASTER_TILES
 
@@ -192,3 +193,25 @@ def test_wrong_tile_size_is_an_error(spark):
 def test_mercator(spark):
     row = spark.range(1).select(mercator_x(F.lit(180.0)).alias("x"), mercator_y(F.lit(0.0)).alias("y")).first()
     assert row.x == pytest.approx(20037508.342789244) and row.y == pytest.approx(0.0, abs=1e-6)
+
+
+def broadcast_sides(df):
+    """What the plan sends through the driver, as the text of each broadcast's subtree."""
+    lines = df._jdf.queryExecution().sparkPlan().toString().split("\n")
+    return [line for line in lines if "BroadcastHashJoin" in line]
+
+
+def wide_boxes(spark):
+    """A few boxes of many tiles each, in a file that Spark takes for small."""
+    boxes = spark.range(50).select(
+        F.col("id").alias("request_id"), F.lit(2024).alias("year"), F.lit(0).cast("long").alias("c0"), F.lit(999).cast("long").alias("c1"),
+        F.lit(0).cast("long").alias("r0"), F.lit(999).cast("long").alias("r1"), F.lit(-80.0).alias("lat_min"), F.lit(80.0).alias("lat_max"),
+        F.lit(-170.0).alias("lon_min"), F.lit(170.0).alias("lon_max"),
+    )
+    return stored(boxes, "wide")
+
+
+def test_boxes_laid_on_tiles_are_not_broadcast(spark, cells):
+    out = R.box_cells(wide_boxes(spark), cells)
+    assert broadcast_sides(out) == []
+    assert out.count() == 50 * cells.where("value <> 0 and col >= 0 and row >= 0").count()
