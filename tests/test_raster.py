@@ -215,3 +215,19 @@ def test_boxes_laid_on_tiles_are_not_broadcast(spark, cells):
     out = R.box_cells(wide_boxes(spark), cells)
     assert broadcast_sides(out) == []
     assert out.count() == 50 * cells.where("value <> 0 and col >= 0 and row >= 0").count()
+
+
+
+def test_zones_go_to_the_boxes_and_not_the_boxes_to_the_zones(spark):
+    zones = scans.zone_rings(
+        spark.createDataFrame(
+            [("a", 1, ring((0, 0), (10, 0), (0, 10))), ("b", 1, ring((40, 0), (41, 0), (41, 1), (40, 1)))],
+            "name string, part_id int, ring array<struct<x:double,y:double>>",
+        )
+    )
+    few, many = (R.zone_overlap(wide_boxes(spark), zones, few_edges=n) for n in (7, 6))
+    assert [("BuildRight" in x) for x in broadcast_sides(few)] == [True]
+    assert broadcast_sides(many) == []
+    for out in (few, many):
+        assert {(r.request_id, *r.zones) for r in out.collect()} == {(i, "a", "b") for i in range(50)}
+    assert R.zone_overlap(wide_boxes(spark), zones.limit(0)).collect() == []
