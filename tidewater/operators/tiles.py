@@ -148,17 +148,18 @@ def _looked_up(border: DataFrame, images: DataFrame, size: int, part_rows: int)
     """Count, sum and maximum of the rectangle of every row of ``border`` whose tile exists.
 
     A tile and the rectangles in it meet in one task; those of a busy tile are dealt out
-    to several copies of it, ``part_rows`` to each.
+    to several copies of it, ``part_rows`` to each. The images are never broadcast: they are
+    many times their size in a file.
     """
     schema = PIECE_SUMS.format(id=border.schema["request_id"].dataType.simpleString())
     parts = border.groupBy("year", "tx", "ty").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(part_rows)).cast("int").alias("_parts")
     )
-    asked = images.join(parts, ["year", "tx", "ty"]).select(
+    asked = images.join(parts.hint("merge"), ["year", "tx", "ty"]).select(
         F.col("year").alias("t_year"), F.col("tx").alias("t_tx"), F.col("ty").alias("t_ty"),
         F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("t_part"), "counts", "sums", "pixels",
     )
-    dealt = border.join(parts, ["year", "tx", "ty"]).withColumn("part", F.pmod(F.xxhash64("request_id"), F.col("_parts")).cast("int"))
+    dealt = border.join(parts.hint("merge"), ["year", "tx", "ty"]).withColumn("part", F.pmod(F.xxhash64("request_id"), F.col("_parts")).cast("int"))
 
     def look(rows: pa.Table, tile: pa.Table) -> pa.Table:
         if not tile.num_rows or not rows.num_rows:
@@ -231,7 +232,7 @@ def vessel_traffic(
         .withColumn("zones", F.coalesce("zones", F.array().cast("array<string>")))
         .withColumn("lane_overlap", F.size("zones") > 0)
     )
-    answered = requests.join(found, "request_id")
+    answered = requests.join(found.hint("merge"), "request_id")
     text = F.concat(
         F.format_string(
             "%s vessel transits (%d) over %s cells (mean %.1f/cell, busiest %s)",
