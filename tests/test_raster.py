@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.geo import mercator_x, mercator_y
 from tidewater.operators import raster as R
 from tidewater.operators import tiles as T
+from tidewater.operators.corpus import zone_to_chunks
 from tidewater.session import stored
 from tidewater.sources import scans
 from tidewater.sources.schemas import RASTER_TILES
@@ -238,3 +239,14 @@ def test_zones_go_to_the_boxes_and_not_the_boxes_to_the_zones(spark):
     for out in (few, many):
         assert {(r.request_id, *r.zones) for r in out.collect()} == {(i, "a", "b") for i in range(50)}
     assert R.zone_overlap(wide_boxes(spark), zones.limit(0)).collect() == []
+
+
+def test_totals_of_chunks_per_zone_equal_those_over_all_chunks(spark):
+    overlaps = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, ["c"]), (None, ["b"])], "request_id long, zones array<string>")
+    chunks = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(20)] + [(50, None), (None, "a")], "chunk_id long, sanctuary string")
+    totals = {"n": F.count(F.lit(1)), "s": F.sum("chunk_id")}
+    listed = zone_to_chunks(overlaps, chunks)
+    assert listed.count() == 11 + 10 + 11 + 10
+    want = {tuple(r) for r in listed.groupBy("request_id", "sanctuary").agg(F.count(F.lit(1)), F.sum("chunk_id")).collect()}
+    got = zone_to_chunks(overlaps, chunks, totals).select("request_id", "sanctuary", "n", "s").collect()
+    assert len(got) == 4 and {tuple(r) for r in got} == want
