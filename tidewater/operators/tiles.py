@@ -108,7 +108,7 @@ def _placed(boxes: DataFrame, images: DataFrame, size: int) -> DataFrame:
     extent = images.groupBy("year").agg(
         F.min("tx").alias("_x0"), F.max("tx").alias("_x1"), F.min("ty").alias("_y0"), F.max("ty").alias("_y1")
     )
-    cut = boxes.where("c0 <= c1 and r0 <= r1").join(extent, "year").select(
+    cut = boxes.where("c0 <= c1 and r0 <= r1").join(F.broadcast(extent), "year").select(
         "request_id",
         "year",
         F.greatest("c0", F.col("_x0") * size).alias("c0"),
@@ -199,7 +199,7 @@ def box_sums(
         F.col("ix0").alias("c0"), F.col("ix1").alias("c1"), F.col("iy0").alias("r0"), F.col("iy1").alias("r1"),
     )
     coarse = images.select("year", F.col("tx").alias("col"), F.col("ty").alias("row"), "n", "total", "peak")
-    inner = pieces(whole, edges).join(rectangle_sums(coarse, edges), ["year", "x", "y"])
+    inner = pieces(whole, edges).join(rectangle_sums(coarse, edges).hint("merge"), ["year", "x", "y"])
     both = part.unionByName(inner.select("request_id", "year", "n", "total", "peak"))
     sums = both.groupBy("request_id", "year").agg(
         F.sum("n").alias("trafficked_cells"), F.sum("total").alias("total_transits"), F.max("peak").alias("busiest_cell")
