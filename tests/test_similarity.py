@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -54,6 +55,29 @@ def test_blocks_equal_plain(images, block_rows):
     assert ranks(blocked) == ranks(nearest_plain(queries, images, 5))
 
 
+def test_copies_of_a_row_are_bounded(spark):
+    one = lambda q, g: tuple(spark.range(1).select(*S._split(F.lit(q), F.lit(g), 1024)).first())
+    assert one(600, 600) == (32, 4)
+    assert one(5, 600) == (5, 25)
+    assert one(1, 600) == (1, 128)
+    assert one(6400, 6400) == (100, 4)  # no block holds more than 65,536 queries
+    assert one(0, 3)[0] == 0
+
+
+@pytest.mark.parametrize("by", ["image", "individual"])
+def test_a_gallery_in_pieces_equals_the_whole(images, by):
+    rows = images.orderBy("image_id").toArrow()
+    asked = rows.select(["image_id", "image_id", "embedding"]).rename_columns(["query_id", "hide_id", "embedding"])
+    found = []
+    for step in (60, 7, 1):
+        best = S._Best(asked, 4, by, "image", S.SCORE_DIGITS)
+        for at in range(0, 60, step):
+            best.add(rows.slice(at, step))
+        schema = rows.select(["image_id", "image_id", "individual_id"]).rename_columns(["query_id", "image_id", "individual_id"]).schema
+        found.append(best.table(schema.append(pa.field("score", pa.float64()))).to_pylist())
+    assert len(found[0]) == 240 and found[0] == found[1] == found[2]
+
+
 def test_vectors_of_several_widths_are_refused(spark, images):
     rows = [(100, 1, [1.0, 0.0]), (101, 2, [1.0, 0.0, 0.0, 0.0])]
     odd = spark.createDataFrame(rows, "image_id long, individual_id long, embedding array<float>")
