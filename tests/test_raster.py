@@ -232,7 +232,7 @@ def test_zones_go_to_the_boxes_and_not_the_boxes_to_the_zones(spark):
             "name string, part_id int, ring array<struct<x:double,y:double>>",
         )
     )
-    few, many = (R.zone_overlap(wide_boxes(spark), zones, few_edges=n) for n in (7, 6))
+    few, many = (R.zone_overlap(wide_boxes(spark), zones, few_edges=n) for n in (31, 30))  # 3 edges in 9 cells of the grid, 4 in one
     assert [("BuildRight" in x) for x in broadcast_sides(few)] == [True]
     assert broadcast_sides(many) == []
     for out in (few, many):
