@@ -192,3 +192,13 @@ def test_alt_ids(spark):
     )
     out = K.alt_id_links(rows, "id", "remarks").collect()
     assert sorted(r.alt_id for r in out) == ["RCHP-11RUCO868", "RCHP-13RUCO1338"]
+
+
+def test_keyword_search_counts_the_words_of_a_chunk_once(spark):
+    rows = [("a", "Storm storms calm " * 40), ("a", "storm quiet"), ("b", "calm storm"), ("c", None), (None, "storm calm")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string")
+    queries = spark.createDataFrame([(1, "storm calm"), (2, 'calm "calm storm" -quiet'), (None, "storm")], "query_id long, text string")
+    found = Q.keyword_search(queries, chunks)
+    assert {(r.query_id, r.chunk_id, round(r.score, 6)) for r in found.collect()} == {(1, "a", 1.0), (1, "b", 1.0), (2, "a", 1.0), (2, "b", 1.0)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "arrays_overlap" not in plan  # the arrays of a chunk are not walked once per candidate
