@@ -60,3 +60,19 @@ def test_scored_pairs_grow_far_less_than_all_pairs(spark):
         pairs[n] = search.asked.agg(F.sum("rows")).first()[0]
     assert pairs[4000] < 0.05 * 4000 * 4000
     assert pairs[4000] < 30 * pairs[400]
+
+
+def test_queries_around_the_same_pivots_skip_rows_together(spark, monkeypatch):
+    gallery = clustered(spark, 3000, clusters=60, spread=0.02)
+    flags, join = [], pivots._block_join
+    def seen(*args):
+        flags.append(args[-1])
+        return join(*args)
+    monkeypatch.setattr(pivots, "_block_join", seen)
+    sizes = pivots.Sizes(cell_rows=50, block_rows=5000)
+    found = pivots.search(asked(gallery, "image_id"), gallery, 5, hide="image", sizes=sizes).found
+    assert rows(found) == rows(similarity.nearest(asked(gallery, "image_id"), gallery, 5, hide="image"))
+    held = gallery.withColumn("query_id", F.col("image_id")).withColumn("bound", F.lit(0.99).cast("double")).toArrow()
+    order, needed = flags[0](held)  # of the one search over the bounds, after rows met by ring
+    assert len(flags) == 1 and sorted(order.tolist()) == list(range(3000))
+    assert needed.shape[0] == -(-3000 // similarity._CHUNK) and needed.mean() < 0.5

@@ -211,3 +211,26 @@ def test_only_versions_in_use_are_read(spark, images, tmp_path):
     found = S.nearest(as_queries(held), held, 2, hide="image")
     plain = images.withColumn("embedding", F.slice("embedding", 1, 3))
     assert sorted(found.collect()) == sorted(S.nearest(as_queries(plain), plain, 2, hide="image").collect())
+
+
+def test_most_pairs_are_only_met_in_single_precision_and_ranks_stay_exact(monkeypatch):
+    rng = np.random.default_rng(11)
+    vectors = rng.normal(size=(9000, 64)).astype(np.float32)
+    vectors[5000:5400] = vectors[17]  # equal vectors tie, more of them than there are ranks
+    vectors[6000] = vectors[6001] + np.float32(1e-7)
+    ids = np.arange(9000)
+    rows = pa.table({"image_id": ids, "individual_id": ids % 11, "embedding": pa.array(list(vectors))})
+    asked = pa.table({"query_id": ids[:600], "hide_id": ids[:600], "embedding": pa.array(list(vectors[:600]))})
+    double, many = [], S._Best._many
+    monkeypatch.setattr(S._Best, "_many", lambda self, q, v, cols, *x: double.append(len(q) * len(cols)) or many(self, q, v, cols, *x))
+    best = S._Best(asked, 20, "image", "image", S.SCORE_DIGITS)
+    for at in range(0, 9000, 4000):
+        best.add(rows.slice(at, 4000))
+    schema = pa.schema([("query_id", pa.int64()), ("image_id", pa.int64()), ("individual_id", pa.int64()), ("score", pa.float64())])
+    got = best.table(schema)
+    unit = vectors.astype(np.float64) / np.linalg.norm(vectors.astype(np.float64), axis=1, keepdims=True)
+    scores = np.round(unit[:600] @ unit.T, S.SCORE_DIGITS)
+    scores[np.arange(600), np.arange(600)] = -2
+    want = np.argsort(-scores, axis=1, kind="stable")[:, :20]
+    assert got.column("image_id").to_numpy().reshape(600, 20).tolist() == want.tolist()
+    assert sum(double) < 0.2 * 600 * 9000
